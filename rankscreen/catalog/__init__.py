@@ -1,6 +1,6 @@
 """Every registered query with the SQL that checks it."""
 
-from . import measuring, ranking  # noqa: F401
+from . import measuring, ranking, reconciling  # noqa: F401
 from .core import ENTRIES
 
 __all__ = ["ENTRIES"]

@@ -190,7 +190,7 @@ def treatment_tally(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("tolerant_labels", "P5", f"""
-WITH t AS (SELECT o_orderkey AS item, count(l_orderkey) AS shots, CAST(count_if(l_returnflag = 'R') AS BIGINT) AS failures,
+WITH t AS (SELECT o_orderkey AS item, count(l_orderkey) AS shots, count(*) FILTER (WHERE l_returnflag = 'R') AS failures,
                   CAST(1 + o_orderkey % 8 AS INTEGER) AS rounds, CAST(1 + o_orderkey % 6 AS INTEGER) AS k
            FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey),
 u AS (SELECT *, CASE WHEN shots > 0 THEN {_LO} END AS w_lo, CASE WHEN shots > 0 THEN {_HI} END AS w_hi,
