@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -75,14 +76,16 @@ def both(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 
 
-def table_digest(df: DataFrame, columns: Sequence[str], prefix: int = 2) -> DataFrame:
+def table_digest(df: DataFrame, columns: Sequence[str], prefix: int | None = None) -> DataFrame:
     """Order-free sha256 of a table's content as a tree over row hashes, without sorting the table in one place.
 
     Rows hash to 64 hex digits; equal rows collapse to one leaf with a count. Leaves meet by their first ``prefix``
     digits, and each level above joins the 16 groups that share one digit fewer, so no group outgrows its branch.
-    Choose ``prefix`` so that rows / 16^prefix is a few thousand.
+    ``prefix`` defaults to what leaves some 4,096 rows in a group, at least 2; it depends on the row count alone.
     """
     from ..functions.identity import row_digest
+    if prefix is None:
+        prefix = max(2, math.ceil(math.log(max(1, df.count()) / 4096, 16)))
     leaves = df.select(row_digest(*columns).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     level = leaves.select(F.substring("h", 1, prefix).alias("g"), F.concat("h", F.lit(":"), "n").alias("d"))
     for digits in range(prefix, -1, -1):
