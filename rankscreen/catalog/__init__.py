@@ -1,6 +1,6 @@
 """Every registered query with the SQL that checks it."""
 
-from . import measuring, picking, ranking, reconciling  # noqa: F401
+from . import measuring, picking, ranking, reconciling, resampling  # noqa: F401
 from .core import ENTRIES
 
 __all__ = ["ENTRIES"]

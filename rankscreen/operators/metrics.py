@@ -6,7 +6,8 @@ each metric is one aggregation. Every score is "higher is better"; the truth is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -60,55 +61,79 @@ def _join(rows: DataFrame, table: DataFrame, on: list[str], total: int, tie: str
     return (ranks.join_ranks(rows, table.withColumnRenamed(tie, "tie"), on, total).withColumnRenamed("tie", tie))
 
 
-def spearman_expr(t_rank: Column, s_rank: Column, weight: Column | None = None) -> Column:
-    """Correlation of two rank columns, null when undefined (fewer than two rows or a constant column).
+@dataclass(frozen=True)
+class Standing:
+    """Where a row stands on both sides: weight before it and tied with it; each row counts ``weight`` times."""
 
-    Ranks are halved integers, so doubled they are exact; with a weight, each row stands for that many copies.
-    """
-    t, s = t_rank * 2, s_rank * 2
-    if weight is None:
-        n, st, ss = F.count(F.lit(1)).cast("double"), F.sum(t), F.sum(s)
-        stt, sss, sts = F.sum(t * t), F.sum(s * s), F.sum(t * s)
-    else:
-        n, st, ss = F.sum(weight).cast("double"), F.sum(t * weight), F.sum(s * weight)
-        stt, sss, sts = F.sum(t * t * weight), F.sum(s * s * weight), F.sum(t * s * weight)
-    vt, vs = stt - st * st / n, sss - ss * ss / n
-    # A constant column leaves only rounding residue; anything real is at least 1/n^2 of the sum of squares.
-    defined = (n >= 2) & (vt > stt * 1e-13) & (vs > sss * 1e-13)
-    return F.when(defined, (sts - st * ss / n) / F.sqrt(F.abs(vt * vs)))
-
-
-def pair_metrics(pairs: DataFrame, by: Sequence[str] = (), k: int = RECALL_K, top_n: int = RECALL_TOP_N) -> DataFrame:
-    """Both metrics of every scorer in one aggregation: (metric, estimate, n_censored, excl_censored) per scorer.
-
-    Recall is the expected share of the true top ``top_n`` inside the score's top ``k`` under independent random
-    tie-breaks, undefined below max(k, top_n) rows.
-    """
+    t_below: Column
+    t_tie: Column
+    s_below: Column
+    s_tie: Column
+    weight: Column
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A named aggregate over standings; anything of this shape can be reported and resampled."""
+
+    name: str
+    value: Callable[[Standing], Column]
+
+
+def spearman_metric() -> Metric:
+    """Correlation of average ranks, null when undefined (fewer than two rows or a constant column)."""
+    def value(x: Standing) -> Column:
+        # Twice the average rank: whole numbers, so the sums are as exact as a double allows.
+        t, s, w = x.t_below * 2 + x.t_tie + 1, x.s_below * 2 + x.s_tie + 1, x.weight
+        t, s = t.cast("double"), s.cast("double")
+        n = F.sum(w).cast("double")
+        st, ss, stt, sss, sts = F.sum(t * w), F.sum(s * w), F.sum(t * t * w), F.sum(s * s * w), F.sum(t * s * w)
+        vt, vs = stt - st * st / n, sss - ss * ss / n
+        # A constant column leaves only rounding residue, far below one part in 1e13 of the sum of squares.
+        defined = (n >= 2) & (vt > stt * 1e-13) & (vs > sss * 1e-13)
+        return F.when(defined, (sts - st * ss / n) / F.sqrt(F.abs(vt * vs)))
+    return Metric("spearman", value)
+
+
+def recall_metric(k: int = RECALL_K, top_n: int = RECALL_TOP_N) -> Metric:
+    """Expected share of the true top ``top_n`` inside the score's top ``k`` under independent random tie-breaks;
+    null with fewer than max(k, top_n) rows."""
     if k < 1 or top_n < 1:
         raise Refused(f"k and top_n must be >= 1; got {k} and {top_n}")
-    by = list(by)
-    n = F.count(F.lit(1))
-    hit = ranks.top_probability(top_n, "t_below", "t_tie") * ranks.top_probability(k, "s_below", "s_tie")
-    rho = spearman_expr(ranks.average_rank("t_below", "t_tie"), ranks.average_rank("s_below", "s_tie"))
+
+    def value(x: Standing) -> Column:
+        hit = ranks.top_share(top_n, x.t_below, x.t_tie) * ranks.top_share(k, x.s_below, x.s_tie)
+        return F.when(F.sum(x.weight) >= max(k, top_n), F.sum(hit * x.weight) / top_n)
+    return Metric(f"recall_at_{k}_of_top_{top_n}", value)
+
+
+def default_metrics() -> list[Metric]:
+    return [spearman_metric(), recall_metric()]
+
+
+def pair_metrics(pairs: DataFrame, by: Sequence[str] = (), metrics: Sequence[Metric] | None = None) -> DataFrame:
+    """Every metric of every scorer in one aggregation: (metric, scorer, estimate, n_censored, excl_censored)."""
+    by, metrics = list(by), metrics or default_metrics()
+    at = Standing(F.col("t_below"), F.col("t_tie"), F.col("s_below"), F.col("s_tie"), F.lit(1))
     stats = pairs.groupBy(*by, "scorer", "subset").agg(
-        n.alias("n"), rho.alias("rho"), F.when(n >= max(k, top_n), F.sum(hit) / top_n).alias("recall"))
+        F.count(F.lit(1)).alias("n"), *[m.value(at).alias(f"__m{i}") for i, m in enumerate(metrics)])
 
     def pick(column, subset):
         return F.max(F.when(F.col("subset") == subset, F.col(column)))
 
     wide = stats.groupBy(*by, "scorer").agg(
         (pick("n", "all") - F.coalesce(pick("n", "excluded"), F.lit(0))).alias("n_censored"),
-        F.array(*[F.struct(F.lit(name).alias("metric"), pick(c, "all").alias("estimate"),
-                           pick(c, "excluded").alias("excl_censored"))
-                  for c, name in (("rho", "spearman"), ("recall", f"recall_at_{k}_of_top_{top_n}"))]).alias("__m"))
+        F.array(*[F.struct(F.lit(m.name).alias("metric"), pick(f"__m{i}", "all").alias("estimate"),
+                           pick(f"__m{i}", "excluded").alias("excl_censored"))
+                  for i, m in enumerate(metrics)]).alias("__m"))
     return (wide.select(*by, "scorer", "n_censored", F.explode("__m").alias("m"))
             .select(*by, "m.metric", "scorer", "m.estimate", "n_censored", "m.excl_censored"))
 
 
-def score_report(df: DataFrame, scores: Sequence[str], truth: str = "rank_value", k: int = RECALL_K,
-                 top_n: int = RECALL_TOP_N) -> DataFrame:
+def score_report(df: DataFrame, scores: Sequence[str], truth: str = "rank_value",
+                 metrics: Sequence[Metric] | None = None) -> DataFrame:
     """(metric, scorer, estimate, n_censored, excl_censored) of every score against the measured order."""
-    return pair_metrics(ranked_pairs(df, scores, truth), k=k, top_n=top_n)
+    return pair_metrics(ranked_pairs(df, scores, truth), metrics=metrics)
 
 
 def require_defined(report: DataFrame) -> DataFrame:
@@ -131,8 +156,8 @@ def size_scaling(df: DataFrame, by: str = "construction_program_id", size: str =
     points = df.filter(~F.col("censored")).select(by, "censored", rate, F.col(size).cast("double").alias(size))
     # Both orders ascending here, unlike a score: flip the sign the pair builder gives a score.
     flipped = points.withColumn("__neg", -F.col(size))
-    rho = (pair_metrics(ranked_pairs(flipped, ["__neg"], rate, [by]), [by])
-           .filter(F.col("metric") == "spearman").select(by, F.col("estimate").alias("__rho")))
+    rho = (pair_metrics(ranked_pairs(flipped, ["__neg"], rate, [by]), [by], [spearman_metric()])
+           .select(by, F.col("estimate").alias("__rho")))
     read = F.col("distinct_sizes") >= 2
     return counts.join(rho, by, "left").select(
         by, "n_items", "n_censored", "distinct_sizes",

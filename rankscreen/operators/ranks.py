@@ -89,11 +89,9 @@ def average_rank(below="below", tie="tie") -> Column:
     return F.col(below) + (F.col(tie) + F.lit(1.0)) / F.lit(2.0)
 
 
-def top_probability(m, below="below", tie="tie") -> Column:
+def top_share(m: int, below: Column, tie: Column) -> Column:
     """Chance of being among the ``m`` smallest, ties at the cut-off sharing the remaining slots."""
-    m = m if isinstance(m, Column) else F.lit(m)
-    share = (m - F.col(below)).cast("double") / F.col(tie)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(m) - below).cast("double") / tie))
 
 
 def with_average_rank(df: DataFrame, by: Sequence[str], value: str, out: str = "avg_rank") -> DataFrame:
@@ -108,7 +106,7 @@ def with_top_probability(df: DataFrame, by: Sequence[str], value: str, m: int, o
     ranges = Ranges.of(df, value)
     ranks = value_ranks(df, by, value, ranges=ranges)
     return (join_ranks(df, ranks, [*by, value], ranges.rows)
-            .withColumn(out, top_probability(m)).drop("below", "tie"))
+            .withColumn(out, top_share(m, F.col("below"), F.col("tie"))).drop("below", "tie"))
 
 
 def row_index(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "row_idx") -> DataFrame:
