@@ -152,7 +152,7 @@ def schedulable(l="l", m="m", a_exps="a_exps", b_exps="b_exps") -> Column:
     return distinct(a) & distinct(b)
 
 
-def shots_needed_columns(shots="shots", failures="failures", *, max_shots: int = MAX_SHOTS,
+def shots_needed_columns(shots="shots", failures="failures", *, max_shots: int | Column = MAX_SHOTS,
                          min_failures: int = MIN_FAILURES) -> dict[str, Column]:
     """Trials to reach the failure target: estimate, Wilson range, and a three-valued 'exceeds the cap'."""
     shots, failures = _col(shots), _col(failures)
@@ -169,11 +169,11 @@ def shots_needed_columns(shots="shots", failures="failures", *, max_shots: int =
             "shots_range_high": range_high.cast("long"), "exceeds_max_shots": exceeds}
 
 
-def run_shots_columns(estimate="shots_estimate", exceeds="exceeds_max_shots", *, max_shots: int = MAX_SHOTS,
+def run_shots_columns(estimate="shots_estimate", exceeds="exceeds_max_shots", *, max_shots: int | Column = MAX_SHOTS,
                       shot_batch: int = SHOT_BATCH) -> dict[str, Column]:
     """Trials a run would take, in whole batches and unbatched; unknown or over the cap is costed at the cap."""
     estimate, exceeds = _col(estimate), _col(exceeds)
-    cap = F.lit(max_shots).cast("long")
+    cap = (max_shots if isinstance(max_shots, Column) else F.lit(max_shots)).cast("long")
     at_cap = estimate.isNull() | F.coalesce(exceeds, F.lit(False))
     batched = F.least(F.ceil(estimate / F.lit(float(shot_batch))).cast("long") * shot_batch, cap)
     return {"run_shots": F.when(at_cap, cap).otherwise(batched),
