@@ -295,7 +295,7 @@ def streaming_distinct_events(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.readStream.schema(twice.schema).parquet(twice.inputFiles()[0].rsplit("/", 1)[0])
     path, done = scratch.new_path(spark, "distinct"), scratch.new_path(spark, "distinct-checkpoint")
     stream.ingest(stream.without_repeats(rows, "ts", "3650 days"), path, done).awaitTermination()
-    return spark.read.schema(twice.schema).parquet(path).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("streaming_snapshot", "R6 A5", f"""WITH {_BATCHES},

@@ -44,7 +44,9 @@ def measurement_rows(population: DataFrame, shards: DataFrame, *, p: float, deco
         F.max("shots").alias("shots"), F.max("failures").alias("failures"),
         F.sum("batch_decode_seconds").alias("decode_seconds"), F.max("seed").alias("__seed"),
         *[F.max(f).alias(f) for f in PROVENANCE_FIELDS])
-    done = consolidated.filter((F.col("failures") >= min_failures) | (F.col("shots") >= max_shots))
+    # An item that failed every trial has no rate: it is a row error, and ``assemble`` then refuses it as unfinished.
+    done = consolidated.filter(((F.col("failures") >= min_failures) | (F.col("shots") >= max_shots))
+                               & (F.col("failures") < F.col("shots")))
     version = F.lit(decoder_version) if isinstance(decoder_version, str) else decoder_version
     created = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'") \
         if created_at is None else (F.lit(created_at) if isinstance(created_at, str) else created_at)

@@ -72,7 +72,9 @@ def measurements(spark: SparkSession, sf_dir: str, min_failures: int = VIEW_MIN_
     """One labelled item per part that has trials."""
     items = read(spark, sf_dir, "part")
     size, key = F.col("p_size"), F.col("p_partkey")
-    joined = items.join(counts(spark, sf_dir), F.col("l_partkey") == key).select(
+    # A part that failed every trial has no rate and is no measurement.
+    per_part = counts(spark, sf_dir).filter(F.col("failures") < F.col("shots"))
+    joined = items.join(per_part, F.col("l_partkey") == key).select(
         key.cast("string").alias("code_id"), F.col("p_brand").alias("construction_program_id"),
         F.col("p_type").alias("family"), "p_size", "p_retailprice",
         (F.lit(12) + F.lit(2) * F.pmod(key, F.lit(31))).cast("int").alias("n"),
@@ -105,7 +107,7 @@ m0 AS (SELECT CAST(p_partkey AS VARCHAR) AS code_id, p_brand AS construction_pro
               p_size, p_retailprice, CAST(12 + 2 * (p_partkey % 31) AS INTEGER) AS n,
               CAST(1 + p_size % 6 AS INTEGER) AS k, CAST(3 + p_size % 9 AS INTEGER) AS d_upper,
               CAST(1 + p_partkey % 8 AS INTEGER) AS rounds, shots, failures, decode_seconds
-       FROM part JOIN counts ON l_partkey = p_partkey),
+       FROM part JOIN counts ON l_partkey = p_partkey AND failures < shots),
 m1 AS (SELECT *, greatest(0.0, {centre}/{denom} - {wilson}/{denom}) AS w_low,
               least(1.0, {centre}/{denom} + {wilson}/{denom}) AS w_high, failures < {min_failures} AS censored FROM m0),
 meas AS (SELECT *, round(CASE WHEN NOT censored THEN {rate('(failures/shots::DOUBLE)')} END, 12) AS true_ler,

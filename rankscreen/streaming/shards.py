@@ -32,7 +32,8 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
 
 def without_repeats(stream: DataFrame, event_time: str, delay: str = "1 hour") -> DataFrame:
     """Each (item, batch) once; a repeat inside the watermark's delay is dropped."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["item", "batch_index"])
+    timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["item", "batch_index"])
 
 
 def _stopper(batch_size: int, max_shots: int, min_failures: int, gap_ms: int | None):
