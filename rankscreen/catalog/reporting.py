@@ -217,6 +217,19 @@ def calibration_projection(spark: SparkSession, sf: str) -> DataFrame:
                                  shot_batch=8, min_failures=5).projection
 
 
+@query("session_deaths", "S5 A6", """
+SELECT CAST(user_id AS VARCHAR) AS code_id, count(*) AS n_deaths FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 2""")
+def session_deaths(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event as a session document, written as JSON and read back; an error is a death in it."""
+    e = views.read(spark, sf, "events")
+    death = F.struct(F.col("user_id").cast("string").alias("code_id"), F.lit(1).alias("exitcode"))
+    died = F.when(F.col("event_type") == "error", F.array(death)).otherwise(F.array().cast("array<struct<code_id:string,exitcode:int>>"))
+    path = scratch.new_path(spark, "sessions")
+    tables.write_json(e.select(F.col("event_id").alias("session"), F.col("event_type").alias("kind"), died.alias("died")), path)
+    sessions = cell_source.read_sessions(spark, path, multi_line=False, glob="*.json")
+    return trials.deaths_by_item(sessions.withColumn("died", F.col("died.code_id")))
+
+
 # Folds and models.
 
 @query("grouped_folds", "L1", f"""WITH RECURSIVE {_M},

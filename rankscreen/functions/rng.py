@@ -14,8 +14,9 @@ def random_int(*parts) -> Column:
 
 
 def random_below(bound, *parts) -> Column:
-    """A uniform integer in [0, bound)."""
-    return F.pmod(random_int(*parts), bound if isinstance(bound, Column) else F.lit(bound).cast("long"))
+    """A uniform integer in [0, bound); never null, so a join on it does not hash twice to filter nulls."""
+    drawn = F.pmod(random_int(*parts), bound if isinstance(bound, Column) else F.lit(bound).cast("long"))
+    return F.coalesce(drawn, F.lit(0).cast("long"))
 
 
 def random_unit(*parts) -> Column:

@@ -33,19 +33,23 @@ def resample_weights(spark, n_items: int, n_resamples: int, seed: int) -> DataFr
     the windows that follow share one shuffle.
     """
     ids = spark.range(n_items * n_resamples)
-    rep = F.floor(F.col("id") / F.lit(n_items)).cast("long")
+    rep = F.expr(f"id div {n_items}L")
     slot = F.col("id") % F.lit(n_items)
     draws = ids.select(rep.alias("rep"), rng.random_below(n_items, F.lit(seed), rep, slot).alias("row_idx"))
     return draws.repartition("rep").groupBy("rep", "row_idx").agg(F.count(F.lit(1)).alias("w"))
 
 
 def _window_standings(weighted: DataFrame) -> DataFrame:
-    """Standings inside one replicate per task: three sorts over rows already placed by replicate."""
+    """Standings inside one replicate per task: three sorts over rows already placed by replicate.
+
+    A row's ties are its peers in the range frame, so both sums of a column share one sort.
+    """
     for c in _COLUMNS:
-        upto = Window.partitionBy("rep").orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        same = Window.partitionBy("rep", c)
-        weighted = (weighted.withColumn(f"{c}_tie", F.sum("w").over(same))
-                    .withColumn(f"{c}_below", F.sum("w").over(upto) - F.col(f"{c}_tie")))
+        order = Window.partitionBy("rep").orderBy(c)
+        upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        same = order.rangeBetween(Window.currentRow, Window.currentRow)
+        weighted = weighted.withColumns({f"{c}_tie": F.sum("w").over(same),
+                                         f"{c}_below": F.sum("w").over(upto) - F.sum("w").over(same)})
     return weighted
 
 

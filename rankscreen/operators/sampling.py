@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import scratch
-from ..constants import MIN_D_UPPER, MIN_DIM, PHI_SCORE  # noqa: F401
+from ..constants import MIN_D_UPPER, MIN_DIM
 from ..errors import Refused
 from ..functions import rng
 from . import ranks
@@ -28,7 +28,7 @@ def listing(df: DataFrame, by: str, order: Sequence[str], masked: Sequence[str],
 def first_fraction(df: DataFrame, order: Sequence[Column], parts: int = 3) -> DataFrame:
     """The first ceil(N / parts) rows under a total order."""
     placed = ranks.row_index(df, order, out="__idx")
-    size = df.count()
+    size = placed.select("__idx").count()
     return placed.filter(F.col("__idx") < math.ceil(size / parts)).drop("__idx")
 
 
@@ -46,7 +46,7 @@ def lowest_failing(df: DataFrame, fraction: str = "failure_fraction", key: str =
 def evenly_spaced(df: DataFrame, count: int, cost: str = "n_d_upper", key: str = "code_id") -> DataFrame:
     """``count`` items at evenly spaced ranks, costliest first; ranks round half up; all items when count covers them."""
     placed = longest_first(df, cost, key)
-    size = df.count()
+    size = placed.select("position").count()
     if count >= size:
         return placed
     if count == 1:

@@ -55,7 +55,7 @@ CELL_DDL = (
     "syndromes_sha256:string>>, paired map<string,map<string,double>>")
 
 SESSION_DDL = (
-    "session int, kind string, started_at string, ended_at string, "
+    "session bigint, kind string, started_at string, ended_at string, "
     "died array<struct<code_id:string,exitcode:int>>, started array<string>, "
     "stale_restarted array<struct<code_id:string,reason:string,cpu_class:string,moved_to:string>>, "
     "decode_core_hours struct<this_session:double,cumulative:double>, inventory map<string,string>")

@@ -57,7 +57,7 @@ def nest(tally: DataFrame) -> DataFrame:
                        "stopped_by", "decoders")
 
 
-def read_sessions(spark: SparkSession, directory: str) -> DataFrame:
+def read_sessions(spark: SparkSession, directory: str, *, multi_line: bool = True, glob: str = "session_*.json") -> DataFrame:
     """Session summaries in order."""
-    return (spark.read.schema(SESSION_DDL).option("multiLine", True).option("pathGlobFilter", "session_*.json")
+    return (spark.read.schema(SESSION_DDL).option("multiLine", multi_line).option("pathGlobFilter", glob)
             .json(directory).orderBy("session"))

@@ -55,12 +55,13 @@ def test_inventory(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "one").write_bytes(b"1")
     (tmp_path / "two.tmp").write_bytes(b"2")
-    got = inventory.inventory(spark, str(tmp_path)).cache()
+    found = inventory.inventory(spark, str(tmp_path))
+    got = spark.createDataFrame(found.collect(), found.schema)
     assert [(r["path"], r["n_bytes"]) for r in got.collect()] == [("d/one", 1)]
     inventory.require_intact(got, got)
     (tmp_path / "d" / "one").write_bytes(b"changed")
     with pytest.raises(Refused):
-        inventory.require_intact(spark.createDataFrame(got.collect(), got.schema), inventory.inventory(spark, str(tmp_path)))
+        inventory.require_intact(got, inventory.inventory(spark, str(tmp_path)))
 
 
 def test_cells_multi_line(spark, tmp_path):
