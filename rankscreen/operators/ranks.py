@@ -128,8 +128,10 @@ def row_index(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), ou
     # One row per partition of the sort, so the side is bounded by the partition count.
     placed = numbered.join(F.broadcast(offsets), "__part").withColumn("__global", F.col("__before") + F.col("__local"))
     if by:
-        starts = placed.groupBy(*by).agg(F.min("__global").alias("__start"))
-        placed = placed.join(starts, by).withColumn(out, F.col("__global") - F.col("__start"))
+        # A group's start is looked up per (partition, group), so a hot group's rows stay spread over its partitions.
+        first = placed.groupBy("__part", *by).agg(F.min("__global").alias("__first"))
+        starts = first.select("__part", *by, F.min("__first").over(Window.partitionBy(*by)).alias("__start"))
+        placed = placed.join(starts, ["__part", *by]).withColumn(out, F.col("__global") - F.col("__start"))
     else:
         placed = placed.withColumn(out, F.col("__global"))
     return placed.select(*df.columns, out)

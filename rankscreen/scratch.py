@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: dict[str, str] = {}
+_made: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
@@ -31,7 +32,9 @@ def root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{root(spark)}/rankscreen/{label}-{uuid.uuid4().hex}"
+    path = f"{root(spark)}/rankscreen/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
@@ -40,3 +43,11 @@ def table(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this process has made so far. Call it once every result that reads them is written."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
