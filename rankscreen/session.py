@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +21,23 @@ def local_session(cpus: str | None = None) -> SparkSession:
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped_to: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for those whose Python path lacks it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped_to:
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    handle, path = tempfile.mkstemp(prefix="rankscreen-", suffix=".zip")
+    with os.fdopen(handle, "wb") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as packed:
+        for top, _, files in os.walk(folder):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    packed.write(full, os.path.relpath(full, os.path.dirname(folder)))
+    sc.addPyFile(path)
+    _shipped_to.add(sc.applicationId)
