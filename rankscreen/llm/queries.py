@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import mixing, packing, quality_rules, secret_scan
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,14 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(documents(spark, sf_dir))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary())
 
@@ -27,7 +35,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_packing": op9_packing, "op10_mixing": op10_mixing,
+    "op1_quality_rules": op1_quality_rules, "op3_secret_scan": op3_secret_scan, "op9_packing": op9_packing, "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {
