@@ -29,7 +29,8 @@ BINS_PER_OCTAVE = 32
 COVERAGE = 0.75
 STEPS = 3
 MIN_ROWS = 50
-CUT = 30.0
+#: Squared distance of rejection. Lengths and repeats have longer tails than a normal, so it lies well beyond the chi-square quantiles.
+CUT = 60.0
 #: Median of a chi-square with five degrees of freedom.
 MEDIAN_CHI2 = 4.351
 #: Least standard deviation of each transformed statistic.
