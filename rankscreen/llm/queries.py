@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_rules, secret_scan
+from . import minhash, mixing, packing, quality_rules, secret_scan
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(documents(spark, sf_dir))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
 
@@ -35,7 +39,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_rules": op1_quality_rules, "op3_secret_scan": op3_secret_scan, "op9_packing": op9_packing, "op10_mixing": op10_mixing,
+    "op1_quality_rules": op1_quality_rules, "op2_minhash": op2_minhash, "op3_secret_scan": op3_secret_scan, "op9_packing": op9_packing, "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {
