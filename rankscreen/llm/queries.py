@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality_rules, secret_scan
+from . import byte_cnn, minhash, mixing, onebit_ann, packing, quality_rules, secret_scan
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
 
 
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_onebit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit_ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary())
 
@@ -39,7 +47,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_rules": op1_quality_rules, "op2_minhash": op2_minhash, "op3_secret_scan": op3_secret_scan, "op9_packing": op9_packing, "op10_mixing": op10_mixing,
+    "op1_quality_rules": op1_quality_rules, "op2_minhash": op2_minhash, "op3_secret_scan": op3_secret_scan, "op6_byte_cnn": op6_byte_cnn, "op7_onebit_ann": op7_onebit_ann, "op9_packing": op9_packing, "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {
