@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, minhash, mixing, onebit_ann, packing, quality_rules, secret_scan
+from . import byte_cnn, main_text, minhash, mixing, onebit_ann, packing, quality_rules, secret_scan
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +38,10 @@ def op7_onebit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit_ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary())
 
@@ -47,7 +51,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_rules": op1_quality_rules, "op2_minhash": op2_minhash, "op3_secret_scan": op3_secret_scan, "op6_byte_cnn": op6_byte_cnn, "op7_onebit_ann": op7_onebit_ann, "op9_packing": op9_packing, "op10_mixing": op10_mixing,
+    "op1_quality_rules": op1_quality_rules, "op2_minhash": op2_minhash, "op3_secret_scan": op3_secret_scan, "op6_byte_cnn": op6_byte_cnn, "op7_onebit_ann": op7_onebit_ann, "op8_main_text": op8_main_text,
+    "op9_packing": op9_packing, "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {
