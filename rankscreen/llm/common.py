@@ -23,3 +23,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids count as the text "null"."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % F.lit(folds)
+
+
+def discard(written: DataFrame) -> None:
+    """Delete the files of a scratch table that nothing reads any more."""
+    spark = written.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
