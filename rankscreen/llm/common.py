@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,3 +32,9 @@ def discard(written: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of phases whose results are written and whose plans are forgotten."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -87,11 +87,11 @@ class DiskQueue:
 def falling(text: np.ndarray) -> np.ndarray:
     """True where a suffix is larger than the next one (L type); the last character is the unique smallest one."""
     n = len(text)
-    step = np.sign(np.diff(text.astype(np.int64)))
-    where = np.where(step != 0, np.arange(n - 1), n)
-    nxt = np.minimum.accumulate(where[::-1])[::-1]
+    kind = np.int32 if n < 2**31 else np.int64
+    where = np.where(text[1:] != text[:-1], np.arange(n - 1, dtype=kind), kind(n))
+    nxt = np.minimum(np.minimum.accumulate(where[::-1])[::-1], n - 2)
     out = np.zeros(n, bool)
-    out[:-1] = np.where(nxt < n, step[np.minimum(nxt, n - 2)] < 0, True)
+    out[:-1] = text[nxt + 1] < text[nxt]
     return out
 
 
