@@ -11,22 +11,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rankscreen import scratch
-from rankscreen.llm import mixing, packing
+from rankscreen.llm import byte_cnn, minhash, mixing, packing, secret_scan
 from rankscreen.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the byte-level network accepts."""
+    return byte_cnn.drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, live-looking credentials replaced."""
+    return secret_scan.redact(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.repeat_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
     return packing.pack(docs, vocabulary())
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality_classifier),
+    ("near-duplicates", near_duplicates),
+    ("secret scans", secret_scans),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 #: Learned scores, sketches and tokenizers have no SQL form; tests hold the pipeline against a brute-force version.
 ORACLE_SQL: str | None = None
