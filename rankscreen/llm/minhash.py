@@ -8,9 +8,10 @@
    others are decided on the full shingle sets of both texts.
 4. Components by alternating large-star and small-star.
 5. A bucket whose members are not all in one component may still hide links between members other than the smallest.
-   All pairs of its members in different components are compared by signature, in blocks of bounded size and inside
-   numpy, so that no pair is emitted that fails; survivors are decided on full sets and join the components. No member
-   of a bucket is left out however large the bucket is.
+   Its members are compared by signature, in blocks of bounded size, and only a spanning forest of the pairs that pass
+   leaves the task: it joins components into clusters. Every cluster then gets the full sets of its members once,
+   again in blocks, and decides all pairs of different components; only the links that join components come out. No
+   member is left out however large a bucket or cluster is, and no list of pairs is ever written.
 
 Defined results: null, empty and wordless texts have no shingles, no links and stay; rows that share a doc_id are one
 document; a row without doc_id is kept, has no component and links to nothing; an empty table gives no rows.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
@@ -34,6 +35,7 @@ ROWS_PER_BAND = 4
 PERCENT = 75
 LEAST_AGREEMENT = 72
 BLOCK = 512
+BLOCK_BYTES = 16 << 20
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,13 +85,10 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFram
     return pairs.filter(sizes & (agree >= LEAST_AGREEMENT)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The pairs that reach the similarity on full shingle sets. ``texts``: doc_id, text."""
-    pairs = scratch.table(pairs, "minhash-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = scratch.table(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
+def confirmed(pairs: DataFrame, members: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The pairs that reach the similarity on full shingle sets. ``members``: rep, text and more."""
     for side in ("a", "b"):
-        pairs = pairs.join(needed.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
+        pairs = pairs.join(members.select(F.col("rep").alias(side), F.col("text").alias(f"text_{side}")), side)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, known = None, None
@@ -98,13 +97,45 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percen
             for i, (a, ta, tb) in enumerate(zip(batch["a"], batch["text_a"], batch["text_b"])):
                 if a != last:
                     last, known = a, shingle_set(ta, shingle)
-                other = shingle_set(tb, shingle)
-                common = len(np.intersect1d(known, other, assume_unique=True))
-                keep[i] = 100 * common >= percent * (len(known) + len(other) - common)
+                keep[i] = reaches(known, shingle_set(tb, shingle), percent)
             yield batch.loc[keep, ["a", "b"]]
     return pairs.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    x, y = (x, y) if len(x) < len(y) else (y, x)
+    at = np.searchsorted(y, x)
+    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+class Forest:
+    """Disjoint sets of 0..n-1; ``links`` are the unions that joined two of them."""
+
+    def __init__(self, groups: np.ndarray):
+        first: dict = {}
+        self.parent = np.array([first.setdefault(g, i) for i, g in enumerate(groups)])
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = int(self.parent[x])
+        return x
+
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        while (self.parent[self.parent] != self.parent).any():
+            self.parent = self.parent[self.parent]
+        return self.parent[of]
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.root(x), self.root(y)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.links.append((x, y))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for every node of ``edges`` (a, b), by alternating stars.
 
@@ -130,33 +161,63 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(now.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
-def hidden_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of bucket members in different components whose signatures agree enough, smallest members apart."""
-    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def in_blocks(placed: DataFrame, blocks: Column) -> DataFrame:
+    """Each row for every pair of blocks of its group that it belongs to: columns i <= j, and its own block."""
+    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+
+
+def _candidates(x: int, block: np.ndarray, within: bool, n: np.ndarray, sig: np.ndarray, forest: Forest, percent: int) -> np.ndarray:
+    """Later rows that this block pair compares with row ``x``, not yet joined to it, best agreement first."""
+    ys = np.arange(x + 1, len(n))
+    ys = ys[(within | (block[ys] != block[x])) & (100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x]))]
+    ys = ys[forest.roots(ys) != forest.root(x)]
+    agree = (sig[ys] == sig[x]).sum(axis=1)
+    return ys[np.argsort(-agree, kind="stable")][:int((agree >= LEAST_AGREEMENT).sum())]
+
+
+def candidate_forest(buckets_: DataFrame, labels: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that span the signature-alike members of every bucket whose members are in different components."""
+    placed = buckets_.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo != hi").select("key"))
     placed = placed.filter("rep != leader").join(open_, "key", "left_semi")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
-    placed = placed.join(sets.select("rep", "n_shingles", "sig"), "rep")
+    placed = in_blocks(placed, F.ceil(F.col("members") / BLOCK).cast("int")).select("key", "i", "j", "block", "rep", "component")
+    placed = placed.join(members.select("rep", "n_shingles", "sig"), "rep")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rep")
-        rep, comp, block, n = (group[c].to_numpy() for c in ("rep", "component", "block", "n_shingles"))
-        within = group["i"].iloc[0] == group["j"].iloc[0]
-        sig = np.stack(group["sig"].to_numpy())
-        found = []
+        rep, block, n = (group[c].to_numpy() for c in ("rep", "block", "n_shingles"))
+        within, sig, forest = group["i"].iloc[0] == group["j"].iloc[0], np.stack(group["sig"].to_numpy()), Forest(group["component"].to_numpy())
         for x in range(len(rep) - 1):
-            ys = np.arange(x + 1, len(rep))
-            ys = ys[(comp[ys] != comp[x]) & (within | (block[ys] != block[x])) & (100 * np.minimum(n[ys], n[x]) >= PERCENT * np.maximum(n[ys], n[x]))]
-            ys = ys[(sig[ys] == sig[x]).sum(axis=1) >= LEAST_AGREEMENT]
-            found += [(rep[x], y) for y in rep[ys]]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+            for y in _candidates(x, block, within, n, sig, forest, percent):
+                forest.join(x, int(y))
+        return pd.DataFrame([(rep[x], rep[y]) for x, y in forest.links], columns=["a", "b"]).astype("int64")
     return placed.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
+def cluster_links(clusters: DataFrame, members: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Confirmed links (a, b) between the components of each cluster. ``clusters``: rep, cluster, component."""
+    several = (clusters.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"),
+                                               F.sum("bytes").alias("total")).filter("lo != hi").select("cluster", "m", "total"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_BYTES)).cast("int")
+    placed = in_blocks(clusters.join(several, "cluster"), blocks).select("cluster", "i", "j", "block", "rep", "component")
+    placed = placed.join(members.select("rep", "n_shingles", "sig", "text"), "rep")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rep")
+        rep, block, n = (group[c].to_numpy() for c in ("rep", "block", "n_shingles"))
+        within, sig, forest = group["i"].iloc[0] == group["j"].iloc[0], np.stack(group["sig"].to_numpy()), Forest(group["component"].to_numpy())
+        sets = [shingle_set(t, shingle) for t in group["text"]]
+        for x in range(len(rep) - 1):
+            for y in _candidates(x, block, within, n, sig, forest, percent):
+                if forest.root(x) != forest.root(int(y)) and reaches(sets[x], sets[y], percent):
+                    forest.join(x, int(y))
+        return pd.DataFrame([(rep[x], rep[y]) for x, y in forest.links], columns=["a", "b"]).astype("int64")
+    return placed.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per input row."""
@@ -164,15 +225,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = (found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
             .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
     sets = scratch.table(sets, "minhash-sets")
-    members = scratch.table(buckets(sets), "minhash-buckets")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = members.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = scratch.table(confirmed(alike(first, sets, percent), texts, shingle, percent), "minhash-edges")
+    shared = scratch.table(buckets(sets), "minhash-buckets")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    # The one join that moves whole texts: those of documents that share a bucket, once.
+    some = sets.join(shared.select("rep").distinct(), "rep", "left_semi")
+    members = texts.join(some.select("rep", "n_shingles", "sig").hint("merge"), "rep").dropDuplicates(["rep"])
+    members = scratch.table(members, "minhash-members")
+    first = shared.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    edges = scratch.table(confirmed(scratch.table(alike(first, members, percent), "minhash-pairs"), members, shingle, percent), "minhash-edges")
     labels = scratch.table(components(edges), "minhash-labels")
-    hidden = scratch.table(hidden_pairs(members, labels, sets), "minhash-hidden")
-    if not hidden.isEmpty():
-        more = confirmed(hidden, texts, shingle, percent)
+    loose = scratch.table(candidate_forest(shared, labels, members, percent), "minhash-loose")
+    if not loose.isEmpty():
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        clusters = components(stars.unionByName(loose)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+        clusters = clusters.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        clusters = clusters.join(members.select("rep", F.octet_length("text").alias("bytes")), "rep")
+        more = cluster_links(scratch.table(clusters, "minhash-clusters"), members, shingle, percent)
         labels = scratch.table(components(stars.unionByName(more)), "minhash-labels")
     named = (sets.select("k1", "k2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
              .select("k1", "k2", F.coalesce("component", "rep").alias("class")))
