@@ -128,9 +128,10 @@ def weighted_walk(spark: SparkSession, sf: str) -> DataFrame:
                            "walk_position").drop("walk_key")
 
 
-# Odd counts so that both the even split and the shared shortfall leave a remainder.
-_COUNT = 20_011
+# Nine tenths of what is admissible, and one: small strata run out, and both splits leave a remainder.
+_COUNT = "(SELECT c FROM wanted)"
 _BALANCED = f"""{_WALK},
+wanted AS (SELECT count(*) FILTER (cause IS NULL) * 9 // 10 + 1 AS c FROM w),
 cap AS (SELECT construction_program_id, count(*) FILTER (cause IS NULL) AS capacity,
                {_rand(f"'{_SEED}'", "'quota'", "construction_program_id")} AS h FROM w GROUP BY 1),
 lv AS (SELECT lvl FROM (SELECT unnest(range({_COUNT} + 1)) AS lvl), cap GROUP BY lvl HAVING sum(least(capacity, lvl)) <= {_COUNT} ORDER BY lvl DESC LIMIT 1),
@@ -145,9 +146,9 @@ pk AS (SELECT a.* FROM acc a JOIN quo q ON a.construction_program_id = q.constru
 
 
 def _balanced(spark, sf):
-    # The stratum count grows with nothing here, so the wanted count is fixed; capacities grow with the part table.
-    return sampling.balanced_sample(_candidates(spark, sf), _templates(spark, sf), "construction_program_id",
-                                    ["template", "l", "m"], _COUNT, _SEED)
+    candidates = _candidates(spark, sf)
+    wanted = candidates.filter("cause is null").count() * 9 // 10 + 1
+    return sampling.balanced_sample(candidates, _templates(spark, sf), "construction_program_id", ["template", "l", "m"], wanted, _SEED)
 
 
 @query("balanced_sample", "W12", f"""WITH {_BALANCED}

@@ -225,24 +225,30 @@ def exclusion_problems(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("manifest_differences", "F17 F18", """
-WITH g AS (SELECT l_suppkey, CAST(max(l_linenumber) AS VARCHAR) AS lines, min(l_returnflag) AS flag, CAST(count(*) AS VARCHAR) AS n FROM lineitem GROUP BY 1),
-o AS (SELECT CAST(max(l_linenumber) AS VARCHAR) AS lines, min(l_returnflag) AS flag FROM lineitem)
-SELECT l_suppkey, 'lines' AS key, g.lines AS recorded, o.lines AS current FROM g, o WHERE g.lines <> o.lines
-UNION ALL SELECT l_suppkey, 'flag', g.flag, o.flag FROM g, o WHERE g.flag <> o.flag""")
+WITH g AS (SELECT l_suppkey, CAST(min(l_quantity) AS BIGINT)::VARCHAR AS least, CAST(max(l_quantity) AS BIGINT)::VARCHAR AS most, CAST(count(*) AS VARCHAR) AS n FROM lineitem GROUP BY 1),
+o AS (SELECT CAST(min(l_quantity) AS BIGINT)::VARCHAR AS least, CAST(max(l_quantity) AS BIGINT)::VARCHAR AS most, CAST(count(*) // count(DISTINCT l_suppkey) AS VARCHAR) AS n FROM lineitem)
+SELECT l_suppkey, 'least' AS key, g.least AS recorded, o.least AS current FROM g, o WHERE g.least <> o.least
+UNION ALL SELECT l_suppkey, 'most', g.most, o.most FROM g, o WHERE g.most <> o.most
+UNION ALL SELECT l_suppkey, 'n', g.n, o.n FROM g, o WHERE g.n <> o.n""")
 def manifest_differences(spark: SparkSession, sf: str) -> DataFrame:
     li = views.read(spark, sf, "lineitem")
-    settings = [F.max("l_linenumber").alias("lines"), F.min("l_returnflag").alias("flag"), F.count(F.lit(1)).alias("n")]
-    recorded = li.groupBy("l_suppkey").agg(*settings)
-    overall = li.agg(*settings)  # one row
-    current = recorded.select("l_suppkey", *[overall.select(c).scalar().alias(c) for c in ("lines", "flag", "n")])
-    return guards.settings_differences(recorded, current, ["lines", "flag", "n"], ["l_suppkey"], ignore=["n"])
+    ends = [F.min("l_quantity").cast("long").alias("least"), F.max("l_quantity").cast("long").alias("most")]
+    recorded = li.groupBy("l_suppkey").agg(*ends, F.count(F.lit(1)).alias("n"), F.max("l_tax").alias("noted"))
+    mean = F.floor(F.count(F.lit(1)) / F.countDistinct("l_suppkey")).alias("n")
+    overall = li.agg(*ends, mean, F.min("l_tax").alias("noted"))  # one row
+    names = ["least", "most", "n", "noted"]
+    current = recorded.select("l_suppkey", *[overall.select(c).scalar().alias(c) for c in names])
+    return guards.settings_differences(recorded, current, names, ["l_suppkey"], ignore=["noted"])
 
 
 @query("table_digest", "F20", """
 WITH r AS (SELECT sha256('{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_returnflag":"' || l_returnflag || '"}') AS h FROM lineitem),
 l AS (SELECT h, count(*) AS n FROM r GROUP BY h),
-a AS (SELECT substr(h, 1, 2) AS g, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS d FROM l GROUP BY 1),
-b AS (SELECT substr(g, 1, 1) AS g, sha256(string_agg(g || ':' || d, chr(10) ORDER BY g)) AS d FROM a GROUP BY 1)
+a5 AS (SELECT substr(h, 1, 5) AS g, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS d FROM l GROUP BY 1),
+a4 AS (SELECT substr(g, 1, 4) AS g, sha256(string_agg(g || ':' || d, chr(10) ORDER BY g)) AS d FROM a5 GROUP BY 1),
+a3 AS (SELECT substr(g, 1, 3) AS g, sha256(string_agg(g || ':' || d, chr(10) ORDER BY g)) AS d FROM a4 GROUP BY 1),
+a2 AS (SELECT substr(g, 1, 2) AS g, sha256(string_agg(g || ':' || d, chr(10) ORDER BY g)) AS d FROM a3 GROUP BY 1),
+b AS (SELECT substr(g, 1, 1) AS g, sha256(string_agg(g || ':' || d, chr(10) ORDER BY g)) AS d FROM a2 GROUP BY 1)
 SELECT sha256(string_agg(g || ':' || d, chr(10) ORDER BY g)) AS digest FROM b""")
 def table_digest(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.table_digest(views.read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_returnflag"])

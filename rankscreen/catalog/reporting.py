@@ -4,9 +4,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from .. import scratch
-from ..functions import identity
+from ..functions import identity, rates
 from ..operators import model, ranks, splits, trials
 from ..plans import assembly, calibration, evaluation, views
+from ..schemas import METRICS
 from ..sources import cells as cell_source
 from ..sources import inventory, shards, tables
 from ..streaming import shards as stream
@@ -100,11 +101,29 @@ def evaluation_text_report(spark: SparkSession, sf: str) -> DataFrame:
     m = scratch.table(views.measurements(spark, sf), "labelled")
     table = evaluation.metric_table(m, "price_score", "phi_from_d_upper", n_resamples=_REPS, seed=_SEED)
     path = scratch.new_path(spark, "report")
-    tables.write_text(evaluation.report_lines(evaluation.with_noise_ceiling(table, m, 20)), path)
+    tables.write_text(evaluation.report_lines(evaluation.with_noise_ceiling(table, m)), path)
     return spark.read.text(path)
 
 
-@query("program_report_lines", "S8 A1 P26", f"""WITH {_M}
+def _evaluation(spark, sf):
+    m = views.measurements(spark, sf)
+    features = m.select("code_id", "n", "k", "d_upper", "phi_from_d_upper", "p_retailprice",
+                        F.when(F.col("p_size") > 5, F.col("p_size")).alias("girth_x"))
+    # The published model has 300 trees; these few keep the query within minutes on one machine.
+    return evaluation.evaluate(m, features, expected_rows=m.count(), predictions_path=scratch.new_path(spark, "predictions"), n_splits=3,
+                               feature_columns=["n", "k", "d_upper", "phi_from_d_upper", "p_retailprice", "girth_x"],
+                               params={"maxIter": 4, "stepSize": 0.3, "maxDepth": 3, "seed": 0})
+
+
+@query("evaluation_document", "M9 M1 M2 M3 M4 M5 M6 L1 L2 L3 S6 S8 J1 F1 F2 F5 F7 F22")
+def evaluation_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole evaluation, guards on: join, out-of-fold model, intervals, ceiling, and the document as read back."""
+    path = scratch.new_path(spark, "evaluation")
+    evaluation.write_report(_evaluation(spark, sf), path)
+    return spark.read.schema(METRICS).json(f"{path}/metrics")
+
+
+@query("program_report_lines", "S8 A1", f"""WITH {_M}
 SELECT rpad(construction_program_id, 12, ' ') || printf('%6d items %5d censored %8.4f rate', count(*), count(*) FILTER (censored), avg(censored::INT::DOUBLE)) AS line
 FROM meas GROUP BY construction_program_id""")
 def program_report_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,7 +154,7 @@ def _assembly_shards(spark, sf, population):
     t = ranks.row_index(li, [F.col(c).asc() for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")], ["l_partkey"], "trial")
     b = (t.withColumn("batch_index", F.floor(F.col("trial") / 5).cast("long")).groupBy("l_partkey", "batch_index")
          .agg(F.count(F.lit(1)).alias("batch_shots"), F.count_if(F.col("l_returnflag") == "R").alias("batch_failures"),
-              F.sum("l_quantity").alias("batch_decode_seconds")).filter("batch_shots = 5"))
+              F.sum("l_quantity").alias("batch_decode_seconds")))
     ids = population.select("p_partkey", F.col("code_id").alias("item"))
     b = b.join(ids, b["l_partkey"] == ids["p_partkey"]).drop("p_partkey", "l_partkey")
     kept = trials.stop_batches(b, min_failures=_ASM_MIN, max_shots=_ASM_CAP)
@@ -156,7 +175,7 @@ def _assembly_sql():
     lo, hi = wilson_sql()
     return f"""{views.POPULATION_SQL},
 tr AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) - 1 AS trial FROM lineitem),
-ba AS (SELECT l_partkey, trial // 5 AS bi, count(*) AS bs, count(*) FILTER (l_returnflag = 'R') AS bf, sum(l_quantity) AS sec FROM tr GROUP BY 1, 2 HAVING count(*) = 5),
+ba AS (SELECT l_partkey, trial // 5 AS bi, count(*) AS bs, count(*) FILTER (l_returnflag = 'R') AS bf, sum(l_quantity) AS sec FROM tr GROUP BY 1, 2),
 rn AS (SELECT *, sum(bs) OVER w AS cs, sum(bf) OVER w AS cf FROM ba WINDOW w AS (PARTITION BY l_partkey ORDER BY bi)),
 kp AS (SELECT * FROM rn WHERE cs - bs < {_ASM_CAP} AND cf - bf < {_ASM_MIN}),
 co AS (SELECT l_partkey, CAST(max(cs) AS BIGINT) AS shots, CAST(max(cf) AS BIGINT) AS failures, sum(sec) AS decode_seconds FROM kp GROUP BY 1 HAVING max(cf) >= {_ASM_MIN} OR max(cs) >= {_ASM_CAP}),
@@ -179,24 +198,65 @@ def assembled_measurements(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows, "phi_from_d_upper", "true_ler", "true_ler_ub", "true_ler_ci_low")
 
 
+@query("guarded_assembly", "A4 F9 F12 F13 F14 F15 F16 S7", f"""WITH {views.POPULATION_SQL},
+tr AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) - 1 AS trial FROM lineitem),
+ba AS (SELECT l_partkey, trial // 5 AS bi, count(*) AS bs, count(*) FILTER (l_returnflag = 'R') AS bf FROM tr GROUP BY 1, 2),
+rn AS (SELECT *, sum(bs) OVER w AS cs, sum(bf) OVER w AS cf FROM ba WINDOW w AS (PARTITION BY l_partkey ORDER BY bi)),
+co AS (SELECT l_partkey, max(cs) AS shots, max(cf) AS failures, min(bs) AS least FROM rn WHERE cs - bs < {_ASM_CAP} AND cf - bf < {_ASM_MIN} GROUP BY 1),
+re AS (SELECT 'bb_v1_p' || p_partkey || '-' || substr(sha256(params_json), 1, 12) AS code_id, shots, failures,
+              CASE WHEN shots IS NULL THEN 'no trials' WHEN least < 5 THEN 'a short batch' WHEN shots < {_ASM_CAP} AND failures < {_ASM_MIN} THEN 'unfinished'
+                   WHEN failures = shots THEN 'every trial failed' END AS reason FROM pop LEFT JOIN co ON l_partkey = p_partkey)
+SELECT code_id, reason, CAST(CASE WHEN reason IS NULL THEN shots END AS BIGINT) AS shots, CAST(CASE WHEN reason IS NULL THEN failures END AS BIGINT) AS failures FROM re""")
+def guarded_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item of the population: its assembled counts after all guards, or why the side table of exclusions lists it."""
+    population = scratch.table(_assembly_population(spark, sf), "population")
+    batches = scratch.table(_assembly_shards(spark, sf, population), "assembly-shards")
+    per = batches.groupBy(F.col("item").alias("code_id")).agg(
+        F.max("shots").alias("shots"), F.max("failures").alias("failures"), F.min("batch_shots").alias("least"))
+    reason = (F.when(F.col("shots").isNull(), "no trials").when(F.col("least") < 5, "a short batch")
+              .when((F.col("shots") < _ASM_CAP) & (F.col("failures") < _ASM_MIN), "unfinished")
+              .when(F.col("failures") == F.col("shots"), "every trial failed"))
+    judged = population.select("code_id").join(per, "code_id", "left").select("code_id", reason.alias("reason"))
+    path = scratch.new_path(spark, "exclusions")
+    judged.filter("reason IS NOT NULL").write.parquet(path)
+    excluded = spark.read.parquet(path)
+    own = batches.join(excluded.select(F.col("code_id").alias("item")), "item", "left_anti")
+    rows = assembly.assemble(population, own, excluded, p=_P_RATE, decoder_version=_VERSION, batch_size=5, max_shots=_ASM_CAP,
+                             min_failures=_ASM_MIN, created_at=_CREATED)
+    none = F.lit(None).cast("long")
+    return rows.select("code_id", F.lit(None).cast("string").alias("reason"), "shots", "failures").unionByName(
+        excluded.select("code_id", "reason", none.alias("shots"), none.alias("failures")))
+
+
 # Calibration documents written as nested JSON and read back.
 
+def _cell_pairs(spark, sf):
+    """The k-th trials of both decoders of a cell, paired: the 2x2 table per (p, item)."""
+    li = views.read(spark, sf, "lineitem")
+    order = [F.col(c).asc() for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")]
+    numbered = ranks.row_index(li.select("l_tax", "l_suppkey", "l_linestatus", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag"),
+                               order, ["l_tax", "l_suppkey", "l_linestatus"], "trial")
+    long = numbered.select(F.col("l_tax").alias("p"), F.col("l_suppkey").cast("string").alias("code_id"), "trial",
+                           F.col("l_linestatus").alias("treatment"), (F.col("l_returnflag") == "R").alias("failed"))
+    table = trials.contingency(trials.pair_treatments(long, ["F", "O"], ["p", "code_id", "trial"]), ["p", "code_id"], "F", "O")
+    return table.select("p", "code_id", F.lit("F|O").alias("pairing"), "both_fail", "only_a", "only_b",
+                        F.col("neither_fails").alias("neither"), F.col("mcnemar_exact_p").alias("p_value"))
+
+
 def _documents(spark, sf):
     flat = projecting.cells(spark, sf)
     stop = trials.stop_reason(F.col("failures"), F.col("shots"), 5, 40)
-    both = flat.groupBy("p", "code_id").agg(F.countDistinct("decoder").alias("nd"))
-    flat = flat.join(both, ["p", "code_id"]).filter("nd = 2").drop("nd")
-    docs = cell_source.nest(flat.withColumn("stopped_by", stop))
+    docs = cell_source.nest(flat.withColumn("stopped_by", stop), _cell_pairs(spark, sf))
     path = scratch.new_path(spark, "cells")
     tables.write_json(docs, path)
     return cell_source.read_cells(spark, path, multi_line=False)
 
 
 @query("calibration_cell_table", "S4 M11 T7 P16 P17", f"""WITH {projecting._CELLS},
-w AS (SELECT p, code_id, decoder, max(shots) OVER (PARTITION BY p, code_id) AS shots, failures, ler, decode_seconds, count(*) OVER (PARTITION BY p, code_id) AS nd FROM cl),
+w AS (SELECT p, code_id, decoder, shots, failures, ler, decode_seconds FROM cl),
 e AS (SELECT *, CASE WHEN failures > 0 THEN CAST(ceil(5 * shots / failures::DOUBLE) AS BIGINT) END AS shots_estimate,
         CASE WHEN failures > 0 THEN ceil(5 * shots / failures::DOUBLE) > 40 WHEN ceil(5.0 / least(1.0, (3.8414588206941227/(2.0*shots))/(1.0 + 3.8414588206941227/shots) + (1.959963984540054*sqrt(3.8414588206941227/(4.0*shots*shots)))/(1.0 + 3.8414588206941227/shots))) > 40 THEN true END AS exceeds_max_shots
-      FROM w WHERE nd = 2),
+      FROM w),
 x AS (SELECT *, CASE WHEN shots_estimate IS NULL OR coalesce(exceeds_max_shots, false) THEN 40 ELSE least(CAST(ceil(shots_estimate / 8.0::DOUBLE) AS BIGINT) * 8, 40) END AS rs FROM e)
 SELECT p, code_id, decoder, failures, round(ler, 9) AS ler, shots_estimate, exceeds_max_shots, round(rs * decode_seconds / shots / 3600, 9) AS core_hours FROM x""")
 def calibration_cell_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,16 +265,44 @@ def calibration_cell_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("p", "code_id", "decoder", "failures", "ler", "shots_estimate", "exceeds_max_shots", "core_hours"), "ler", "core_hours")
 
 
-@query("calibration_status_counts", "M11 A10")
+@query("calibration_pairs", "M11 A9 P25 S4", """
+WITH n AS (SELECT l_tax AS p, CAST(l_suppkey AS VARCHAR) AS code_id, l_linestatus AS d, l_returnflag = 'R' AS f,
+                  row_number() OVER (PARTITION BY l_tax, l_suppkey, l_linestatus ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS t FROM lineitem),
+c AS (SELECT a.p, a.code_id, count_if(a.f AND b.f) AS both_fail, count_if(a.f AND NOT b.f) AS only_a, count_if(NOT a.f AND b.f) AS only_b,
+             count_if(NOT a.f AND NOT b.f) AS neither FROM n a JOIN n b ON a.p = b.p AND a.code_id = b.code_id AND a.t = b.t AND a.d = 'F' AND b.d = 'O' GROUP BY 1, 2),
+s AS (SELECT p, code_id, sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))) AS s
+      FROM (SELECT *, unnest(range(CAST(least(only_a, only_b) + 1 AS BIGINT))) AS i FROM c) GROUP BY 1, 2)
+SELECT c.p, c.code_id, 'F|O' AS pairing, CAST(both_fail AS BIGINT) AS both_fail, CAST(only_a AS BIGINT) AS only_a, CAST(only_b AS BIGINT) AS only_b,
+       CAST(neither AS BIGINT) AS neither, round(CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE least(1.0, 2 * s) END + 1e-11, 9) AS p_value
+FROM c JOIN s ON c.p = s.p AND c.code_id = s.code_id""")
+def calibration_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairings of every cell, after a round trip through nested JSON documents."""
+    # Exact values often end in a 5 at the tenth place; a small shift keeps rounding from hanging on the last bit.
+    return rounded(cell_source.flatten_pairs(_documents(spark, sf)).withColumn("p_value", F.col("p_value") + 1e-11), "p_value")
+
+
+@query("foreign_cells", "S4", f"""WITH {projecting._CELLS}, d AS (SELECT p, code_id, count(*) AS n FROM cl GROUP BY 1, 2)
+SELECT p, code_id FROM d WHERE n < 2 OR p > 0.06""")
+def foreign_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells off the planned grid, or without both decoders."""
+    docs = _documents(spark, sf)
+    plan = docs.filter("p <= 0.06").select("p", F.col("code.code_id").alias("code_id"))
+    return cell_source.foreign_cells(docs, plan, ["F", "O"])
+
+
+@query("calibration_status_counts", "M11 A10", f"""WITH {projecting._CELLS},
+r AS (SELECT CASE WHEN failures >= 5 THEN 'min_failures' WHEN shots >= 40 THEN 'max_shots' ELSE 'running' END AS s FROM cl)
+SELECT x AS stopped_by, (SELECT count(*) FROM r WHERE s = x) AS n FROM (SELECT unnest(['min_failures', 'max_shots', 'wall_clock', 'killed', 'died']) AS x)""")
 def calibration_status_counts(spark: SparkSession, sf: str) -> DataFrame:
     return calibration.summarize(_documents(spark, sf), projecting.population(spark, sf), small="1", large="7", max_shots=40,
                                  shot_batch=8, min_failures=5).status_counts
 
 
-@query("calibration_projection", "M11 M10 U3")
+@query("calibration_projection", "M11 M10 U3", f"WITH {projecting._proj('pp')} {projecting._sum()} FROM pj GROUP BY p, decoder, max_shots")
 def calibration_projection(spark: SparkSession, sf: str) -> DataFrame:
-    return calibration.summarize(_documents(spark, sf), projecting.population(spark, sf), small="1", large="7", max_shots=40,
-                                 shot_batch=8, min_failures=5).projection
+    out = calibration.summarize(_documents(spark, sf), projecting.population(spark, sf), small="1", large="7", max_shots=40,
+                                shot_batch=8, min_failures=5).projection
+    return projecting._round_summary(out)
 
 
 @query("session_deaths", "S5 A6", """
@@ -230,6 +318,17 @@ def session_deaths(spark: SparkSession, sf: str) -> DataFrame:
     return trials.deaths_by_item(sessions.withColumn("died", F.col("died.code_id")))
 
 
+@query("undefined_values", "P26", """
+SELECT l_suppkey, round(CASE WHEN stddev_pop(l_tax) = 0 THEN NULL ELSE (max(l_tax) - avg(l_tax)) / stddev_pop(l_tax) END, 9) AS spread
+FROM lineitem WHERE l_quantity = 50 GROUP BY 1""")
+def undefined_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest tax in standard deviations: undefined, and so null, for a supplier whose taxes are all the same."""
+    per = views.read(spark, sf, "lineitem").filter("l_quantity = 50").groupBy("l_suppkey").agg(
+        (F.max("l_tax") - F.avg("l_tax")).alias("over"), F.stddev_pop("l_tax").alias("s"))
+    ratio = F.when(F.col("s") == 0, F.lit(float("nan"))).otherwise(F.try_divide("over", "s"))
+    return rounded(per.select("l_suppkey", rates.null_if_nan(ratio.alias("r")).alias("spread")), "spread")
+
+
 # Folds and models.
 
 @query("grouped_folds", "L1", f"""WITH RECURSIVE {_M},
@@ -272,10 +371,20 @@ def out_of_fold_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 # Streams.
 
-def _stopped_stream(spark, sf):
-    source = scratch.table(views.batches(spark, sf).withColumn("item", F.col("item").cast("string")), "stream-source")
+def _stream_source(spark, sf, rows):
+    """The rows in files of their own, read back a few files to a micro-batch."""
+    folder = scratch.new_path(spark, "stream-source")
+    rows.repartition(6, F.xxhash64("item", "batch_index")).write.parquet(folder)
+    return stream.read_stream(spark, folder, rows.schema, max_files=2)
+
+
+def _string_batches(spark, sf):
+    return views.batches(spark, sf).withColumn("item", F.col("item").cast("string"))
+
+
+def _stopped_stream(spark, sf, batches=None):
     path, done = scratch.new_path(spark, "stream-out"), scratch.new_path(spark, "stream-checkpoint")
-    rows = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
+    rows = _stream_source(spark, sf, _string_batches(spark, sf) if batches is None else batches)
     stream.to_table(stream.stop_items(rows, batch_size=views.VIEW_BATCH, max_shots=_SHOT_CAP, min_failures=_SHOT_MIN), path, done).awaitTermination()
     return path
 
@@ -290,7 +399,7 @@ def streaming_stopping(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/kept").select("item", "batch_index", "shots", "failures", "stopped_by")
 
 
-@query("streaming_refusals", "R2 R5", f"""WITH {_BATCHES},
+@query("streaming_refusals", "R2", f"""WITH {_BATCHES},
 run AS (SELECT *, sum(batch_shots) OVER w AS shots, sum(batch_failures) OVER w AS failures FROM batches WINDOW w AS (PARTITION BY item ORDER BY batch_index))
 SELECT CAST(item AS VARCHAR) AS item, batch_index, 'past_stop' AS status
 FROM run WHERE failures - batch_failures >= {_SHOT_MIN} OR shots - batch_shots >= {_SHOT_CAP}""")
@@ -299,6 +408,20 @@ def streaming_refusals(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/refused").select("item", "batch_index", "status")
 
 
+@query("streaming_provenance", "R2 R5 F14", f"""WITH {_BATCHES},
+run AS (SELECT *, sum(batch_shots) OVER w AS shots, sum(batch_failures) OVER w AS failures, item % 5 = 0 AS mixed FROM batches WINDOW w AS (PARTITION BY item ORDER BY batch_index)),
+st AS (SELECT *, failures - batch_failures >= {_SHOT_MIN} OR shots - batch_shots >= {_SHOT_CAP} AS late FROM run),
+fo AS (SELECT item FROM st WHERE mixed AND batch_index = 3 AND NOT late)
+SELECT CAST(st.item AS VARCHAR) AS item, batch_index,
+       CASE WHEN fo.item IS NOT NULL AND batch_index = 3 THEN 'foreign' WHEN late OR (fo.item IS NOT NULL AND batch_index > 3) THEN 'past_stop' END AS status
+FROM st LEFT JOIN fo ON fo.item = st.item WHERE late OR (fo.item IS NOT NULL AND batch_index >= 3)""")
+def streaming_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """From its fourth batch on, every fifth item comes from another machine: that batch is quarantined, the rest refused."""
+    other = (F.pmod(F.col("item").cast("long"), F.lit(5)) == 0) & (F.col("batch_index") >= 3)
+    path = _stopped_stream(spark, sf, _string_batches(spark, sf).withColumn("cpu_class", F.when(other, "b").otherwise("a")))
+    return spark.read.parquet(f"{path}/refused").select("item", "batch_index", "status")
+
+
 @query("streaming_distinct_events", "R1 R4", """
 SELECT user_id AS item, count(*) AS n FROM events GROUP BY 1""")
 def streaming_distinct_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -316,10 +439,11 @@ t AS (SELECT item, sum(batch_shots) AS s, sum(batch_failures) AS f FROM batches
 st AS (SELECT CASE WHEN f >= {_SHOT_MIN} OR s >= {_SHOT_CAP} THEN 'done' ELSE 'partial' END AS state FROM t)
 SELECT s AS state, (SELECT count(*) FROM st WHERE state = s) AS n FROM (SELECT unnest(['done', 'partial', 'not_started', 'failed', 'row_error']) AS s)""")
 def streaming_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    source = scratch.table(views.batches(spark, sf).withColumn("item", F.col("item").cast("string")), "stream-source")
-    rows = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
+    source = scratch.table(_string_batches(spark, sf), "stream-batches")
+    rows = _stream_source(spark, sf, source)
     path, done = scratch.new_path(spark, "snapshots"), scratch.new_path(spark, "snapshot-checkpoint")
     people = source.select(F.col("item").alias("code_id")).distinct()
     stopped = stream.stop_items(rows, batch_size=views.VIEW_BATCH, max_shots=_SHOT_CAP, min_failures=_SHOT_MIN)
     stream.snapshots(stopped, people, path, done).awaitTermination()
-    return spark.read.parquet(f"{path}/snapshots").filter("batch_id = 0").select("state", "n")
+    taken = spark.read.parquet(f"{path}/snapshots")
+    return taken.filter(F.col("batch_id") == taken.agg(F.max("batch_id").alias("b")).select("b").scalar()).select("state", "n")

@@ -6,7 +6,7 @@ from ..operators import resample
 from ..plans import views
 from .core import query, rounded
 
-_B, _SEED = 20, 20261001
+_B, _SEED = 1000, 20261001
 _M = views.measurements_sql()
 
 _REPLICATES = f"""{_M},
@@ -46,4 +46,4 @@ def bootstrap_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("label_noise_ceiling", "M6")
 def label_noise_ceiling(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.label_noise_ceiling(views.measurements(spark, sf), n_draws=50)
+    return resample.label_noise_ceiling(views.measurements(spark, sf), n_draws=1000)

@@ -22,11 +22,6 @@ OPEN_AND_SWAP_TICKS = 2
 FAMILY_PREFIXES = {"bb_v1": "BB"}
 PROVENANCE_FIELDS = ("commit_sha", "stim_version", "cpu_class")
 RUN_FIELDS = ("seed", "batch_size", "max_shots")
-IDENTITY_KEYS = ("code_id", "construction_program_id", "params_json", "seed")
-MANIFEST_KEYS = (
-    "protocol_hash", "decoder_version", "stim_version", "commit_sha",
-    "population_sha256", "p", "batch_size", "max_shots",
-)
 SHARED_COLUMNS = ("n", "k", "d_upper", "n_ancilla", "n_total")
 MARKER_COLUMN = "calibration"
 PHI_SCORE = "phi_from_d_upper"

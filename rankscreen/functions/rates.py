@@ -194,19 +194,28 @@ def wall_hours(core_hours, longest, cores: int) -> Column:
     return F.greatest(_col(core_hours) / F.lit(float(cores)), _col(longest))
 
 
+def _ln_factorial(x: Column) -> Column:
+    """Stirling's series; from 64 on the first term left out is below 1e-16."""
+    v = x.cast("double")
+    return (v + 0.5) * F.ln(v) - v + 0.5 * math.log(2 * math.pi) + 1 / (12 * v) - 1 / (360 * F.pow(v, 3)) + 1 / (1260 * F.pow(v, 5))
+
+
 def mcnemar_exact(only_a, only_b) -> Column:
     """Two-sided exact p-value on discordant counts, in log space.
 
-    The largest term of the lower tail is at i = min, so the sum walks down from it by term ratios and each factor is
-    at most one; its log is one ln-binomial built as a sum of logs. Work per row is linear in min(a, b).
+    The largest term of the lower tail is at i = min(a, b); the sum walks down from it by term ratios. Terms beyond
+    4.5 sqrt(n) places fall below 1e-17 of the first, so a row's work grows with sqrt(n) at most.
     """
     a, b = _col(only_a).cast("long"), _col(only_b).cast("long")
     n, m = a + b, F.least(a, b)
-    log_top = F.aggregate(
-        F.when(m > 0, F.sequence(F.lit(1).cast("long"), m)).otherwise(F.array().cast("array<bigint>")),
+    # The logarithm of n over m: a sum of logs where m is short, else by series.
+    summed = F.aggregate(
+        F.when(m > 0, F.sequence(F.lit(1).cast("long"), F.least(m, F.lit(64)))).otherwise(F.array().cast("array<bigint>")),
         F.lit(0.0), lambda acc, i: acc + F.ln((n - m + i).cast("double")) - F.ln(i.cast("double")))
+    log_top = F.when(m <= 64, summed).otherwise(_ln_factorial(n) - _ln_factorial(m) - _ln_factorial(n - m))
+    steps = F.least(m, (F.ceil(4.5 * F.sqrt(n.cast("double"))) + 10).cast("long"))
     tail = F.aggregate(
-        F.when(m > 0, F.reverse(F.sequence(F.lit(1).cast("long"), m))).otherwise(F.array().cast("array<bigint>")),
+        F.when(m > 0, F.sequence(m, m - steps + 1)).otherwise(F.array().cast("array<bigint>")),
         F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
         lambda s, i: F.struct(
             (s["term"] * i / (n - i + 1)).alias("term"),
@@ -219,8 +228,3 @@ def mcnemar_exact(only_a, only_b) -> Column:
 def null_if_nan(x) -> Column:
     x = _col(x)
     return F.when(~F.isnan(x), x)
-
-
-def min_dims_ok(l, m, budget) -> Column:
-    l, m, budget = map(_col, (l, m, budget))
-    return (l >= MIN_DIM) & (m >= MIN_DIM) & (2 * l * m <= budget)

@@ -19,7 +19,6 @@ from . import ranks, reconcile
 from .sampling import first_fraction
 
 CELL = ["p", "decoder"]
-_MAX_CELL_GROUPS = 10_000
 
 
 def power_law_fit(points: DataFrame, by: Sequence[str], size: str = "size", seconds: str = "seconds") -> DataFrame:
@@ -58,14 +57,12 @@ def population_sizes(population: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 
 def _with_cell_groups(sizes: DataFrame, cells: DataFrame) -> DataFrame:
-    """Each size under each (p, decoder). Those are settings of a run, a short list, so they are exploded in place."""
-    groups = cells.filter("shots > 0").select(*CELL).distinct().limit(_MAX_CELL_GROUPS + 1).collect()
-    if len(groups) > _MAX_CELL_GROUPS:
-        raise Refused(f"more than {_MAX_CELL_GROUPS} (p, decoder) settings")
-    if not groups:
+    """Each size under each (p, decoder): the settings of the run, as one array, exploded in place."""
+    used = cells.filter("shots > 0")
+    if used.isEmpty():
         raise Refused("no cell has any trial")
-    cell = F.array(*[F.struct(F.lit(g["p"]).alias("p"), F.lit(g["decoder"]).alias("decoder")) for g in groups])
-    return sizes.withColumn("__g", F.explode(cell)).select(*sizes.columns, "__g.p", "__g.decoder")
+    settings = used.agg(F.array_sort(F.collect_set(F.struct(*CELL))).alias("all")).select("all").scalar()
+    return sizes.withColumn("__g", F.explode(settings)).select(*sizes.columns, "__g.p", "__g.decoder")
 
 
 def nearest_donor(sizes: DataFrame, donors: DataFrame, by: Sequence[str] = CELL) -> DataFrame:

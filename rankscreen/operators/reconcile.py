@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +10,10 @@ from ..constants import PHI_SCORE, SHARED_COLUMNS
 from . import guards
 
 
+#: Hex digits of a row hash that name its group at the bottom of a table digest.
+DIGEST_PREFIX = 5
+
+
 def join_one_to_one(left: DataFrame, right: DataFrame, key: str = "code_id",
                     shared: Sequence[str] = SHARED_COLUMNS, close: Sequence[str] = (PHI_SCORE,), *,
                     check: bool = True, names=("left", "right")) -> DataFrame:
@@ -33,10 +36,6 @@ def remaining(plan: DataFrame, *done: DataFrame, on: str | Sequence[str]) -> Dat
     return plan
 
 
-def finished(plan: DataFrame, done: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    return plan.join(done, on, "left_semi")
-
-
 def grid(items: DataFrame, **settings: Sequence) -> DataFrame:
     """Every item under every combination of a few setting values: rates, caps, budgets.
 
@@ -76,16 +75,14 @@ def both(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 
 
-def table_digest(df: DataFrame, columns: Sequence[str], prefix: int | None = None) -> DataFrame:
+def table_digest(df: DataFrame, columns: Sequence[str], prefix: int = DIGEST_PREFIX) -> DataFrame:
     """Order-free sha256 of a table's content as a tree over row hashes, without sorting the table in one place.
 
     Rows hash to 64 hex digits; equal rows collapse to one leaf with a count. Leaves meet by their first ``prefix``
     digits, and each level above joins the 16 groups that share one digit fewer, so no group outgrows its branch.
-    ``prefix`` defaults to what leaves some 4,096 rows in a group, at least 2; it depends on the row count alone.
+    ``prefix`` is part of the digest's definition and the same for every table: a million groups by default.
     """
     from ..functions.identity import row_digest
-    if prefix is None:
-        prefix = max(2, math.ceil(math.log(max(1, df.count()) / 4096, 16)))
     leaves = df.select(row_digest(*columns).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     level = leaves.select(F.substring("h", 1, prefix).alias("g"), F.concat("h", F.lit(":"), "n").alias("d"))
     for digits in range(prefix, -1, -1):

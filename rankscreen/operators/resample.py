@@ -26,17 +26,17 @@ from .metrics import Metric, Standing, default_metrics
 _COLUMNS = ("truth", "a", "b")
 
 
-def resample_weights(spark, n_items: int, n_resamples: int, seed: int) -> DataFrame:
+def resample_weights(spark, n_items: int, n_resamples: int, seed: int, by_replicate: bool = True) -> DataFrame:
     """(rep, row_idx, w): how often each replicate of ``n_items`` draws with replacement took each item.
 
-    Each draw is a hash of (seed, replicate, slot). The rows are placed by replicate before counting, so counting and
-    the windows that follow share one shuffle.
+    Each draw is a hash of (seed, replicate, slot). Replicates that fit a task are placed whole before counting, so that
+    counting and the windows that follow share one shuffle; larger ones are counted per (replicate, item).
     """
     ids = spark.range(n_items * n_resamples)
     rep = F.expr(f"id div {n_items}L")
     slot = F.col("id") % F.lit(n_items)
     draws = ids.select(rep.alias("rep"), rng.random_below(n_items, F.lit(seed), rep, slot).alias("row_idx"))
-    return draws.repartition("rep").groupBy("rep", "row_idx").agg(F.count(F.lit(1)).alias("w"))
+    return (draws.repartition("rep") if by_replicate else draws).groupBy("rep", "row_idx").agg(F.count(F.lit(1)).alias("w"))
 
 
 def _window_standings(weighted: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def bootstrap_replicates(df: DataFrame, score_a: str, score_b: str, key: str = "
     items = ranks.row_index(narrow, [F.col(key).asc()]).drop(key)
     items = scratch.table(items, "resample-items")
     n = items.count()
-    weights = resample_weights(df.sparkSession, n, n_resamples, seed)
+    weights = resample_weights(df.sparkSession, n, n_resamples, seed, n <= task_rows)
     weighted = weights.join(ranks.bounded_broadcast(items, n), "row_idx")
     placed = _window_standings(weighted) if n <= task_rows else _ranged_standings(weighted, items)
 

@@ -10,7 +10,7 @@ from .. import scratch
 from ..constants import MAX_SHOTS, MIN_FAILURES, PROVENANCE_FIELDS, RUN_FIELDS, SCHEMA_VERSION, SHOT_BATCH
 from ..errors import Refused
 from ..functions import identity, rates
-from ..operators import guards, trials
+from ..operators import guards
 from ..schemas import MEASUREMENTS
 
 
@@ -65,25 +65,27 @@ def measurement_rows(population: DataFrame, shards: DataFrame, *, p: float, deco
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in MEASUREMENTS])
 
 
-def assemble(population: DataFrame, shards: DataFrame, excluded: Mapping[str, str] | None = None, *, p: float,
+def assemble(population: DataFrame, shards: DataFrame, excluded: DataFrame | Mapping[str, str] | None = None, *, p: float,
              decoder_version: str, batch_size: int = SHOT_BATCH, max_shots: int = MAX_SHOTS,
              min_failures: int = MIN_FAILURES, created_at: str | None = None) -> DataFrame:
-    """Checked measurement table of the population minus the excluded items; refuses before returning anything."""
+    """Checked measurement table of the population minus the excluded items; refuses before returning anything.
+
+    ``excluded`` is a table (code_id, reason), however long, or a short mapping.
+    """
     spark = population.sparkSession
     population = scratch.table(population, "population")
     shards = scratch.table(shards, "shards")
     check_shards(shards, batch_size=batch_size, max_shots=max_shots, min_failures=min_failures)
-    left_out = spark.createDataFrame([(c,) for c in (excluded or {})], "code_id string")
+    if not isinstance(excluded, DataFrame):
+        excluded = spark.createDataFrame(list((excluded or {}).items()), "code_id string, reason string")
+    left_out = scratch.table(excluded.select("code_id", "reason"), "excluded")
+    guards.enforce(guards.all_of(guards.unique_key(left_out, "code_id"), guards.counts(left_out, {"reason is null": guards.nulls("reason")})))
     rows = measurement_rows(population, shards, p=p, decoder_version=decoder_version, max_shots=max_shots,
                             min_failures=min_failures, created_at=created_at)
     rows = scratch.table(rows, "measurements")
-    guards.enforce(guards.exclusion_problems(population.select("code_id"), rows.select("code_id"), left_out))
-    expected = population.count() - len(excluded or {})
+    guards.enforce(guards.exclusion_problems(population.select("code_id"), rows.select("code_id"), left_out.select("code_id")))
+    expected = population.count() - left_out.count()
     guards.enforce(guards.all_of(
         guards.counts(rows, {**guards.single_protocol(), "row count": guards.wrong_row_count(expected)}),
         guards.unique_key(rows, "code_id")))
     return rows
-
-
-def session_states(population: DataFrame, results: DataFrame, shards: DataFrame, deaths: DataFrame) -> DataFrame:
-    return trials.classify(population, results, shards, deaths)

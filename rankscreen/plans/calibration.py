@@ -23,6 +23,7 @@ class CalibrationSummary:
     projection: DataFrame
     status_counts: DataFrame
     unfinished: DataFrame
+    pairs: DataFrame
 
 
 def cell_table(flat: DataFrame, *, max_shots: int = MAX_SHOTS, shot_batch: int = SHOT_BATCH,
@@ -41,9 +42,10 @@ def summarize(cells: DataFrame, population: DataFrame, *, small: str, large: str
     """``cells`` are nested documents; any population with ``code_id, n, d_upper`` can be projected from them."""
     flat = scratch.table(cell_source.flatten(cells), "cells")
     options = {"shot_batch": shot_batch, "min_failures": min_failures}
-    stopped = trials.zero_filled_counts(cells.filter("status = 'completed'"), "stopped_by", stop_reasons)
+    # Decoders stop by themselves, so reasons are counted per decoder.
+    stopped = trials.zero_filled_counts(flat, "stopped_by", stop_reasons)
     failed = trials.zero_filled_counts(cells, "status", ("killed", "died")).withColumnRenamed("status", "stopped_by")
     return CalibrationSummary(
         cell_table(flat, max_shots=max_shots, **options), projection.named_pair(flat, small, large, "name"),
         projection.project_population(population, flat, caps=[max_shots], **options),
-        stopped.unionByName(failed), cell_source.unfinished(cells))
+        stopped.unionByName(failed), cell_source.unfinished(cells), cell_source.flatten_pairs(cells))

@@ -50,7 +50,7 @@ CELL_DDL = (
     "calibration boolean, status string, p double, "
     "code struct<code_id:string,name:string,construction_program_id:string,n:int,k:int,d_upper:int,l:int,m:int,"
     "a_exps:array<array<int>>,b_exps:array<array<int>>>, rounds int, shots bigint, stopped_by string, "
-    "decoders map<string,struct<failures:bigint,censored:boolean,ler:double,ler_ci_low:double,ler_ci_high:double,"
+    "decoders map<string,struct<shots:bigint,stopped_by:string,failures:bigint,censored:boolean,ler:double,ler_ci_low:double,ler_ci_high:double,"
     "decode_seconds:double,ms_per_shot:double,bp_converged:bigint,bp_convergence_fraction:double,"
     "syndromes_sha256:string>>, paired map<string,map<string,double>>")
 

@@ -10,12 +10,14 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: str | None = None) -> SparkSession:
+    """``$SCRATCH_DIR`` names the shared scratch folder; one machine's own temporary folder serves where it is not set."""
     n = cpus or os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{n}]").appName("rankscreen")
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "8g")
+             .config("spark.checkpoint.dir", os.environ.get("SCRATCH_DIR") or tempfile.mkdtemp(prefix="spark-"))
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())

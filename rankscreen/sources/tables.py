@@ -75,9 +75,3 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_text(lines: DataFrame, path: str) -> None:
     """A report: one string column, in its own order."""
     lines.write.mode("errorifexists").text(path)
-
-
-def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise Refused(f"columns {missing} are missing")
