@@ -80,8 +80,7 @@ SELECT l_orderkey, l_linenumber,
 FROM lineitem""")
 def average_tie_ranks(spark: SparkSession, sf: str) -> DataFrame:
     li = views.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
-    out = ranks.with_average_rank(li, [], "l_quantity", "overall_rank")
-    out = ranks.with_average_rank(out, ["l_suppkey"], "l_extendedprice", "supplier_rank")
+    out = ranks.with_average_ranks(li, [([], "l_quantity", "overall_rank"), (["l_suppkey"], "l_extendedprice", "supplier_rank")])
     return out.select("l_orderkey", "l_linenumber", "overall_rank", "supplier_rank")
 
 

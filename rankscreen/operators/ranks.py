@@ -28,11 +28,18 @@ class Ranges:
 
     @classmethod
     def of(cls, df: DataFrame, value: str, rows_per_range: int = ROWS_PER_BUCKET) -> "Ranges":
-        """Approximate quantiles in one pass; how the rows are cut changes only the balance, never a result."""
+        return cls.of_all(df, [value], rows_per_range)[0]
+
+    @classmethod
+    def of_all(cls, df: DataFrame, values: Sequence[str], rows_per_range: int = ROWS_PER_BUCKET) -> "list[Ranges]":
+        """Approximate quantiles of several columns in one pass; how the rows are cut changes only the balance, never a result."""
         probs = ", ".join(f"{i / _MAX_RANGES}D" for i in range(1, _MAX_RANGES))
-        row = df.select(F.col(value).cast("double").alias("v")).agg(
-            F.count("v").alias("n"), F.expr(f"percentile_approx(v, array({probs}), 10000)").alias("q")).head()
-        n, q = row["n"], row["q"] or []
+        both = [(F.count(f"v{i}").alias(f"n{i}"), F.expr(f"percentile_approx(v{i}, array({probs}), 10000)").alias(f"q{i}")) for i in range(len(values))]
+        row = df.select(*[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)]).agg(*[c for pair in both for c in pair]).head()
+        return [cls._cut(row[f"n{i}"], row[f"q{i}"] or [], rows_per_range) for i in range(len(values))]
+
+    @classmethod
+    def _cut(cls, n: int, q: Sequence[float], rows_per_range: int) -> "Ranges":
         want = min(_MAX_RANGES, max(4, math.ceil(n / rows_per_range)))
         step = _MAX_RANGES / want
         picked = [q[int(i * step) - 1] for i in range(1, want)] if q else []
@@ -102,6 +109,17 @@ def with_average_rank(df: DataFrame, by: Sequence[str], value: str, out: str = "
             .withColumn(out, average_rank()).drop("below", "tie"))
 
 
+def with_average_ranks(df: DataFrame, wanted: Sequence[tuple[Sequence[str], str, str]]) -> DataFrame:
+    """Several (group, value, out) ranks: every rank table comes from one base, all cut points from one pass over it."""
+    cuts = Ranges.of_all(df, [value for _, value, _ in wanted])
+    tables = [value_ranks(df, by, value, ranges=cut) for (by, value, _), cut in zip(wanted, cuts)]
+    out = df
+    for i, ((by, value, name), table, cut) in enumerate(zip(wanted, tables, cuts)):
+        out = join_ranks(out, table, [*by, value], cut.rows).withColumn(name, average_rank()).drop("below", "tie")
+        out = out if i == len(wanted) - 1 else scratch.table(out, "ranked")
+    return out
+
+
 def with_top_probability(df: DataFrame, by: Sequence[str], value: str, m: int, out: str = "top_p") -> DataFrame:
     ranges = Ranges.of(df, value)
     ranks = value_ranks(df, by, value, ranges=ranges)

@@ -6,9 +6,9 @@ again after a failure replaces its own output.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -20,7 +20,8 @@ from ..operators import trials
 
 _COUNTS = ("batch_index", "batch_shots", "batch_failures")
 OUTPUT = ("item string, batch_index bigint, status string, shots bigint, failures bigint, stopped_by string")
-_STATE = "next bigint, shots bigint, failures bigint, stopped string, provenance string, pending string"
+_STATE = ("next bigint, shots bigint, failures bigint, stopped string, provenance string, "
+          "waiting array<bigint>, waiting_shots array<bigint>, waiting_failures array<bigint>, waiting_source array<string>")
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
@@ -40,45 +41,61 @@ def _stopper(batch_size: int, max_shots: int, min_failures: int, gap_ms: int | N
     last_index = -(-max_shots // batch_size) - 1
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        item = key[0]
-        nxt, shots, failures, stopped, provenance, text = state.get if state.exists else (0, 0, 0, "", "", "{}")
-        pending = {int(k): v for k, v in json.loads(text).items()}
+        nxt, shots, failures, stopped, provenance, *waiting = state.get if state.exists else (0, 0, 0, "", "", [], [], [], [])
         out = []
 
-        def emit(index, status):
-            out.append((item, index, status, shots, failures, stopped or "running"))
+        def emit(index, status, shots=shots, failures=failures, stopped_by=None):
+            index = np.atleast_1d(index)
+            if len(index):
+                out.append(pd.DataFrame({"item": key[0], "batch_index": index, "status": status, "shots": shots, "failures": failures,
+                                         "stopped_by": stopped or "running" if stopped_by is None else stopped_by}))
 
-        if state.hasTimedOut:
-            if pending:
-                emit(nxt, "gap")
+        if state.hasTimedOut and len(waiting[0]):
+            emit(nxt, "gap")
+        index, n, fails = (np.asarray(w, np.int64) for w in waiting[:3])
+        source = np.asarray(waiting[3], object)
         for frame in frames:
-            for index, n, f, source in zip(*[frame[c] for c in _COUNTS], frame["__provenance"]):
-                index = int(index)
-                if index < nxt or index in pending:
-                    emit(index, "duplicate")
-                elif stopped or index > last_index:
-                    emit(index, "past_stop")
-                else:
-                    pending[index] = (int(n), int(f), source)
-        while nxt in pending and not stopped:
-            n, f, source = pending.pop(nxt)
-            provenance = provenance or source
-            if source != provenance:
+            came = frame[_COUNTS[0]].to_numpy(np.int64)
+            known = (came < nxt) | np.isin(came, index)
+            late = ~known & (bool(stopped) | (came > last_index))
+            first = np.zeros(len(came), bool)
+            first[np.unique(came, return_index=True)[1]] = True
+            fresh = ~known & ~late & first
+            emit(came[late], "past_stop")
+            emit(came[~late & ~fresh], "duplicate")
+            index, n, fails, source = (np.concatenate([old, frame[c].to_numpy()[fresh].astype(old.dtype)])
+                                       for old, c in zip((index, n, fails, source), (*_COUNTS, "__provenance")))
+        order = np.argsort(index)
+        index, n, fails, source = index[order], n[order], fails[order], source[order]
+        if len(index) and not stopped:
+            ready = int((np.cumprod(index == nxt + np.arange(len(index)))).sum())
+            provenance = provenance or (source[0] if ready else "")
+            own = int(np.cumprod(source[:ready] == provenance).sum())
+            run_shots, run_fails = shots + np.cumsum(n[:own]), failures + np.cumsum(fails[:own])
+            ends = np.flatnonzero((run_fails >= min_failures) | (run_shots >= max_shots))
+            kept = int(ends[0]) + 1 if len(ends) else own
+            if kept:
+                shots, failures = int(run_shots[kept - 1]), int(run_fails[kept - 1])
+            if len(ends):
+                stopped = "min_failures" if failures >= min_failures else "max_shots"
+            reasons = np.full(kept, "running", object)
+            if stopped:
+                reasons[-1] = stopped
+            emit(index[:kept], "kept", run_shots[:kept], run_fails[:kept], reasons)
+            nxt += kept
+            if not stopped and own < ready:
                 stopped = "mixed_provenance"
-                emit(nxt, "foreign")
-                break
-            shots, failures = shots + n, failures + f
-            stopped = "min_failures" if failures >= min_failures else "max_shots" if shots >= max_shots else ""
-            emit(nxt, "kept")
-            nxt += 1
+                emit(index[own], "foreign", shots, failures)
+                kept += 1
+            index, n, fails, source = index[kept:], n[kept:], fails[kept:], source[kept:]
         if stopped:
-            for index in sorted(pending):
-                emit(index, "past_stop")
-            pending = {}
-        state.update((nxt, shots, failures, stopped, provenance, json.dumps(pending)))
-        if pending and gap_ms is not None:
+            emit(index, "past_stop", shots, failures)
+            index, n, fails, source = index[:0], n[:0], fails[:0], source[:0]
+        state.update((nxt, shots, failures, stopped, provenance, index.tolist(), n.tolist(), fails.tolist(), source.tolist()))
+        if len(index) and gap_ms is not None:
             state.setTimeoutDuration(gap_ms)
-        yield pd.DataFrame(out, columns=["item", "batch_index", "status", "shots", "failures", "stopped_by"])
+        columns = ["item", "batch_index", "status", "shots", "failures", "stopped_by"]
+        yield pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
     return step
 
