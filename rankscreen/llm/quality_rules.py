@@ -142,12 +142,17 @@ def estimates(rows: DataFrame) -> DataFrame:
     """The estimate of each group of ``rows`` (grp, x*): centre, inverse factor and the factor of the distances."""
     model = scratch.table(_starts(rows), "mcd-start")
     for step in range(STEPS):
-        placed = rows.join(model, "grp").withColumn("bin", _bin(_distance())).select("grp", "start", "bin", *[f"x{i}" for i in range(P)])
-        inner = placed.join(_nearest(placed, COVERAGE), ["grp", "start"]).filter(F.col("bin") <= F.col("last"))
+        # Sums per bin in one pass over the rows; where the nearest rows end is read from the bins, a bounded table.
+        placed = rows.join(model, "grp").withColumn("bin", _bin(_distance()))
         exact = lambda c: F.sum(c.cast("decimal(20,0)"))
-        moments = inner.groupBy("grp", "start").agg(
+        binned = placed.groupBy("grp", "start", "bin").agg(
             F.count(F.lit(1)).alias("n"), *[exact(F.col(f"x{i}")).alias(f"s{i}") for i in range(P)],
             *[exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)])
+        one = Window.partitionBy("grp", "start")
+        before = F.sum("n").over(one.orderBy("bin")) - F.col("n")
+        binned = binned.withColumn("inner", before < COVERAGE * F.sum("n").over(one)).filter("inner")
+        sums = ["n", *[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i in range(P) for j in range(i + 1)]]
+        moments = binned.groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in sums])
         model = scratch.table(_from_moments(moments), f"mcd-step{step}")
     best = model.groupBy("grp").agg(F.min_by(F.struct("start", *_MODEL), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
     placed = rows.join(best, "grp").withColumn("bin", _bin(_distance()))
