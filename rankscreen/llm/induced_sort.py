@@ -78,10 +78,10 @@ class DiskQueue:
                     yield np.array(run.records[at:min(run.done, at + BLOCK)])
         if self.heap and self.heap[0] == key:
             heapq.heappop(self.heap)
-            for part in self.fresh.pop(key):
-                self.size -= len(part)
-                for at in range(0, len(part), BLOCK):
-                    yield part[at:at + BLOCK]
+            waiting = np.concatenate(self.fresh.pop(key))
+            self.size -= len(waiting)
+            for at in range(0, len(waiting), BLOCK):
+                yield waiting[at:at + BLOCK]
 
 
 def falling(text: np.ndarray) -> np.ndarray:
@@ -97,9 +97,27 @@ def falling(text: np.ndarray) -> np.ndarray:
 
 def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix length of the suffixes a[i] and b[i], at most ``cap``."""
+    if len(a) == 1:
+        x, y = text[a[0]:a[0] + cap], text[b[0]:b[0] + cap]
+        n = min(len(x), len(y))
+        apart = np.flatnonzero(x[:n] != y[:n])
+        return np.array([apart[0] if len(apart) else n])
     out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
-    for at in range(cap):
+    if text.dtype == np.uint16:
+        # Four characters at a time while they agree; the last few below, one by one.
+        padded = np.append(text, np.zeros(4, np.uint16)).astype(np.uint64)
+        four = padded[:-4] | padded[1:-3] << np.uint64(16) | padded[2:-2] << np.uint64(32) | padded[3:-1] << np.uint64(48)
+        todo, at = live, 0
+        while len(todo) and at + 4 <= cap:
+            x, y = a[todo] + at, b[todo] + at
+            inside = (x + 4 <= len(text)) & (y + 4 <= len(text))
+            same = inside & (four[np.minimum(x, len(text) - 1)] == four[np.minimum(y, len(text) - 1)])
+            todo, at = todo[same], at + 4
+            out[todo] = at
+    for _ in range(min(cap, 4) if text.dtype == np.uint16 else cap):
+        at = out[live]
+        live, at = live[at < cap], at[at < cap]
         x, y = a[live] + at, b[live] + at
         inside = (x < len(text)) & (y < len(text))
         same = inside.copy()

@@ -4,8 +4,8 @@
    bytes alone decide. Windows with the same anchor form one stretch; equal windows always lie in stretches whose anchor
    strings are equal, at the same distance. Chunks of the corpus send their distinct anchor hashes to buckets and learn
    which of them occur twice in the corpus; stretches of other anchors hold no repeated window and are done.
-2. Stretches with equal bytes are one class, pre-aggregated on their way; all but the first are removed as a whole, however
-   many there are.
+2. Stretches with equal bytes are one class; chunks send the first one of each class they hold, so a passage in every
+   document arrives once per chunk. All but the first of the corpus are removed as a whole.
 3. Anchors with several classes, the borders of repeats, go to shards. A shard is one text, sorted by its suffixes with
    common-prefix values by external induced sorting (``induced_sort``); runs of suffixes that share LENGTH bytes are equal
    windows, of which the first stays. The stretches of an anchor too large for a shard are cut into single windows and
@@ -13,7 +13,7 @@
 4. Removed intervals go back to their documents.
 
 Text is joined twice, for the bytes of classes in shards and for the result; all other traffic is hashes and positions.
-Classes and anchors are compared by 64-bit hashes each, 128 bits together with the distance and length.
+Classes and anchors are compared by 64-bit hashes each, 128 bits together.
 
 Defined results: null is the empty text; rows without doc_id rank last; rows that share a doc_id rank as one document, equal
 places in them are the same place; a text of fewer than LENGTH bytes loses nothing; an empty table gives no rows.
@@ -39,21 +39,24 @@ from .pitman_yor import squeeze, unsqueeze
 
 LENGTH = 100
 GRAM = 32
-CHUNK_BYTES = 24 << 20
-BUCKET_BYTES = 64 << 20
-SHARD_BYTES = 4 << 20
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
+#: Beyond this an anchor's stretches are cut into windows.
+CUT_BYTES = 4 << 20
 _LAST = 2**63 - 1
 _TABLE = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CHUNK = "chunk long, bucket int, grams binary, twice binary, docs array<long>, counts binary, which binary, start binary, left binary, windows binary, hash binary"
-_PLACES = "gram long, hash long, doc_id long, start long, left int, windows int"
+_CHUNK = "chunk long, bucket int, grams binary, twice binary, docs array<long>, counts binary, which binary, start binary, windows binary, hash binary"
+_PLACES = "bucket int, gram binary, hash binary, doc binary, start binary, windows binary"
+_JUDGED = "doc_id long, start long, end long, windows int, gram long, hash long, cut boolean"
 _INTERVAL = "doc_id long, start long, end long"
 
 
 def stretches(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Per stretch: anchor hash, first window, anchor's distance from it, number of windows, hash of its bytes."""
+    """Per stretch: anchor hash, first window, number of windows, hash of its bytes."""
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint32, np.uint8, np.uint8, np.uint64))
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint32, np.uint8, np.uint64))
     h, width, base = _TABLE[data], 1, 0x9E3779B97F4A7C15
     while width < gram:
         h = h[:-width] * np.uint64(pow(base, width, 2**64)) + h[width:]
@@ -70,19 +73,19 @@ def stretches(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[data] * _power(n, True), out=prefix[1:])
     whole = mix((prefix[first + windows + length - 1] - prefix[first]) * _power(n, False)[first])
-    return grams[at[first]], first.astype(np.uint32), (at[first] - first).astype(np.uint8), windows.astype(np.uint8), whole
+    return grams[at[first]], first.astype(np.uint32), windows.astype(np.uint8), whole
 
 
 def messages(docs: DataFrame, bits: int) -> DataFrame:
     """Per chunk one row (bucket -1) with all its stretches, and one row for each bucket of its distinct anchor hashes."""
     def close(chunk: int, ids: list, parts: list) -> pd.DataFrame:
-        gram, start, left, windows, whole = (np.concatenate(x) for x in zip(*parts))
+        gram, start, windows, whole = (np.concatenate(x) for x in zip(*parts))
         distinct, which, n = np.unique(gram, return_inverse=True, return_counts=True)
         edge = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
-        rows = [(chunk, b, squeeze(distinct[lo:hi]), squeeze(np.packbits(n[lo:hi] > 1)), *[None] * 7)
+        rows = [(chunk, b, squeeze(distinct[lo:hi]), squeeze(np.packbits(n[lo:hi] > 1)), *[None] * 6)
                 for b, (lo, hi) in enumerate(zip(edge, edge[1:])) if lo < hi]
         rows.append((chunk, -1, None, None, ids, squeeze(np.array([len(p[0]) for p in parts], np.uint32)), squeeze(which.astype(np.uint32)),
-                     squeeze(start), squeeze(left), squeeze(windows), squeeze(whole)))
+                     squeeze(start), squeeze(windows), squeeze(whole)))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _CHUNK.split(", ")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,8 +106,20 @@ def messages(docs: DataFrame, bits: int) -> DataFrame:
     return docs.mapInPandas(run, _CHUNK)
 
 
-def repeated_stretches(sent: DataFrame) -> DataFrame:
-    """The places of all stretches whose anchor hash occurs twice or more in the corpus."""
+def first_and_later(gram: np.ndarray, whole: np.ndarray, docs: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first stretch of each class by document and place, and those at other places."""
+    order = np.lexsort((start, docs, whole, gram))
+    first = np.ones(len(order), bool)
+    first[1:] = (gram[order][1:] != gram[order][:-1]) | (whole[order][1:] != whole[order][:-1])
+    head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    return order[first], order[(docs[order] != docs[head]) | (start[order] != start[head])]
+
+
+def repeated_stretches(sent: DataFrame, bits: int) -> DataFrame:
+    """The stretches whose anchor hash occurs twice or more in the corpus, by buckets of that hash.
+
+    Of each class a chunk sends only its first stretch there; the others are surely later ones and go to bucket -1.
+    """
     def judge(group: pd.DataFrame) -> pd.DataFrame:
         grams = [unsqueeze(b, "<u8") for b in group["grams"]]
         twice = [np.unpackbits(unsqueeze(b, "u1"), count=len(g)).astype(bool) for b, g in zip(group["twice"], grams)]
@@ -116,7 +131,7 @@ def repeated_stretches(sent: DataFrame) -> DataFrame:
     asked = sent.filter("bucket >= 0").select("chunk", "bucket", "grams", "twice")
     answers = asked.groupBy("bucket").applyInPandas(judge, "chunk long, bucket int, again binary, size int")
     answers = answers.join(asked.select("chunk", "bucket", "grams"), ["chunk", "bucket"])
-    held = sent.filter("bucket < 0").select("chunk", "docs", "counts", "which", "start", "left", "windows", "hash")
+    held = sent.filter("bucket < 0").select("chunk", "docs", "counts", "which", "start", "windows", "hash")
 
     def place(group: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         group, row = group.sort_values("bucket"), next(chunk.itertuples())
@@ -124,22 +139,50 @@ def repeated_stretches(sent: DataFrame) -> DataFrame:
         gram = np.concatenate([unsqueeze(b, "<u8") for b in group["grams"]])
         which = unsqueeze(row.which, "<u4")
         keep = again[which]
-        docs = np.repeat(np.asarray(row.docs, np.int64), unsqueeze(row.counts, "<u4"))
-        return pd.DataFrame({"gram": gram[which[keep]].view(np.int64), "hash": unsqueeze(row.hash, "<u8")[keep].view(np.int64), "doc_id": docs[keep],
-                             "start": unsqueeze(row.start, "<u4")[keep].astype(np.int64), "left": unsqueeze(row.left, "u1")[keep].astype(np.int32),
-                             "windows": unsqueeze(row.windows, "u1")[keep].astype(np.int32)})
+        gram, whole = gram[which[keep]], unsqueeze(row.hash, "<u8")[keep]
+        docs = np.repeat(np.asarray(row.docs, np.int64), unsqueeze(row.counts, "<u4"))[keep]
+        start, windows = unsqueeze(row.start, "<u4")[keep], unsqueeze(row.windows, "u1")[keep]
+        first, later = first_and_later(gram, whole, docs, start)
+        bucket = (gram[first] >> np.uint64(64 - bits)).astype(np.int64)
+        out = []
+        for b, at in [*((b, first[bucket == b]) for b in np.unique(bucket)), *([(-1, later)] if len(later) else [])]:
+            out.append((b, *[squeeze(x[at]) for x in (gram, whole, docs, start, windows)]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _PLACES.split(", ")])
     return answers.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInPandas(place, _PLACES)
 
 
-_CLASS = ["gram", "hash", "left", "windows"]
+def judged(places: DataFrame) -> DataFrame:
+    """Rows with ``gram`` null: intervals removed as a whole; the others: first stretches of the classes of an anchor that has several."""
+    def rows(docs: np.ndarray, start: np.ndarray, windows: np.ndarray, gram=None, whole=None, cut=None) -> pd.DataFrame:
+        none = [pd.array([None] * len(docs), kind) for kind in ("Int64", "Int64", "boolean")]
+        gram, whole, cut = none if gram is None else (gram.view(np.int64), whole.view(np.int64), cut)
+        start, windows = start.astype(np.int64), windows.astype(np.int32)
+        return pd.DataFrame({"doc_id": docs, "start": start, "end": start + windows + LENGTH - 1, "windows": windows, "gram": gram, "hash": whole, "cut": cut})
+
+    def load(group: pd.DataFrame) -> list[np.ndarray]:
+        return [np.concatenate([unsqueeze(b, k) for b in group[c]]) for c, k in zip(("gram", "hash", "doc", "start", "windows"), ("<u8", "<u8", "<i8", "<u4", "u1"))]
+
+    def later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield rows(*load(batch)[2:])
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        gram, whole, docs, start, windows = load(group)
+        head, gone = first_and_later(gram, whole, docs, start)
+        names, which, classes = np.unique(gram[head], return_inverse=True, return_counts=True)
+        total = np.bincount(which, weights=windows[head].astype(np.int64) + LENGTH - 1, minlength=len(names))
+        several = classes[which] > 1
+        head = head[several]
+        cut = (total > CUT_BYTES)[which[several]]
+        return pd.concat([rows(docs[gone], start[gone], windows[gone]), rows(docs[head], start[head], windows[head], gram[head], whole[head], cut)])
+    return (places.filter("bucket < 0").mapInPandas(later, _JUDGED)
+            .unionByName(places.filter("bucket >= 0").groupBy("bucket").applyInPandas(meet, _JUDGED)))
 
 
-def shard_texts(classes: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
-    """shard, doc_id, start, bytes of the first stretch of each class whose anchor has several."""
-    several = (classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("windows") + LENGTH - 1).alias("total"))
-               .filter("n > 1").select("gram", (F.col("total") > SHARD_BYTES).alias("cut")))
-    wanted = classes.join(several, "gram").groupBy(F.col("first.doc_id").alias("doc_id")).agg(
-        F.collect_list(F.struct("gram", "hash", F.col("first.start").alias("start"), "windows", "cut")).alias("parts"))
+def shard_texts(members: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
+    """shard, doc_id, start, bytes of the stretches in ``members``."""
+    wanted = members.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "hash", "start", "windows", "cut")).alias("parts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -207,17 +250,16 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(3, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
     sent = scratch.table(messages(docs, bits), "suffix-messages")
-    places = scratch.table(repeated_stretches(sent), "suffix-places")
+    places = scratch.table(repeated_stretches(sent, bits), "suffix-places")
     discard(sent)
     free_shuffles(spark)
-    first = F.min(F.struct("doc_id", "start")).alias("first")
-    classes = scratch.table(places.groupBy(*_CLASS).agg(first, F.count(F.lit(1)).alias("n")), "suffix-classes")
-    copies = places.join(classes.filter("n > 1"), _CLASS).filter(F.struct("doc_id", "start") != F.col("first"))
-    whole = scratch.table(copies.select("doc_id", "start", (F.col("start") + F.col("windows") + LENGTH - 1).alias("end")), "suffix-copies")
-    total = classes.agg(F.sum(F.col("windows") + LENGTH - 1)).first()[0] or 0
+    found = scratch.table(judged(places), "suffix-judged")
+    discard(places)
+    whole, members = found.filter("gram IS NULL").select("doc_id", "start", "end"), found.filter("gram IS NOT NULL")
+    total = members.agg(F.sum(F.col("windows") + LENGTH - 1)).first()[0] or 0
     shards = max(8, int(np.ceil(total / SHARD_BYTES)))
     free_shuffles(spark)
-    texts = scratch.table(shard_texts(classes, docs, shards), "suffix-shards")
+    texts = scratch.table(shard_texts(members, docs, shards), "suffix-shards")
     free_shuffles(spark)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +273,7 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, one row per input row."""
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spans = removed_intervals(named).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = removed_intervals(named).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = scratch.table(spans, "suffix-intervals")
     free_shuffles(docs.sparkSession)
 

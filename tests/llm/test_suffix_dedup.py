@@ -39,6 +39,7 @@ def corpus():
 @pytest.mark.parametrize("shard", [4 << 20, 3000])
 def test_against_brute_force(spark, shard, monkeypatch):
     monkeypatch.setattr(sd, "SHARD_BYTES", shard)
+    monkeypatch.setattr(sd, "CUT_BYTES", shard)
     monkeypatch.setattr(sd, "CHUNK_BYTES", 20_000)
     rows = corpus()
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, start int")
