@@ -84,7 +84,8 @@ def cut(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     first = F.sum("total").over(Window.orderBy("part")) - F.col("total")
     offsets = totals.select("part", first.alias("first"))
-    lined = tokens.join(offsets, "part").select("doc_id", "n", (F.col("first") + F.col("before")).alias("at"), "ids", "wide")
+    # One row per written partition: a million partitions are some 16 MB.
+    lined = tokens.join(F.broadcast(offsets), "part").select("doc_id", "n", (F.col("first") + F.col("before")).alias("at"), "ids", "wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
