@@ -5,11 +5,13 @@
    strings are equal, at the same distance. Chunks of the corpus send their distinct anchor hashes to buckets and learn
    which of them occur twice in the corpus; stretches of other anchors hold no repeated window and are done.
 2. Stretches with equal bytes are one class; chunks send the first one of each class they hold, so a passage in every
-   document arrives once per chunk. All but the first of the corpus are removed as a whole.
+   document arrives once per chunk. All but the first of the corpus are removed as a whole. Classes meet in buckets of
+   anchor and bytes, so an anchor with a class in every document is spread over all of them.
 3. Anchors with several classes, the borders of repeats, go to shards. A shard is one text, sorted by its suffixes with
    common-prefix values by external induced sorting (``induced_sort``); runs of suffixes that share LENGTH bytes are equal
    windows, of which the first stays. The stretches of an anchor too large for a shard are cut into single windows and
-   spread by their content.
+   spread by their content; a task sends the first place of each distinct window it holds, the others are later ones.
+   Shards are counted from the bytes that this leaves.
 4. Removed intervals go back to their documents.
 
 Text is joined twice, for the bytes of classes in shards and for the result; all other traffic is hashes and positions.
@@ -44,11 +46,14 @@ BUCKET_BYTES = 8 << 20
 SHARD_BYTES = 1 << 20
 #: Beyond this an anchor's stretches are cut into windows.
 CUT_BYTES = 4 << 20
+#: Distinct windows that a task compares before it sends them.
+CUT_WINDOWS = 100_000
 _LAST = 2**63 - 1
 _TABLE = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = "chunk long, bucket int, grams binary, twice binary, docs array<long>, counts binary, which binary, start binary, windows binary, hash binary"
 _PLACES = "bucket int, gram binary, hash binary, doc binary, start binary, windows binary"
-_JUDGED = "doc_id long, start long, end long, windows int, gram long, hash long, cut boolean"
+_JUDGED = "doc_id long, start long, end long, windows int, gram long, hash long"
+_PARTS = "key long, doc_id long, start long, size int, bytes binary"
 _INTERVAL = "doc_id long, start long, end long"
 
 
@@ -143,7 +148,7 @@ def repeated_stretches(sent: DataFrame, bits: int) -> DataFrame:
         docs = np.repeat(np.asarray(row.docs, np.int64), unsqueeze(row.counts, "<u4"))[keep]
         start, windows = unsqueeze(row.start, "<u4")[keep], unsqueeze(row.windows, "u1")[keep]
         first, later = first_and_later(gram, whole, docs, start)
-        bucket = (gram[first] >> np.uint64(64 - bits)).astype(np.int64)
+        bucket = (mix(gram[first] ^ whole[first]) >> np.uint64(64 - bits)).astype(np.int64)
         out = []
         for b, at in [*((b, first[bucket == b]) for b in np.unique(bucket)), *([(-1, later)] if len(later) else [])]:
             out.append((b, *[squeeze(x[at]) for x in (gram, whole, docs, start, windows)]))
@@ -152,12 +157,12 @@ def repeated_stretches(sent: DataFrame, bits: int) -> DataFrame:
 
 
 def judged(places: DataFrame) -> DataFrame:
-    """Rows with ``gram`` null: intervals removed as a whole; the others: first stretches of the classes of an anchor that has several."""
-    def rows(docs: np.ndarray, start: np.ndarray, windows: np.ndarray, gram=None, whole=None, cut=None) -> pd.DataFrame:
-        none = [pd.array([None] * len(docs), kind) for kind in ("Int64", "Int64", "boolean")]
-        gram, whole, cut = none if gram is None else (gram.view(np.int64), whole.view(np.int64), cut)
+    """Rows with ``gram`` null: intervals removed as a whole; the others: the first stretch of each class."""
+    def rows(docs: np.ndarray, start: np.ndarray, windows: np.ndarray, gram=None, whole=None) -> pd.DataFrame:
+        none = [pd.array([None] * len(docs), "Int64") for _ in range(2)]
+        gram, whole = none if gram is None else (gram.view(np.int64), whole.view(np.int64))
         start, windows = start.astype(np.int64), windows.astype(np.int32)
-        return pd.DataFrame({"doc_id": docs, "start": start, "end": start + windows + LENGTH - 1, "windows": windows, "gram": gram, "hash": whole, "cut": cut})
+        return pd.DataFrame({"doc_id": docs, "start": start, "end": start + windows + LENGTH - 1, "windows": windows, "gram": gram, "hash": whole})
 
     def load(group: pd.DataFrame) -> list[np.ndarray]:
         return [np.concatenate([unsqueeze(b, k) for b in group[c]]) for c, k in zip(("gram", "hash", "doc", "start", "windows"), ("<u8", "<u8", "<i8", "<u4", "u1"))]
@@ -170,21 +175,41 @@ def judged(places: DataFrame) -> DataFrame:
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         gram, whole, docs, start, windows = load(group)
         head, gone = first_and_later(gram, whole, docs, start)
-        names, which, classes = np.unique(gram[head], return_inverse=True, return_counts=True)
-        total = np.bincount(which, weights=windows[head].astype(np.int64) + LENGTH - 1, minlength=len(names))
-        several = classes[which] > 1
-        head = head[several]
-        cut = (total > CUT_BYTES)[which[several]]
-        return pd.concat([rows(docs[gone], start[gone], windows[gone]), rows(docs[head], start[head], windows[head], gram[head], whole[head], cut)])
+        return pd.concat([rows(docs[gone], start[gone], windows[gone]), rows(docs[head], start[head], windows[head], gram[head], whole[head])])
     return (places.filter("bucket < 0").mapInPandas(later, _JUDGED)
             .unionByName(places.filter("bucket >= 0").groupBy("bucket").applyInPandas(meet, _JUDGED)))
 
 
-def shard_texts(members: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
-    """shard, doc_id, start, bytes of the stretches in ``members``."""
+def border_stretches(found: DataFrame) -> DataFrame:
+    """The first stretches of anchors with several classes; ``cut`` if the anchor is too large for a shard."""
+    heads = found.filter("gram IS NOT NULL").select("doc_id", "gram", "hash", "start", "windows")
+    per = heads.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.col("windows") + LENGTH - 1).alias("total")).filter("classes > 1")
+    per = scratch.table(per.select("gram", (F.col("total") > CUT_BYTES).alias("cut")), "suffix-anchors")
+    # Large anchors are at most the bytes of all stretches / CUT_BYTES; the rest have few rows each.
+    large = F.broadcast(per.filter("cut"))
+    some = heads.join(large.select("gram"), "gram", "left_anti").join(per.filter("NOT cut").hint("merge"), "gram")
+    return some.unionByName(heads.join(large, "gram"))
+
+
+def shard_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, doc_id, start, size, bytes of the stretches in ``members``; ``bytes`` null: windows that start earlier too.
+
+    Equal keys go to one shard: the anchor, or of cut stretches the content of the window.
+    """
     wanted = members.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "hash", "start", "windows", "cut")).alias("parts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least: dict[bytes, tuple[int, int]] = {}
+
+        def frame(out: list) -> pd.DataFrame:
+            kinds = {"key": "int64", "doc_id": "int64", "start": "int64", "size": "int32"}
+            return pd.DataFrame(out, columns=[c.split()[0] for c in _PARTS.split(", ")]).astype(kinds)
+
+        def sent() -> list:
+            out = [(int.from_bytes(hashlib.blake2b(w, digest_size=6).digest()), *place, LENGTH, w) for w, place in least.items()]
+            least.clear()
+            return out
+
         for batch in batches:
             out = []
             for doc, text, parts in zip(batch["doc_id"], batch["text"], batch["parts"]):
@@ -195,13 +220,29 @@ def shard_texts(members: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
                     # Another row of the same id may hold other bytes here.
                     if len(piece) < n + LENGTH - 1 or int(mix(np.array([np.sum(_TABLE[piece] * _power(len(piece), True))]))[0].view(np.int64)) != p["hash"]:
                         continue
-                    if p["cut"]:
-                        out += [(int.from_bytes(hashlib.blake2b(piece[j:j + LENGTH].tobytes(), digest_size=6).digest()) % shards, doc, at + j,
-                                 piece[j:j + LENGTH].tobytes()) for j in range(n)]
-                    else:
-                        out.append((p["gram"] % shards, doc, at, piece.tobytes()))
-            yield pd.DataFrame(out, columns=["shard", "doc_id", "start", "bytes"]).astype({"shard": "int64", "doc_id": "int64", "start": "int64"})
-    return docs.join(wanted.hint("merge"), "doc_id").mapInPandas(run, "shard long, doc_id long, start long, bytes binary")
+                    piece = piece.tobytes()
+                    if not p["cut"]:
+                        out.append((p["gram"], doc, at, len(piece), piece))
+                        continue
+                    since = None
+                    for j in range(n):
+                        place = (doc, at + j)
+                        other = least.setdefault(piece[j:j + LENGTH], place)
+                        if place < other:
+                            least[piece[j:j + LENGTH]] = place
+                            out.append((0, *other, LENGTH, None))
+                        if place > other:
+                            since = j if since is None else since
+                        elif since is not None:
+                            out.append((0, doc, at + since, j - 1 - since + LENGTH, None))
+                            since = None
+                    if since is not None:
+                        out.append((0, doc, at + since, n - 1 - since + LENGTH, None))
+                    if len(least) >= CUT_WINDOWS:
+                        out += sent()
+            yield frame(out)
+        yield frame(sent())
+    return docs.join(wanted.hint("merge"), "doc_id").mapInPandas(run, _PARTS)
 
 
 def later_windows(parts: Iterator[tuple[int, int, bytes]], folder: str, **limits) -> pd.DataFrame:
@@ -255,19 +296,20 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)
     found = scratch.table(judged(places), "suffix-judged")
     discard(places)
-    whole, members = found.filter("gram IS NULL").select("doc_id", "start", "end"), found.filter("gram IS NOT NULL")
-    total = members.agg(F.sum(F.col("windows") + LENGTH - 1)).first()[0] or 0
+    whole = found.filter("gram IS NULL").select("doc_id", "start", "end")
+    texts = scratch.table(shard_texts(border_stretches(found), docs), "suffix-shards")
+    total = texts.filter("bytes IS NOT NULL").agg(F.sum("size")).first()[0] or 0
     shards = max(8, int(np.ceil(total / SHARD_BYTES)))
     free_shuffles(spark)
-    texts = scratch.table(shard_texts(members, docs, shards), "suffix-shards")
-    free_shuffles(spark)
+    repeated = texts.filter("bytes IS NULL").select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"))
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = ((d, s, b) for batch in batches for d, s, b in zip(batch["doc_id"], batch["start"], batch["bytes"]))
         with tempfile.TemporaryDirectory() as folder:   # the queues of this task alone; nobody else reads them
             yield later_windows(parts, folder)
-    some = texts.repartition(shards, "shard").sortWithinPartitions("doc_id", "start").select("doc_id", "start", "bytes").mapInPandas(sort, _INTERVAL)
-    return whole.unionByName(scratch.table(some, "suffix-sorted"))
+    parts = texts.filter("bytes IS NOT NULL").withColumn("shard", F.pmod("key", F.lit(shards)))
+    some = parts.repartition(shards, "shard").sortWithinPartitions("doc_id", "start").select("doc_id", "start", "bytes").mapInPandas(sort, _INTERVAL)
+    return whole.unionByName(repeated).unionByName(scratch.table(some, "suffix-sorted"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -53,3 +53,35 @@ def test_empty_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "q" * 50 + "w" * 80), (1, "q" * 50 + "w" * 80), (2, None)], "doc_id long, text string")
     assert sd.without_repeats(docs.limit(0)).count() == 0
     assert sorted((r.doc_id, r.n_removed) for r in sd.without_repeats(docs).collect()) == [(1, 0), (1, 0), (2, 0)]
+
+
+def test_windows_of_a_hot_passage_reach_a_shard_once_per_task(spark, monkeypatch):
+    """A passage between different surroundings: as many border stretches as documents, no row per document and window."""
+    monkeypatch.setattr(sd, "CUT_BYTES", 3000)
+    rnd = random.Random(12)
+    near = lambda: "".join(rnd.choice("abcdefghij ") for _ in range(120))
+    passage = near() + near()
+    rows = [(i, near() + passage + near()) for i in range(200)]
+    seen = []
+    keep = sd.shard_texts
+    monkeypatch.setattr(sd, "shard_texts", lambda members, docs: seen.append(keep(members, docs).cache()) or seen[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.without_repeats(docs).collect()}
+    assert got == brute(rows)
+    sent = [bytes(r.bytes).decode() for r in seen[0].filter("bytes IS NOT NULL").collect()]
+    tasks = seen[0].rdd.getNumPartitions()
+    inside = [w for w in sent if w in passage]
+    assert inside and len(inside) <= tasks * len(set(inside)) and len(set(inside)) < 200
+
+
+def test_classes_of_one_anchor_meet_in_many_buckets(spark, monkeypatch):
+    rnd = random.Random(13)
+    near = lambda: "".join(rnd.choice("abcdefghij ") for _ in range(120))
+    passage = near()
+    docs = spark.createDataFrame([(i, near() + passage + near()) for i in range(300)], "doc_id long, text string")
+    sent = sd.messages(docs, 3).cache()
+    grams = {}
+    for r in sd.repeated_stretches(sent, 3).filter("bucket >= 0").collect():
+        for g in sd.unsqueeze(r.gram, "<u8").tolist():
+            grams.setdefault(g, set()).add(r.bucket)
+    assert max(map(len, grams.values())) == 8
