@@ -1,13 +1,16 @@
 """HTML extraction by the maximum-scoring subsequence.
 
 A page is a line of words and tags. Words score zero or more by what they stand in: the log odds, learned from labelled
-pages, of the elements and class words around them. Tags score below zero, the more the less their element is seen in
+pages, of the elements and names (class, id, role) around them, against those of any word. Tags score below zero, the more the less their element is seen in
 articles. One linear scan finds the contiguous region with the largest sum, and the blocks in it whose words score
 above zero are the text: a menu or an advert inside the region stays out and does not cut it in two.
 
 Labelled pages are the pages that mark their article themselves with exactly one ``<article>`` element. That mark is used for
 counting only; ``article`` and the other neutral elements are no features, so pages without it are scored alike.
-Counts start from a prior over the usual names of boilerplate, which decides where no labelled page has a name.
+Counts start from a prior over the usual names of boilerplate, which decides where no labelled page has a name. A name of
+boilerplate that holds half of the words of a marked article or more wraps it, and counts them as inside; a smaller part under
+such a name says nothing, since marks do not tell an advert in an article from its text. Names of html, body, main and article
+themselves state what the page is, so they are features of their own without a prior.
 Features are kept if one in RARE labelled pages has them, so the broadcast weights are at most RARE times the
 features of a page.
 
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 RARE = 1000
 PRIOR = 20.0
 CAP = 4.0
+#: Evidence for an article counts less than evidence against one: a paragraph in an advert is an advert.
+CAP_FOR = 2.0
 NO_EVIDENCE = 0.5
 NEUTRAL_COST = 0.3
 LEAST_COST = 0.1
@@ -41,6 +46,7 @@ footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main
 select summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEUTRAL = frozenset("html body main article div section".split())
+WHOLE = frozenset("html body main article".split())
 UNREAD = "script style template noscript iframe object svg math textarea canvas audio video".split()
 NOISE_ELEMENTS = frozenset("nav header footer aside form menu button select option fieldset legend label dialog head title input".split())
 NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist
@@ -96,8 +102,9 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             elif stack and stack[-1][0] == "p":
                 stack.pop()
-            words = {"." + w for value in _NAMES.findall(m.group(4)) for w in _WORDS.findall(value.lower())}
-            own = frozenset(words | ({name} - NEUTRAL))
+            mark = ":" if name in WHOLE else "."
+            names = {mark + "-".join(_WORDS.findall(n)) for value in _NAMES.findall(m.group(4)) for n in value.lower().split()}
+            own = frozenset(names - {mark} | ({name} - NEUTRAL))
             stack.append((name, own))
         around = frozenset().union(*(f for _, f in stack))
         articles = sum(n == "article" for n, _ in stack)
@@ -106,7 +113,7 @@ def blocks(page: str) -> list[Block]:
 
 
 def is_noise(feature: str) -> bool:
-    return feature in NOISE_ELEMENTS or feature[:1] == "." and feature[1:] in NOISE_WORDS
+    return feature in NOISE_ELEMENTS or feature[:1] == "." and not NOISE_WORDS.isdisjoint(feature[1:].split("-"))
 
 
 def learn(pages: DataFrame, html_col: str = "html", rare: int = RARE) -> dict[str, float]:
@@ -118,12 +125,19 @@ def learn(pages: DataFrame, html_col: str = "html", rare: int = RARE) -> dict[st
                 if not isinstance(page, str) or len(re.findall(r"<article\b", page, re.I)) != 1:
                     continue
                 labelled += 1
-                names = set()
-                for around, text, _, within in blocks(page):
-                    # Boilerplate inside an article is not article; what a name of boilerplate explains counts for that name alone.
+                names, found = set(), blocks(page)
+                held = Counter()
+                for around, text, _, within in found:
+                    if within:
+                        held.update({f: text.count(" ") + 1 for f in (*filter(is_noise, around), "")})
+                for around, text, _, within in found:
                     noise = frozenset(filter(is_noise, around))
-                    target = inside if within and not noise else outside
-                    for f in (*(noise or around), ""):
+                    if within and any(2 * held[f] < held[""] for f in noise):
+                        continue
+                    # Outside, what a name of boilerplate explains counts for that name and the page alone.
+                    used = around if within or not noise else noise | {f for f in around if f[0] == ":"}
+                    target = inside if within else outside
+                    for f in (*used, ""):
                         target[f] += text.count(" ") + 1
                         names.add(f)
                 seen.update(names)
@@ -139,20 +153,24 @@ def learn(pages: DataFrame, html_col: str = "html", rare: int = RARE) -> dict[st
 def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     inside, outside = counts.get("", (0, 0))
     base = (inside + 1) / (inside + outside + 2)
+    usual = math.log(base / (1 - base))
     known = {}
     for f in {*counts, *NOISE_ELEMENTS, *BODY_ELEMENTS, *("." + w for w in NOISE_WORDS)} - {""}:
         a, b = counts.get(f, (0, 0))
         prior = 0.02 if is_noise(f) else 0.9 if f in BODY_ELEMENTS else base
         share = (a + PRIOR * prior) / (a + b + PRIOR)
-        odds = math.log(share / (1 - share))
-        known[f] = max(-CAP, min(CAP, odds))
+        odds = math.log(share / (1 - share)) - usual
+        known[f] = max(-CAP, min(CAP_FOR, odds))
     return known
 
 
 def word_score(around: frozenset, weight: dict[str, float]) -> float:
-    """Zero if anything around speaks against an article, else the strongest evidence for it, a little without evidence."""
-    odds = [weight[f] for f in around if f in weight]
-    return 0.0 if min(odds, default=0.0) < 0 else max(odds, default=0.0) or NO_EVIDENCE
+    """All evidence against an article, the strongest evidence for it, and a little for any word; zero at least.
+
+    Elements that speak for an article are nested in each other, so only one of them counts.
+    """
+    odds = [weight[f] if f in weight else -CAP if is_noise(f) else 0.0 for f in around]
+    return max(0.0, NO_EVIDENCE + max([0.0, *odds]) + sum(x for x in odds if x < 0))
 
 
 def tag_score(name: str, weight: dict[str, float]) -> float:

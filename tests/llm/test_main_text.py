@@ -33,3 +33,19 @@ def test_scan_finds_the_best_region():
         top = max((s for s, *_ in spans), default=0)
         texts = {" ".join(found[k][1] for k in range(i, j) if word[k] > 0) for s, i, j in spans if abs(s - top) < 1e-9} or {""}
         assert m.extract(page, weight) in texts or top <= 0
+
+
+def test_names_on_wrappers_do_not_lose_the_article(spark):
+    want = PAGE.format(open="{open}", close="{close}").replace("<body>", "{body}")
+    words = " ".join(f"word{i}" for i in range(40))
+    want = want.replace("<p>Third", f"<p>{words}</p><p>Third")
+    text = WANT.replace("Third one.", f"{words} Third one.")
+    forms = [("<body class='has-sidebar'>", "<main class='with-footer'><article class='post tag-form comments-open'>", "</article></main>"),
+             ("<body id=share>", "<div class='widget'><article>", "</article></div>"),
+             ("<body>", "<article><div class='social tags'>", "</div></article>")]
+    rows = [(10 * k + i, "u", want.format(body=b, open=o, close=c)) for k, (b, o, c) in enumerate(forms) for i in range(5)]
+    bare = [(100, "u", want.format(body="<body class='has-sidebar'>", open="<div class='widget'>", close="</div>"))]
+    pages = spark.createDataFrame(rows + bare, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in m.main_text(pages).collect()} == {r[0]: text for r in rows + bare}
+    # Unseen names on the page itself, with no labelled page at all.
+    assert m.extract(rows[0][2], m.weights({})) == text
