@@ -16,7 +16,8 @@ features of a page.
 
 Inside a block white space is one space, blocks are trimmed and joined by one space, references are decoded. Defined
 results: null and empty pages, and pages without a scoring word, give the empty text; unclosed and crossed tags close
-with their block; scripts, styles, templates and comments are dropped unread, up to the end of the page if they never close.
+with their block; scripts, styles, templates and comments are dropped unread, up to the end of the page if they never close; what stands in
+svg, iframe, textarea, canvas, audio and video is dropped where these close, and read as the page where they never do.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ select summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEUTRAL = frozenset("html body main article div section".split())
 WHOLE = frozenset("html body main article".split())
-UNREAD = "script style template noscript iframe object svg math textarea canvas audio video".split()
+UNREAD = frozenset("script style template iframe svg textarea canvas audio video".split())
+TO_THE_END = frozenset("script style template".split())
 NOISE_ELEMENTS = frozenset("nav header footer aside form menu button select option fieldset legend label dialog head title input".split())
 NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist
 cookie cookies consent copyright disqus discussion feedback footer form gdpr header masthead menu modal nav navbar navigation newsletter notice
@@ -55,8 +57,8 @@ notices overlay pagination pager popup promo promotion recommended related repli
 sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets""".split())
 BODY_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd figcaption".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(UNREAD) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+_CLOSES = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in UNREAD}
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -79,13 +81,23 @@ def blocks(page: str) -> list[Block]:
             out.append((around, text, tuple(tags), articles > 0))
             tags.clear()
 
-    for m in _TOKEN.finditer(page):
-        token, name = m.group(), m.group(3)
+    at, open_ended = 0, set()
+    while m := _TOKEN.match(page, at):
+        at = m.end()
+        token, name = m.group(), m.group(2)
         if name is None:
-            if m.group(1) is None and not (token[0] == "<" and len(token) > 1):
+            if not (token[0] == "<" and len(token) > 1):
                 run.append(token)
             continue
         name = name.lower()
+        if name in UNREAD and not m.group(1) and not (name == "svg" and token.endswith("/>")) and name not in open_ended:
+            if close := _CLOSES[name].search(page, at):
+                at = close.end()
+            elif name in TO_THE_END:
+                break
+            else:
+                open_ended.add(name)
+            continue
         if name == "br":
             run.append(" ")
             continue
@@ -93,7 +105,7 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         tags.append(name)
-        if m.group(2):
+        if m.group(1):
             if any(n == name for n, _ in stack):
                 while stack.pop()[0] != name:
                     pass
@@ -103,7 +115,7 @@ def blocks(page: str) -> list[Block]:
             elif stack and stack[-1][0] == "p":
                 stack.pop()
             mark = ":" if name in WHOLE else "."
-            names = {mark + "-".join(_WORDS.findall(n)) for value in _NAMES.findall(m.group(4)) for n in value.lower().split()}
+            names = {mark + "-".join(_WORDS.findall(n)) for value in _NAMES.findall(m.group(3)) for n in value.lower().split()}
             own = frozenset(names - {mark} | ({name} - NEUTRAL))
             stack.append((name, own))
         around = frozenset().union(*(f for _, f in stack))

@@ -49,3 +49,15 @@ def test_names_on_wrappers_do_not_lose_the_article(spark):
     assert {r.page_id: r.text for r in m.main_text(pages).collect()} == {r[0]: text for r in rows + bare}
     # Unseen names on the page itself, with no labelled page at all.
     assert m.extract(rows[0][2], m.weights({})) == text
+
+
+def test_unread_elements_end_where_they_close():
+    weight = m.weights({})
+    for part in ("<svg viewBox='0 0 1 1'/>", "<math/>", "<video-player src=a></video-player>", "<svg-icon name=x></svg-icon>", "<math-field>", "<svg>", "<video src=a>",
+                 "<svg><path/><text>no</text></svg>", "<SCRIPT>var t = '<p>';</SCRIPT >", "<iframe src=a>no</iframe>", "<scripted-part>"):
+        assert m.extract(f"<article><p>one {part} two</p><p>three</p></article>", weight) == "one two three", part
+    for name in ("math", "noscript", "object"):
+        assert m.extract(f"<p>one <{name} id=a>two</{name}> three</p>", weight) == "one two three"
+    for name in ("script", "style", "template"):
+        assert m.extract(f"<p>one</p><{name}>two<p>three</p>", weight) == "one"
+    assert m.extract("<p>one</p>" + "<svg>" * 50_000 + "<p>two</p>", weight) == "one two"
