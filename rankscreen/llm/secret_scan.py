@@ -1,10 +1,10 @@
 r"""Secret scans with corpus-wide ownership.
 
-Base spans come from three patterns. The method adds long mixed tokens (kind ``owned``) that look like live credentials
-because only one owner has them: every candidate is hashed, hashes are counted by distinct repositories and owners over
-the whole corpus (first per (hash, owner, repository), then per hash, so a value copied everywhere never meets in one
-task), and the counts go back to the documents. A value that WIDE or more owners share is a copied example, not
-a live credential; it stays a span but is reported, and redacted, apart.
+Base spans come from three patterns. The method adds long mixed tokens (kind ``owned``) that may be live credentials:
+every candidate is hashed, hashes are counted by distinct documents, repositories and owners over the whole corpus (first
+per (hash, owner, repository, row), then per hash, so a value copied everywhere never meets in one task), and the counts go
+back to the documents. A value that WIDE or more owners share, or that stands in WIDE_REPOS repositories or WIDE_ROWS
+documents of whatever owners, is a copied example, not a live credential; it stays a span but is reported, and redacted, apart.
 
 Spans are in code points, end exclusive. Defined results: null text is empty; null owner or repository counts as one
 value of its own; repeated rows are scanned each; an empty table gives no rows; other columns play no part.
@@ -26,7 +26,12 @@ from .. import scratch
 
 KINDS = ("assign", "access", "hex", "owned")
 WIDE = 3
+#: An owner reuses a key in repositories and documents of its own; a value in so many is copied all the same.
+WIDE_REPOS = 10
+WIDE_ROWS = 100
 MIN_ENTROPY = 3.5
+#: Of tokens that words could spell: without digits, or of digits and one case with separators.
+WORDY_ENTROPY = 4.0
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -40,6 +45,14 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def looks_random(value: str) -> bool:
+    """Two of digits, upper and lower case or all three, and the entropy of a key."""
+    digit, upper, lower = (any(map(test, value)) for test in (str.isdigit, str.isupper, str.islower))
+    if digit + upper + lower < 2:
+        return False
+    return entropy(value) >= (MIN_ENTROPY if digit and (upper and lower or value.isalnum()) else WORDY_ENTROPY)
+
+
 def scan(text: str) -> list[tuple[int, int, int, int, int]]:
     """(start, kind, end, value start, value end) in order; candidates of kind ``owned`` overlap no base span.
 
@@ -56,8 +69,7 @@ def scan(text: str) -> list[tuple[int, int, int, int, int]]:
     base = sorted(found)
     for m in _MIXED.finditer(text):
         value = m.group()
-        if (any(c.isdigit() for c in value) and any(c.isupper() for c in value) and any(c.islower() for c in value)
-                and entropy(value) >= MIN_ENTROPY and not any(s < m.end() and m.start() < e for s, _, e, _, _ in base)):
+        if (looks_random(value) and not any(s < m.end() and m.start() < e for s, _, e, _, _ in base)):
             found.append((m.start(), 3, m.end(), m.start(), m.end()))
     return sorted(found)
 
@@ -86,40 +98,46 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """hash, n_owners, n_repos over the whole corpus; a null owner or repository is one value."""
+    """hash, n_owners, n_repos, n_rows over the whole corpus; a null owner or repository is one value, repeated rows are one row."""
     own, repo = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("owner", "repo"))
-    each = scanned.select(own.alias("owner"), repo.alias("repo"), F.explode("spans.hash").alias("hash"))
-    each = each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one"))
-    each = each.groupBy("hash", "owner").agg(F.count("one").alias("repos"))
-    return each.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
+    each = scanned.select(own.alias("owner"), repo.alias("repo"), "row", F.explode("spans.hash").alias("hash"))
+    each = each.groupBy("hash", "owner", "repo", "row").agg(F.lit(1).alias("one"))
+    each = each.groupBy("hash", "owner", "repo").agg(F.count("one").alias("rows"))
+    each = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("rows").alias("rows"))
+    return each.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("rows").alias("n_rows"))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 repo_col: str = "lang", wide: int = WIDE) -> DataFrame:
-    """doc_id, row, spans (start, kind, end, hash, n_owners, n_repos, copied), one row per document row."""
+                 repo_col: str = "lang", wide: int = WIDE, wide_repos: int = WIDE_REPOS, wide_rows: int = WIDE_ROWS) -> DataFrame:
+    """doc_id, row, spans (start, kind, end, hash, n_owners, n_repos, n_rows, copied), one row per document row."""
     scanned = scratch.table(candidates(docs, id_col, text_col, owner_col, repo_col), "secret-spans")
     flat = scanned.select("doc_id", "row", F.explode("spans").alias("s")).select("doc_id", "row", "s.*")
-    known = flat.join(ownership(scanned), "hash").filter((F.col("kind") < 3) | (F.col("n_owners") == 1))
-    span = F.struct("start", "kind", "end", "hash", "n_owners", "n_repos", (F.col("n_owners") >= wide).alias("copied"))
+    known = flat.join(ownership(scanned), "hash")
+    copied = (F.col("n_owners") >= wide) | (F.col("n_repos") >= wide_repos) | (F.col("n_rows") >= wide_rows)
+    span = F.struct("start", "kind", "end", "hash", "n_owners", "n_repos", "n_rows", copied.alias("copied"))
     per = known.groupBy("row").agg(F.sort_array(F.collect_set(span)).alias("spans"))
     none = F.array().cast(per.schema["spans"].dataType)
     return scanned.select("doc_id", "row").join(per, "row", "left").withColumn("spans", F.coalesce("spans", none))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts, the hash of the base spans and all spans as text."""
+    """Counts, the hash of the base spans, the spans of base kinds and of one owner as text, and every span with its counts and verdict."""
     name = F.array(*[F.lit(k) for k in KINDS])
     said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["end"])), ",")
     count = lambda test: F.size(F.filter("spans", test)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
+    sole = F.filter("spans", lambda s: (s["kind"] < 3) | (s["n_owners"] == 1))
+    verdicts = F.array_join(F.transform("spans", lambda s: F.concat_ws(
+        ":", F.element_at(name, s["kind"] + 1), s["start"], s["end"], s["n_owners"], s["n_repos"], s["n_rows"],
+        F.when(s["copied"], "copied").otherwise("live"))), ",")
     return found.select("doc_id", *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{n}") for k, n in enumerate(KINDS[:3])],
-                        F.sha2(said(base), 256).alias("base_sha256"), said("spans").alias("spans"),
-                        count(lambda s: s["copied"]).alias("n_copied"), count(lambda s: ~s["copied"]).alias("n_live"))
+                        F.sha2(said(base), 256).alias("base_sha256"), said(sole).alias("spans"),
+                        count(lambda s: s["copied"]).alias("n_copied"), count(lambda s: ~s["copied"]).alias("n_live"), verdicts.alias("verdicts"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", owner_col: str = "source",
            repo_col: str = "lang", mark: str = "[secret]", wide: int = WIDE) -> DataFrame:
-    """The documents with every live-looking span replaced; values that WIDE or more owners share stay as they are."""
+    """The documents with every live-looking span replaced; copied values (see above) stay as they are."""
     live = find_secrets(docs, id_col, text_col, owner_col, repo_col, wide).select(
         F.col("row").alias("__row"), F.filter("spans", lambda s: ~s["copied"]).alias("__spans"))
     live = live.filter(F.size("__spans") > 0).groupBy("__row").agg(F.first("__spans").alias("__spans"))

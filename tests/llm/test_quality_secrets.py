@@ -113,3 +113,24 @@ def test_redaction(spark):
     out = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
     assert out[1].text == 'a [secret]" b' and out[1].n_chars == 13
     assert out[2].text is None and out[3].text == "clean" and out[10].text == rows[3][1]
+
+
+def test_shared_tokens_stay_spans_with_a_verdict(spark):
+    value = SECRETS[-1]
+    rows = lambda n, owners, repos: [(i, f"{value} {i}", f"l{i % repos}", f"s{i % owners}", len(f"{value} {i}")) for i in range(n)]
+    form = "doc_id long, text string, lang string, source string, n_chars long"
+    for n, owners, repos, verdict in ((2, 2, 1, "live"), (3, 3, 1, "copied"), (9, 1, 9, "live"), (10, 1, 10, "copied"), (99, 1, 1, "live"), (100, 1, 1, "copied")):
+        docs = spark.createDataFrame(rows(n, owners, repos), form)
+        got = secret_scan.digest(secret_scan.find_secrets(docs)).collect()
+        assert {r.verdicts for r in got} == {f"owned:4:28:{owners}:{max(owners, repos)}:{n}:{verdict}"}
+        assert {(r.n_live, r.n_copied) for r in got} == {(1, 0) if verdict == "live" else (0, 1)}
+    docs = spark.createDataFrame(rows(2, 2, 1), form)
+    assert {r.text for r in secret_scan.redact(docs).collect()} == {"key [secret] end 0", "key [secret] end 1"}
+
+
+def test_tokens_of_two_classes_are_candidates():
+    kinds = lambda t: [k for _, k, *_ in secret_scan.scan(t)]
+    for key in ("k3v9x2m7q8z1w4p6t5r0y2n8", "JBSWY3DPEHPK3PXPGEZDGNBVGY3TQOJQ", "sk_live_4zq8w1x7c2v9b3n6m5k0j", "qWzRtYpLkJhGfDsAxCvBnMeUi"):
+        assert kinds(key) == [3], key
+    for plain in ("see-the-other-page-of-the-site-2", "aaaaaaaaaaaa111111111111", "internationalizationwithoutend", "123456789012345678901234567_"):
+        assert 3 not in kinds(plain), plain
