@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, main_text, minhash, mixing, onebit_ann, packing, pitman_yor, quality_rules, secret_scan, suffix_dedup
+from . import byte_cnn, main_text, minhash, mixing, onebit_ann, packing, pitman_yor, quality_rules, secret_scan, spelling, suffix_dedup
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -58,9 +58,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules, "op2_minhash": op2_minhash, "op3_secret_scan": op3_secret_scan, "op4_suffix_dedup": op4_suffix_dedup, "op5_pitman_yor": op5_pitman_yor, "op6_byte_cnn": op6_byte_cnn, "op7_onebit_ann": op7_onebit_ann, "op8_main_text": op8_main_text,
-    "op9_packing": op9_packing, "op10_mixing": op10_mixing,
+    "op9_packing": op9_packing, "op10_mixing": op10_mixing, "op13_spelling": op13_spelling,
 }
 
 SQL: dict[str, str] = {
