@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_cnn, main_text, minhash, mixing, onebit_ann, packing, pitman_yor, quality_rules, secret_scan, spelling, suffix_dedup
+from . import byte_cnn, hard_negatives, main_text, minhash, mixing, onebit_ann, packing, pitman_yor, quality_rules, secret_scan, spelling, suffix_dedup
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -58,13 +58,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.candidates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules, "op2_minhash": op2_minhash, "op3_secret_scan": op3_secret_scan, "op4_suffix_dedup": op4_suffix_dedup, "op5_pitman_yor": op5_pitman_yor, "op6_byte_cnn": op6_byte_cnn, "op7_onebit_ann": op7_onebit_ann, "op8_main_text": op8_main_text,
-    "op9_packing": op9_packing, "op10_mixing": op10_mixing, "op13_spelling": op13_spelling,
+    "op9_packing": op9_packing, "op10_mixing": op10_mixing, "op12_hard_negatives": op12_hard_negatives, "op13_spelling": op13_spelling,
 }
 
 SQL: dict[str, str] = {
@@ -96,4 +102,17 @@ runs AS (
   FROM keyed k JOIN parts p USING (skey))
 SELECT doc_id, size, source_size, target, ((epochs + CASE WHEN rest > 0 AND reach <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken, epochs
 FROM runs""",
+    "op12_hard_negatives": """
+WITH rows_ AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM rows_ a JOIN rows_ b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
 }
