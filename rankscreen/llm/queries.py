@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_cnn, hard_negatives, main_text, minhash, mixing, onebit_ann, packing, pitman_yor, quality_rules, secret_scan, spelling, suffix_dedup
+from . import byte_cnn, flat_graph, hard_negatives, main_text, minhash, mixing, onebit_ann, packing, pitman_yor, quality_rules, secret_scan, spelling, suffix_dedup
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -58,6 +58,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+def op11_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_graph.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("audited_recall")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = hard_negatives.candidates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label)
@@ -70,7 +74,8 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules, "op2_minhash": op2_minhash, "op3_secret_scan": op3_secret_scan, "op4_suffix_dedup": op4_suffix_dedup, "op5_pitman_yor": op5_pitman_yor, "op6_byte_cnn": op6_byte_cnn, "op7_onebit_ann": op7_onebit_ann, "op8_main_text": op8_main_text,
-    "op9_packing": op9_packing, "op10_mixing": op10_mixing, "op12_hard_negatives": op12_hard_negatives, "op13_spelling": op13_spelling,
+    "op9_packing": op9_packing, "op10_mixing": op10_mixing, "op11_flat_graph": op11_flat_graph,
+    "op12_hard_negatives": op12_hard_negatives, "op13_spelling": op13_spelling,
 }
 
 SQL: dict[str, str] = {
@@ -102,6 +107,16 @@ runs AS (
   FROM keyed k JOIN parts p USING (skey))
 SELECT doc_id, size, source_size, target, ((epochs + CASE WHEN rest > 0 AND reach <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken, epochs
 FROM runs""",
+    "op11_flat_graph": """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT x, x AS y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN least ON least.x = vec_id LEFT JOIN counts ON counts.x = vec_id""",
     "op12_hard_negatives": """
 WITH rows_ AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
