@@ -109,10 +109,8 @@ def _evaluation(spark, sf):
     m = views.measurements(spark, sf)
     features = m.select("code_id", "n", "k", "d_upper", "phi_from_d_upper", "p_retailprice",
                         F.when(F.col("p_size") > 5, F.col("p_size")).alias("girth_x"))
-    # The published model has 300 trees; these few keep the query within minutes on one machine.
-    return evaluation.evaluate(m, features, expected_rows=m.count(), predictions_path=scratch.new_path(spark, "predictions"), n_splits=3,
-                               feature_columns=["n", "k", "d_upper", "phi_from_d_upper", "p_retailprice", "girth_x"],
-                               params={"maxIter": 4, "stepSize": 0.3, "maxDepth": 3, "seed": 0})
+    return evaluation.evaluate(m, features, expected_rows=m.count(), predictions_path=scratch.new_path(spark, "predictions"),
+                               feature_columns=["n", "k", "d_upper", "phi_from_d_upper", "p_retailprice", "girth_x"])
 
 
 @query("evaluation_document", "M9 M1 M2 M3 M4 M5 M6 L1 L2 L3 S6 S8 J1 F1 F2 F5 F7 F22")
@@ -365,8 +363,38 @@ def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
 @query("out_of_fold_predictions", "L3")
 def out_of_fold_predictions(spark: SparkSession, sf: str) -> DataFrame:
     m = views.measurements(spark, sf).withColumn("girth_x", F.when(F.col("p_size") > 5, F.col("p_size")))
-    return model.out_of_fold_predictions(m, ["n", "k", "d_upper", "phi_from_d_upper", "p_retailprice", "girth_x"], n_splits=3,
-                                         params={"maxIter": 4, "stepSize": 0.3, "maxDepth": 3, "seed": 0})
+    return model.out_of_fold_predictions(m, ["n", "k", "d_upper", "phi_from_d_upper", "p_retailprice", "girth_x"])
+
+
+_STUMPS, _STUMP_RATE, _STUMP_ROWS, _STUMP_FEATURES = 4, 0.3, 10, ("n", "k", "d_upper", "rounds")
+
+
+def _stump_sql(i: int) -> str:
+    """One more tree of one split for every fold: its residual sums per value, its best split, and the state after it."""
+    values = " UNION ALL ".join(f"SELECT f, {j} AS j, {c} AS v, y - p AS r FROM s{i} WHERE train AND own <> f" for j, c in enumerate(_STUMP_FEATURES))
+    pick = " ".join(f"WHEN {j} THEN {c}" for j, c in enumerate(_STUMP_FEATURES))
+    return f"""
+u{i} AS (SELECT f, j, v, sum(r) AS r, count(*) AS n FROM ({values}) GROUP BY 1, 2, 3),
+h{i} AS (SELECT f, j, v, sum(r) OVER w AS rl, sum(n) OVER w AS nl, sum(r) OVER g AS rt, sum(n) OVER g AS nt FROM u{i}
+         WINDOW w AS (PARTITION BY f, j ORDER BY v), g AS (PARTITION BY f, j)),
+g{i} AS (SELECT *, round(rl * rl / nl + (rt - rl) * (rt - rl) / (nt - nl) - rt * rt / nt, 9) AS gain FROM h{i} WHERE nl >= {_STUMP_ROWS} AND nt - nl >= {_STUMP_ROWS}),
+b{i} AS (SELECT * FROM g{i} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY f ORDER BY gain DESC, j, v) = 1),
+s{i + 1} AS (SELECT s.f, s.code_id, s.own, s.train, s.y, s.n, s.k, s.d_upper, s.rounds,
+                    s.p + {_STUMP_RATE} * coalesce(CASE WHEN CASE b.j {pick} END <= b.v THEN b.rl / b.nl ELSE (b.rt - b.rl) / (b.nt - b.nl) END, 0) AS p
+             FROM s{i} s LEFT JOIN b{i} b ON b.f = s.f)"""
+
+
+@query("boosted_stumps", "L3 L1", f"""WITH {_M},
+fo AS (SELECT construction_program_id AS c, row_number() OVER (ORDER BY count(*) DESC, construction_program_id) - 1 AS own FROM meas GROUP BY 1),
+it AS (SELECT code_id, own, NOT censored AS train, log10(true_ler) AS y, n, k, d_upper, rounds FROM meas JOIN fo ON c = construction_program_id),
+s0 AS (SELECT f.own AS f, it.*, b.p FROM fo f CROSS JOIN it JOIN (SELECT f.own AS f, avg(y) AS p FROM fo f JOIN it ON it.own <> f.own AND train GROUP BY 1) b ON b.f = f.own),
+{", ".join(_stump_sql(i) for i in range(_STUMPS))}
+SELECT code_id, CAST(own AS INTEGER) AS fold, round(p, 9) AS pred_log10_ler FROM s{_STUMPS} WHERE own = f""")
+def boosted_stumps(spark: SparkSession, sf: str) -> DataFrame:
+    """Four trees of one split in every fold, leave-one-group-out: small enough for SQL to grow them too."""
+    out = model.out_of_fold_predictions(views.measurements(spark, sf), _STUMP_FEATURES, params={
+        "maxIter": _STUMPS, "maxDepth": 1, "stepSize": _STUMP_RATE, "minInstancesPerNode": _STUMP_ROWS})
+    return rounded(out.drop("model_version"), "pred_log10_ler")
 
 
 # Streams.

@@ -3,22 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from .. import scratch
 from ..errors import Refused
 from ..functions import rates
 from ..schemas import MODEL_FEATURES
-from . import splits
+from . import boosting, guards, splits
 
-MODEL_VERSION = "gbt_v1"
-GBT_PARAMS = {"maxIter": 300, "stepSize": 0.05, "minInstancesPerNode": 10, "maxDepth": 4, "seed": 0}
+MODEL_VERSION = "gbt_v2"
+BOOST_PARAMS = {"maxIter": 300, "stepSize": 0.05, "minInstancesPerNode": 10, "maxDepth": 4, "maxBins": 64}
 
 
 def feature_stages(features: Sequence[str], nullable: Sequence[str]) -> tuple[list, list[str]]:
@@ -41,30 +36,23 @@ def feature_matrix(df: DataFrame, features: Sequence[str], nullable: Sequence[st
 def out_of_fold_predictions(df: DataFrame, features: Sequence[str] = MODEL_FEATURES, *,
                             nullable: Sequence[str] = ("girth_x", "girth_z"), key: str = "code_id",
                             group: str = "construction_program_id", n_splits: int | None = None,
-                            params: dict | None = None, model_version: str = MODEL_VERSION,
-                            parallel_fits: int = 4) -> DataFrame:
+                            params: dict | None = None, model_version: str = MODEL_VERSION) -> DataFrame:
     """(key, pred_log10_ler, fold, model_version) for every row.
 
     Each fold's model is trained on the uncensored rows of the other groups and predicts every row of its own, censored
-    ones included. Fits are independent Spark jobs and run a few at a time.
+    ones included. All folds grow together; a null of a ``nullable`` feature is a value of its own, others are refused.
     """
-    nullable = [f for f in nullable if f in features]
+    needed = {f"{f} is null": guards.nulls(f) for f in features if f not in nullable}
+    if needed:
+        guards.enforce(guards.counts(df, needed))
     folded = splits.with_folds(df.select(key, group, "censored", "true_ler", *features), n_splits, group)
-    ready = scratch.table(feature_matrix(folded.withColumn("__y", rates.log_target()), features, nullable), "model-input")
-    held = {r["fold"]: r["rows"] for r in ready.filter(~F.col("censored")).groupBy("fold").agg(
-        F.count(F.lit(1)).alias("rows")).collect()}
-    folds = sorted(r["fold"] for r in ready.select("fold").distinct().collect())
+    held = {r["fold"]: r["rows"] for r in folded.groupBy("fold").agg(F.count_if(~F.col("censored")).alias("rows")).collect()}
     total = sum(held.values())
-    empty = [f for f in folds if total - held.get(f, 0) == 0]
+    empty = sorted(f for f, rows in held.items() if total == rows)
     if empty:
         raise Refused(f"folds {empty} have no uncensored training row")
-
-    def fit_one(fold: int) -> DataFrame:
-        stages, _ = feature_stages(features, nullable)
-        gbt = GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol="pred_log10_ler", **(params or GBT_PARAMS))
-        model = Pipeline(stages=[*stages, gbt]).fit(ready.filter((F.col("fold") != fold) & ~F.col("censored")))
-        return model.transform(ready.filter(F.col("fold") == fold)).select(
-            key, "pred_log10_ler", "fold", F.lit(model_version).alias("model_version"))
-
-    with ThreadPoolExecutor(parallel_fits) as pool:
-        return reduce(DataFrame.unionByName, pool.map(fit_one, folds))
+    params = BOOST_PARAMS | (params or {})
+    ready = folded.select(key, "fold", (~F.col("censored")).alias("train"), rates.log_target().alias("y"), *features)
+    out = boosting.out_of_fold(ready, features, key=key, trees=params["maxIter"], depth=params["maxDepth"], rate=params["stepSize"],
+                               min_rows=params["minInstancesPerNode"], max_bins=params["maxBins"])
+    return out.select(key, F.col("pred").alias("pred_log10_ler"), "fold", F.lit(model_version).alias("model_version"))
