@@ -17,14 +17,19 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from .. import scratch
 
 #: Predictions in one block, and trees between two written states.
 BLOCK_CELLS = 4_000_000
-CUT = 25
-_BLOCK = "keys array<string>, bins binary, fold binary, train binary, y binary, pred binary"
-_SPLIT = "fold int, node int, feature int, cut int, n_left long, s_left double, n_right long, s_right double"
+CUT = 10
+# As types, not text: a pass is short enough for the parsing of a schema to show.
+_BLOCK = T.StructType([T.StructField("keys", T.ArrayType(T.StringType())), *[T.StructField(c, T.BinaryType()) for c in ("bins", "fold", "train", "y", "pred")]])
+_SUMS = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("s", T.BinaryType()), T.StructField("n", T.BinaryType())])
+_SPLIT = T.StructType([T.StructField(c, t()) for c, t in (
+    ("fold", T.IntegerType), ("node", T.IntegerType), ("feature", T.IntegerType), ("cut", T.IntegerType), ("n_left", T.LongType),
+    ("s_left", T.DoubleType), ("n_right", T.LongType), ("s_right", T.DoubleType))])
 
 
 def bin_cuts(df: DataFrame, features: Sequence[str], max_bins: int) -> list[list[float]]:
@@ -121,11 +126,14 @@ def out_of_fold(df: DataFrame, features: Sequence[str], *, key: str, trees: int,
         return run
 
     def choose(level: int) -> object:
-        def run(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-            shape = (2**level, n_features, n_bins)
-            s = sum(np.frombuffer(v).reshape(shape) for v in parts["s"])
-            n = sum(np.frombuffer(v, np.int64).reshape(shape) for v in parts["n"])
-            return pd.DataFrame([(key[0], *split) for split in best_splits(s, n, min_rows)], columns=[c.split()[0] for c in _SPLIT.split(", ")])
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shape, sums, counts = (2**level, n_features, n_bins), {}, {}
+            for batch in batches:
+                for fold, s, n in zip(batch["fold"], batch["s"], batch["n"]):
+                    sums[fold] = sums.get(fold, 0) + np.frombuffer(s).reshape(shape)
+                    counts[fold] = counts.get(fold, 0) + np.frombuffer(n, np.int64).reshape(shape)
+            out = [(fold, *split) for fold in sums for split in best_splits(sums[fold], counts[fold], min_rows)]
+            yield pd.DataFrame(out, columns=_SPLIT.names)
         return run
 
     def grown(levels: list, value: np.ndarray) -> object:
@@ -142,7 +150,9 @@ def out_of_fold(df: DataFrame, features: Sequence[str], *, key: str, trees: int,
     for tree in range(trees):
         levels, value = [], np.zeros((n_folds, 1))
         for level in range(depth):
-            found = state.mapInPandas(histogram(levels), "fold int, s binary, n binary").groupBy("fold").applyInPandas(choose(level), _SPLIT).collect()
+            # A fold's sums of all tasks meet in one task, which holds the folds it was dealt and nothing else.
+            sums = state.mapInPandas(histogram(levels), _SUMS).repartition("fold")
+            found = sums.mapInPandas(choose(level), _SPLIT).collect()
             while len(held) > 1:
                 held.pop(0).unpersist()     # the present state has been computed from it
             feature, cut = np.full((n_folds, 2**level), -1), np.zeros((n_folds, 2**level), np.int64)
