@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import rng
 from ..operators import resample
 from ..plans import views
 from .core import query, rounded
@@ -44,6 +45,38 @@ def bootstrap_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(resample.bootstrap_intervals(_replicates(spark, sf)), "low", "high")
 
 
-@query("label_noise_ceiling", "M6")
+_NOISE_SEED, _TRIES = 20261002, 9
+
+
+def _try_sql(i: int) -> str:
+    """One try of both Gamma draws: the rows it takes, their uniforms, and the draws where it accepts."""
+    uses = {f"u{s}{j}": f"{4096 * stream}" + (f" + {3 * i + j}" if j else "") for s, stream in (("x", 1), ("y", 2)) for j in range(4)}
+    source = "dr" if i == 0 else f"r{i}"
+    rest = "" if i == 0 else f"r{i} AS (SELECT * FROM g{i - 1} WHERE gx IS NULL OR gy IS NULL), "
+
+    def tried(s, p):
+        d, z, v = f"d{s}", f"z{s}", f"v{s}"
+        ok = f"{v} > 0 AND ln(u{s}3) < 0.5 * {z} * {z} + {d} - {d} * {v} + {d} * CASE WHEN {v} > 0 THEN ln({v}) ELSE 0 END"
+        return f"coalesce(g{s}, CASE WHEN {ok} THEN {d} * {v} * CASE WHEN {p} < 1 THEN pow(u{s}0, 1.0 / {p}) ELSE 1.0 END END) AS g{s}"
+    pairs = tuple(zip("xy", "ab"))
+    dz = ", ".join(f"CASE WHEN {p} < 1 THEN {p} + 1.0 ELSE {p} END - (1.0::DOUBLE / 3.0) AS d{s}, sqrt(-2.0 * ln(u{s}1)) * cos(2.0 * pi() * u{s}2) AS z{s}" for s, p in pairs)
+    v = ", ".join(f"(1.0 + z{s} / sqrt(9.0 * d{s})) * (1.0 + z{s} / sqrt(9.0 * d{s})) * (1.0 + z{s} / sqrt(9.0 * d{s})) AS v{s}" for s, _ in pairs)
+    return f"""{rest}{rng.units_sql(source, f"u{i}", "cn", uses)},
+z{i} AS (SELECT *, {dz} FROM u{i}), v{i} AS (SELECT *, {v} FROM z{i}),
+g{i} AS (SELECT draw, score_p, rounds, k, cn, a, b, {", ".join(tried(s, p) for s, p in pairs)} FROM v{i})"""
+
+
+@query("label_noise_ceiling", "M6", f"""WITH {_M},
+it AS (SELECT *, least(1.0, greatest(0.0, (30 - (rank() OVER (ORDER BY rank_value) - 1))::DOUBLE / count(*) OVER (PARTITION BY rank_value))) AS score_p FROM meas),
+dr AS (SELECT draw, score_p, rounds, k, CAST(('0x' || substr(md5('{_NOISE_SEED}|' || code_id), 1, 15)) AS BIGINT) + draw * {rng.STRIDE} AS cn,
+              failures + 0.5::DOUBLE AS a, shots - failures + 0.5::DOUBLE AS b, NULL::DOUBLE AS gx, NULL::DOUBLE AS gy
+       FROM it, (SELECT unnest(range({_B})) AS draw)),
+{", ".join(_try_sql(i) for i in range(_TRIES))},
+al AS ({" UNION ALL ".join(f"SELECT draw, score_p, rounds, k, gx / (gx + gy) AS p FROM g{i} WHERE gx IS NOT NULL AND gy IS NOT NULL" for i in range(_TRIES))}),
+ra AS (SELECT draw, score_p, 1.0 - pow(1.0 - p, 1.0::DOUBLE / (rounds * k)) AS rate FROM al),
+rk AS (SELECT draw, score_p, rank() OVER (PARTITION BY draw ORDER BY rate) - 1 AS below, count(*) OVER (PARTITION BY draw, rate) AS tie FROM ra),
+rc AS (SELECT draw, sum(score_p * least(1.0, (10 - below)::DOUBLE / tie)) / 10 AS recall FROM rk WHERE below < 10 GROUP BY draw)
+SELECT 'recall_at_30_of_top_10_label_noise_ceiling' AS metric, round(avg(recall), 9) AS mean, round(quantile_cont(recall, 0.05), 9) AS p05,
+       round(quantile_cont(recall, 0.95), 9) AS p95, {_B} AS n_draws FROM rc""")
 def label_noise_ceiling(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.label_noise_ceiling(views.measurements(spark, sf), n_draws=1000)
+    return rounded(resample.label_noise_ceiling(views.measurements(spark, sf), n_draws=_B, seed=_NOISE_SEED), "mean", "p05", "p95")

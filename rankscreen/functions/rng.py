@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _BITS = 60
 
@@ -22,3 +22,52 @@ def random_below(bound, *parts) -> Column:
 def random_unit(*parts) -> Column:
     """A uniform double strictly inside (0, 1)."""
     return (random_int(*parts).cast("double") + F.lit(0.5)) / F.lit(float(1 << _BITS))
+
+
+# Many draws per row: whole-number arithmetic below 2^62 only, so that SQL engines agree on every bit.
+_PRIME = (1 << 31) - 1
+_STEPS = ((1_103_515_245, 12_345), (1_597_334_677, 69_069))
+#: What a counter grows by from one draw of a row to the next.
+STRIDE = 678_152_731_007
+
+
+def bind(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are computed once.
+
+    The optimizer repeats a plain column at each of its uses, and an expression that uses its parts twice doubles at
+    every step until no compiler takes it. What a generator returns stays as it is.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def with_units(rows: DataFrame, counter: str, uses: dict[str, Column]) -> DataFrame:
+    """Uniform doubles strictly inside (0, 1), in steps of 2^-31, from a 62-bit counter and the number of each use."""
+    prime = F.lit(_PRIME)
+    fold = lambda x: x.bitwiseXOR(F.shiftright(x, 15))
+    (m1, a1), (m2, a2) = _STEPS
+    inner = list(uses)
+    step = lambda x, m, a: (x * F.lit(m) + F.lit(a)) % prime
+    rows = bind(rows, __low=F.pmod(F.col(counter), prime), __high=F.pmod(F.shiftright(F.col(counter), 31), prime))
+    rows = bind(rows, **{f"__a{u}": step((F.col("__low") + uses[u] * F.lit(40_503_161)) % prime, m1, a1) for u in inner})
+    rows = bind(rows, **{f"__b{u}": step(fold(F.col(f"__a{u}")), m2, a2) for u in inner})
+    rows = bind(rows, **{f"__c{u}": step((fold(F.col(f"__b{u}")) + F.col("__high")) % prime, m1, a1) for u in inner})
+    rows = bind(rows, **{f"__d{u}": step(fold(F.col(f"__c{u}")), m2, a2) for u in inner})
+    rows = bind(rows, **{u: (fold(F.col(f"__d{u}")).cast("double") + F.lit(0.5)) / F.lit(float(1 << 31)) for u in inner})
+    return rows.drop("__low", "__high", *[f"__{k}{u}" for k in "abcd" for u in inner])
+
+
+def units_sql(source: str, name: str, counter: str, uses: dict[str, str]) -> str:
+    """The same numbers as SQL: table expressions, the last of them ``name``, that add them to ``source``."""
+    (m1, a1), (m2, a2) = _STEPS
+    fold = lambda c: f"xor({c}, {c} >> 15)"
+    steps = [{u: f"(({counter} % {_PRIME} + ({use})::BIGINT * 40503161) % {_PRIME} * {m1} + {a1}) % {_PRIME}" for u, use in uses.items()},
+             {u: f"({fold('__a' + u)} * {m2} + {a2}) % {_PRIME}" for u in uses},
+             {u: f"(({fold('__b' + u)} + ({counter} >> 31) % {_PRIME}) % {_PRIME} * {m1} + {a1}) % {_PRIME}" for u in uses},
+             {u: f"({fold('__c' + u)} * {m2} + {a2}) % {_PRIME}" for u in uses}]
+    out = []
+    for k, step in zip("abcd", steps):
+        out.append(f"{name}_{k} AS (SELECT *, {', '.join(f'{x} AS __{k}{u}' for u, x in step.items())} FROM {source})")
+        source = f"{name}_{k}"
+    drop = ", ".join(f"__{k}{u}" for k in "abcd" for u in uses)
+    last = ", ".join(f"({fold('__d' + u)}::DOUBLE + 0.5) / 2147483648.0::DOUBLE AS {u}" for u in uses)
+    return ", ".join([*out, f"{name} AS (SELECT * EXCLUDE ({drop}), {last} FROM {source})"])

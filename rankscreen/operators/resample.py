@@ -6,13 +6,11 @@ ranks handle exactly. Both scores are read on the same weights, so their differe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from .. import scratch
 from ..constants import (
@@ -24,6 +22,7 @@ from . import ranks
 from .metrics import Metric, Standing, default_metrics
 
 _COLUMNS = ("truth", "a", "b")
+_DRAWS_PER_TASK = 1_000_000
 
 
 def resample_weights(spark, n_items: int, n_resamples: int, seed: int, by_replicate: bool = True) -> DataFrame:
@@ -113,61 +112,70 @@ def bootstrap_intervals(replicates: DataFrame, names=("model", "baseline", "diff
             .select("metric", "scorer", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")))
 
 
-# Random numbers inside a task: a counter hashed to 64 bits per (row, use), so a draw depends on its row alone.
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_SIDES = (("x", 1), ("y", 2))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _gamma_attempt(rows: DataFrame) -> DataFrame:
+    """One squeeze-and-reject try for the Gamma draws ``gx`` and ``gy`` of shapes ``a`` and ``b`` that are still null."""
+    kept = rows.columns
+    uses = {f"u{s}{i}": F.lit(4096 * stream).cast("long") + (F.col("attempt") * 3 + F.lit(i) if i else F.lit(0)) for s, stream in _SIDES for i in range(4)}
+    rows = rng.with_units(rows, "counter", uses)
+    sides = tuple(zip("xy", "ab"))
+    # A shape below one is raised by one, and the draw scaled back.
+    rows = rng.bind(rows, **{f"d{s}": F.when(F.col(p) < 1, F.col(p) + F.lit(1.0)).otherwise(F.col(p)) - F.lit(1.0 / 3.0) for s, p in sides},
+                    **{f"z{s}": F.sqrt(F.lit(-2.0) * F.log(F.col(f"u{s}1"))) * F.cos(F.lit(2.0 * math.pi) * F.col(f"u{s}2")) for s, _ in sides})
+    rows = rng.bind(rows, **{f"w{s}": F.lit(1.0) + F.col(f"z{s}") / F.sqrt(F.lit(9.0) * F.col(f"d{s}")) for s, _ in sides})
+    rows = rng.bind(rows, **{f"v{s}": F.col(f"w{s}") * F.col(f"w{s}") * F.col(f"w{s}") for s, _ in sides})
 
+    def tried(s: str, shape: str) -> Column:
+        d, z, v = F.col(f"d{s}"), F.col(f"z{s}"), F.col(f"v{s}")
+        ok = (v > 0) & (F.log(F.col(f"u{s}3")) < F.lit(0.5) * z * z + d - d * v + d * F.log(v))
+        back = F.when(F.col(shape) < 1, F.pow(F.col(f"u{s}0"), F.lit(1.0) / F.col(shape))).otherwise(F.lit(1.0))
+        return F.coalesce(F.col(f"g{s}"), F.when(ok, d * v * back))
+    rows = rng.bind(rows, **{f"t{s}": tried(s, p) for s, p in sides})
+    return rows.select(*[c for c in kept if c not in ("gx", "gy")], F.col("tx").alias("gx"), F.col("ty").alias("gy"))
 
-def _uniform(seed: np.ndarray, use: int) -> np.ndarray:
-    bits = _mix(seed + np.uint64(use + 1) * _GOLDEN)
-    return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
+def beta_draws(rows: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda drawn: drawn) -> DataFrame:
+    """``keep`` of the rows with ``p``, one Beta(a, b) draw each and a function of ``counter``, ``a`` and ``b``.
 
-def _gamma(seed: np.ndarray, shape: np.ndarray, stream: int) -> np.ndarray:
-    """Gamma draws by squeeze and rejection; a shape below one is raised by one and scaled back."""
-    seed = _mix(seed + np.uint64(stream) * np.uint64(0xD1B54A32D192ED03))
-    d = np.where(shape < 1, shape + 1, shape) - 1.0 / 3.0
-    c = 1.0 / np.sqrt(9.0 * d)
-    out, todo, use = np.empty_like(d), np.arange(d.size), 1
-    while todo.size:
-        s = seed[todo]
-        z = np.sqrt(-2.0 * np.log(_uniform(s, use))) * np.cos(2.0 * np.pi * _uniform(s, use + 1))
-        v = (1.0 + c[todo] * z) ** 3
-        positive = v > 0
-        logv = np.log(np.where(positive, v, 1.0))
-        ok = positive & (np.log(_uniform(s, use + 2)) < 0.5 * z * z + d[todo] * (1.0 - v + logv))
-        out[todo[ok]] = d[todo[ok]] * v[ok]
-        todo, use = todo[~ok], use + 3
-    return np.where(shape < 1, out * _uniform(seed, 0) ** (1.0 / np.where(shape < 1, shape, 1.0)), out)
-
-
-@pandas_udf(DoubleType())
-def beta_draw(counter: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    """One Beta(a, b) draw per row, a function of the row's counter."""
-    with np.errstate(over="ignore"):
-        seed = counter.to_numpy(dtype=np.int64).view(np.uint64)
-        x = _gamma(seed, a.to_numpy(dtype=np.float64), 1)
-        y = _gamma(seed, b.to_numpy(dtype=np.float64), 2)
-    return pd.Series(x / (x + y))
+    Draws that are rejected, one row in some twenty, are written out and tried again until none is left.
+    """
+    none = F.lit(None).cast("double")
+    rows = rows.withColumns({"a": F.col("a").cast("double"), "b": F.col("b").cast("double"), "gx": none, "gy": none})
+    rows, done = rows.withColumn("attempt", F.lit(0).cast("long")), []
+    while True:
+        rows = _gamma_attempt(rows)
+        both = F.col("gx").isNotNull() & F.col("gy").isNotNull()
+        done.append(keep(rows.filter(both).withColumn("p", F.col("gx") / (F.col("gx") + F.col("gy"))).drop("gx", "gy", "a", "b", "counter", "attempt")))
+        rows = scratch.table(rows.filter(~both).withColumn("attempt", F.col("attempt") + 1), "rejected-draws")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def label_noise_draws(df: DataFrame, key: str = "code_id", *, n_draws: int = LABEL_NOISE_DRAWS,
                       seed: int = LABEL_NOISE_SEED, k: int = RECALL_K, top_n: int = RECALL_TOP_N) -> DataFrame:
     """(draw, recall): the observed order scored against labels redrawn from their own noise.
 
-    Each draw needs only its ``top_n`` best rates and their ties, so the rank limit is applied before the shuffle.
+    Each draw needs only its ``top_n`` best rates and their ties. The ``top_n``-th best of any few items bounds that of
+    all from above, so the items with the best observed rates are drawn first, and what lies beyond their bound never
+    leaves the task that drew it.
     """
     base = df.select(key, "failures", "shots", "rounds", "k", F.col("rank_value").cast("double").alias("rank_value"))
     base = ranks.with_top_probability(base, [], "rank_value", k, "score_p")
-    rows = base.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    p = beta_draw(rng.random_int(F.lit(seed), F.col("draw"), F.col(key)), F.col("failures") + F.lit(0.5),
-                  F.col("shots") - F.col("failures") + F.lit(0.5))
-    rows = rows.withColumn("p", p).select("draw", "score_p", rates.rate_unchecked("p", "rounds", "k").alias("rate"))
+    base = scratch.table(base.withColumn("counter", rng.random_int(F.lit(seed), F.col(key))), "noise-items")
+
+    def draws(items: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda drawn: drawn) -> DataFrame:
+        rows = items.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+        rows = rows.select("draw", "score_p", "rounds", "k", (F.col("counter") + F.col("draw").cast("long") * F.lit(rng.STRIDE)).alias("counter"),
+                           (F.col("failures") + F.lit(0.5)).alias("a"), (F.col("shots") - F.col("failures") + F.lit(0.5)).alias("b"))
+        return beta_draws(rows, lambda drawn: keep(drawn.select("draw", "score_p", rates.rate_unchecked("p", "rounds", "k").alias("rate"))))
+    few = draws(base.orderBy("rank_value", key).limit(4 * top_n))
+    bounds = few.groupBy("draw").agg(F.coalesce(F.get(F.sort_array(F.collect_list("rate")), F.lit(top_n - 1)), F.lit(float("inf"))).alias("bound"))
+    bounds = scratch.table(bounds, "noise-bounds")
+    tasks = max(1, -(-base.count() * n_draws // _DRAWS_PER_TASK))
+    # One bound per draw, whatever the number of items.
+    rows = draws(base.repartition(tasks, key), lambda drawn: drawn.join(F.broadcast(bounds), "draw").filter("rate <= bound"))
     best = rows.withColumn("r", F.rank().over(Window.partitionBy("draw").orderBy("rate"))).filter(F.col("r") <= top_n)
     ties = best.groupBy("draw", "rate", "r").agg(F.count(F.lit(1)).alias("tie"), F.sum("score_p").alias("p"))
     hit = F.col("p") * ranks.top_share(top_n, F.col("r") - 1, F.col("tie"))

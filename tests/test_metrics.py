@@ -93,7 +93,8 @@ def test_bootstrap_paths_agree_and_ignore_partitioning(spark):
 
 def test_beta_draws_have_the_right_moments(spark):
     for a, b in ((0.5, 20.5), (3.5, 7.5), (100.5, 40.5)):
-        rows = spark.range(40_000).select(resample.beta_draw(F.xxhash64("id"), F.lit(a), F.lit(b)).alias("x"))
+        rows = resample.beta_draws(spark.range(40_000).select(F.xxhash64("id").alias("counter"), F.lit(a).alias("a"), F.lit(b).alias("b")))
+        rows = rows.withColumnRenamed("p", "x")
         mean, var, lo, hi = rows.agg(F.avg("x"), F.variance("x"), F.min("x"), F.max("x")).head()
         want = a * b / ((a + b) ** 2 * (a + b + 1))
         assert mean == pytest.approx(a / (a + b), rel=0.03) and var == pytest.approx(want, rel=0.06) and 0 <= lo and hi <= 1
