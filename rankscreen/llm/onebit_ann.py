@@ -4,9 +4,11 @@ Index: coarse centroids, fitted on a bounded sample, divide all vectors into cel
 rotated by a random orthogonal matrix and kept as one sign bit per dimension, with its length and the inner product of
 the residual's direction and its code as correction scalars. Every valid vector is indexed.
 
-Search: a query visits its most promising cells (by centroid product plus a share of the cell's radius; enough of them
-to hold the wanted number of vectors). In a cell the packed bits and the scalars give an estimate of every inner product and
-a bound of its error; vectors whose upper bound reaches the k-th best lower bound are reranked on the original vectors
+Search: a query first visits its most promising cells (by centroid product plus a share of the cell's radius), as many as
+hold the wanted number of vectors. The k-th best score found there decides the rest: every other cell whose centroid
+product plus the query's length times its largest residual reaches that score is visited too, so no cell is left out by
+its number or by the size of the table. On data without clusters these are nearly all cells. In a cell the packed bits and
+the scalars give an estimate of every inner product and a bound of its error; vectors whose upper bound reaches the k-th best lower bound are reranked on the original vectors
 in double precision. Cells and the queries of a cell are cut into blocks of bounded size by a hash of the id, so a
 cell with a third of all vectors is many groups.
 
@@ -29,6 +31,7 @@ from .. import scratch
 SAMPLE_ROWS = 20_000
 SAMPLE_VALUES = 4_000_000
 MAX_CELLS = 16_384
+CELL_ROWS = 2048
 BLOCK = 4096
 QUERY_BLOCK = 2048
 #: Standard deviations of the estimate that the error bound spans.
@@ -93,8 +96,7 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     if not total:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     dim = vectors.select(F.size("v").alias("d")).first().d
-    cells = cells or int(min(MAX_CELLS, max(1, round(total**0.5))))
-    visits = visits or max(16, cells // 8)
+    cells = cells or int(min(MAX_CELLS, max(1, -(-total // CELL_ROWS))))
     rows = min(SAMPLE_ROWS, max(1, SAMPLE_VALUES // dim))
     sample = vectors.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).collect()
     centre, turn = centroids_of(np.array([r.v for r in sample]), cells), rotation(dim)
@@ -109,20 +111,42 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     coded = vectors.mapInPandas(index, "cell int, vec_id long, bits binary, length double, agree double, v binary")
     coded = scratch.table(coded, "ann-codes")
     # One row per cell, at most MAX_CELLS.
-    stats = {r.cell: (r.n, r.radius) for r in coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("radius")).collect()}
-    count = np.array([stats.get(c, (0, 0.0))[0] for c in range(len(centre))])
-    radius = np.array([stats.get(c, (0, 0.0))[1] for c in range(len(centre))])
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            q = np.stack([np.frombuffer(v) for v in batch["v"]])
-            promise = q @ centre.T + 0.5 * np.linalg.norm(q, axis=1)[:, None] * radius
-            order = np.argsort(np.where(count > 0, -promise, np.inf), axis=1, kind="stable")
-            enough = (np.cumsum(count[order], axis=1) - count[order] < k + 1) | (np.arange(len(centre)) < visits)
-            chosen = [o[e & (count[o] > 0)] for o, e in zip(order, enough)]
-            yield pd.DataFrame({"query_id": batch["vec_id"], "q": batch["v"], "cell": [c.tolist() for c in chosen]})
-    queries = coded.filter(F.col("vec_id") % every == 0).select("vec_id", "v").mapInPandas(visit, "query_id long, q binary, cell array<int>")
-    queries = scratch.table(queries.withColumn("cell", F.explode("cell")), "ann-visits")
+    stats = {r.cell: (r.n, r.radius, r.reach) for r in coded.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("length").alias("radius"), F.max("length").alias("reach")).collect()}
+    count, radius, reach = (np.array([stats.get(c, (0, 0.0, 0.0))[i] for c in range(len(centre))]) for i in range(3))
+
+    def promising(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells of each query in order, how many of them hold k + 1 vectors, and an upper bound of the products in each cell."""
+        product, size = q @ centre.T, np.linalg.norm(q, axis=1)[:, None]
+        order = np.argsort(np.where(count > 0, -(product + 0.5 * size * radius), np.inf), axis=1, kind="stable")
+        first = (np.cumsum(count[order], axis=1) - count[order] < k + 1).sum(axis=1)
+        return order, first, product + size * reach + 1e-9 * (np.abs(product) + size * reach)
+
+    def visit(later: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                order, first, most = promising(np.stack([np.frombuffer(v) for v in batch["q"]]))
+                chosen = [o[n:visits] if later else o[:n] for o, n in zip(order, first)]
+                chosen = [o[(count[o] > 0) & (m[o] >= least)].tolist() for o, m, least in zip(chosen, most, batch["least"])]
+                yield batch.assign(cell=chosen)
+        return run
+    queries = coded.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    queries = queries.withColumn("least", F.lit(float("-inf")))
+    kind = "query_id long, q binary, least double, cell array<int>"
+
+    def asked(rows: DataFrame, later: bool) -> DataFrame:
+        rows = rows.mapInPandas(visit(later), kind).withColumn("cell", F.explode("cell"))
+        return scratch.table(_compared(coded, scratch.table(rows, "ann-visits"), centre, turn, dim, k), "ann-found")
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = asked(queries, False)
+    kth = near.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("found"))
+    rest = queries.join(kth, "query_id", "left").select("query_id", "q", F.coalesce("found", "least").alias("least"))
+    found = near.unionByName(asked(rest, True))
+    return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _compared(coded: DataFrame, queries: DataFrame, centre: np.ndarray, turn: np.ndarray, dim: int, k: int) -> DataFrame:
+    """The k best of each visited block, at or above the query's ``least``, by estimate, bound and exact rerank."""
     sizes = coded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     asked = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("turns"))
     plan = scratch.table(sizes.join(asked, "cell"), "ann-plan")
@@ -137,19 +161,19 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
         d = d.sort_values("vec_id")
         ids, x = d["vec_id"].to_numpy(), np.stack([np.frombuffer(v) for v in d["v"]])
         bits = np.stack([np.frombuffer(b, np.uint8) for b in d["bits"]])
-        q, c = np.stack([np.frombuffer(v) for v in a["q"]]), centre[d["cell"].iloc[0]]
+        q, c, floor = np.stack([np.frombuffer(v) for v in a["q"]]), centre[d["cell"].iloc[0]], a["least"].to_numpy()
         out = []
         for lo in range(0, len(q), 128):
             part = q[lo:lo + 128]
             near, bound = estimate(bits, d["length"].to_numpy(), d["agree"].to_numpy(), dim, part @ turn.T)
+            # Estimates leave out the centroid's share, which all vectors of the cell have in common.
+            known = floor[lo:lo + 128] - part @ c
             for j, (query, qid) in enumerate(zip(part, a["query_id"].to_numpy()[lo:lo + 128])):
                 lower = np.where(ids == qid, -np.inf, near[:, j] - bound[:, j])
-                least = np.partition(lower, -k)[-k] if len(lower) > k else -np.inf
+                least = max(known[j], np.partition(lower, -k)[-k] if len(lower) > k else -np.inf)
                 pick = np.flatnonzero((near[:, j] + bound[:, j] >= least) & (ids != qid))
                 score = (x[pick] * query).sum(axis=1)
                 best = np.lexsort((ids[pick], -score))[:k]
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[pick][best], "score": score[best]}))
         return pd.concat(out).astype({"query_id": "int64", "vec_id": "int64"})
-    found = (data.groupBy("cell", "block", "turn").cogroup(asks.groupBy("cell", "block", "turn")).applyInPandas(compare, RESULT))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return data.groupBy("cell", "block", "turn").cogroup(asks.groupBy("cell", "block", "turn")).applyInPandas(compare, RESULT)

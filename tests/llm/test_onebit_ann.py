@@ -53,3 +53,17 @@ def test_error_bounds_hold():
     turn = ann.rotation(64)
     near, bound = ann.estimate(*ann.encode(x, c, turn), 64, q @ turn.T)
     assert np.mean(np.abs(near - (x - c) @ q.T) <= bound) > 0.99
+
+
+def test_recall_without_clusters(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(24_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(len(x))
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.search(table, every=400).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact(ids, x.astype(np.float32).astype(np.float64), every=400)
+    hits = [len(got[q] & {a for a, _ in want[q]}) / 20 for q in want]
+    assert len(want) == 60 and np.mean(hits) >= 0.97 and min(hits) >= 0.9
