@@ -78,7 +78,8 @@ def stretches(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[data] * _power(n, True), out=prefix[1:])
     whole = mix((prefix[first + windows + length - 1] - prefix[first]) * _power(n, False)[first])
-    return grams[at[first]], first.astype(np.uint32), windows.astype(np.uint8), whole
+    # An anchor is a minimum of hashes, so its top bits are mostly zero; mixed once more, they deal anchors out evenly.
+    return mix(grams[at[first]]), first.astype(np.uint32), windows.astype(np.uint8), whole
 
 
 def messages(docs: DataFrame, bits: int) -> DataFrame:
