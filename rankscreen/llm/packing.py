@@ -13,6 +13,7 @@ pieces; a text longer than a sequence gives several pieces. Other columns play n
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,6 +28,7 @@ from .. import scratch
 LENGTH = 2048
 END = 1
 SLICE = 256
+_BLANK = re.compile(r"\s{100000}")
 
 _PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "split_before boolean, split_after boolean")
@@ -36,7 +38,8 @@ def byte_bpe(vocabulary: str) -> Callable[[list[str]], list[np.ndarray]]:
     """An encoder for the byte-level BPE in ``vocabulary``, a file of the tokenizers library.
 
     The same merges run through tiktoken from the rank file of the same name, several times as fast; a text that spells
-    a special token goes to the tokenizers library itself, which reads it as that token.
+    a special token goes to the tokenizers library itself, which reads it as that token. So does a text with a very long
+    run of white space, on which tiktoken's pattern matcher runs out of stack.
     """
     import base64
 
@@ -51,7 +54,7 @@ def byte_bpe(vocabulary: str) -> Callable[[list[str]], list[np.ndarray]]:
     special = [t.content for t in exact.get_added_tokens_decoder().values()]
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(exact.encode(t, add_special_tokens=False).ids if any(s in t for s in special)
+        return [np.asarray(exact.encode(t, add_special_tokens=False).ids if any(s in t for s in special) or _BLANK.search(t)
                            else fast.encode_ordinary(t), dtype="<u4") for t in texts]
     return encode
 

@@ -110,3 +110,11 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.repeat_documents(docs).columns == docs.columns
     assert {r.taken for r in mixing.mix(docs.limit(1)).collect()} == {0}
+
+
+def test_very_long_runs_pack_like_the_tokenizers_library():
+    from tokenizers import Tokenizer
+    encode, exact = packing.byte_bpe(queries.vocabulary()), Tokenizer.from_file(queries.vocabulary())
+    for unit in (" ", "\n", "a", "#", "\t "):
+        text = unit * (2_000_000 // len(unit))
+        assert encode([text])[0].tolist() == exact.encode(text, add_special_tokens=False).ids
