@@ -3,8 +3,9 @@ r"""Secret scans with corpus-wide ownership.
 Base spans come from three patterns. The method adds long mixed tokens (kind ``owned``) that may be live credentials:
 every candidate is hashed, hashes are counted by distinct documents, repositories and owners over the whole corpus (first
 per (hash, owner, repository, row), then per hash, so a value copied everywhere never meets in one task), and the counts go
-back to the documents. A value that WIDE or more owners share, or that stands in WIDE_REPOS repositories or WIDE_ROWS
-documents of whatever owners, is a copied example, not a live credential; it stays a span but is reported, and redacted, apart.
+back to the documents. A value that WIDE or more owners share, or that two owners have in WIDE_REPOS repositories, is a
+copied example, not a live credential; it stays a span but is reported, and redacted, apart. A value of one owner is never
+a copied example, however often that owner uses it, so no verdict changes because the corpus grows.
 
 Spans are in code points, end exclusive. Defined results: null text is empty; null owner or repository counts as one
 value of its own; repeated rows are scanned each; an empty table gives no rows; other columns play no part.
@@ -26,9 +27,8 @@ from .. import scratch
 
 KINDS = ("assign", "access", "hex", "owned")
 WIDE = 3
-#: An owner reuses a key in repositories and documents of its own; a value in so many is copied all the same.
+#: (owner, repository) pairs in which a value of two owners is copied all the same.
 WIDE_REPOS = 10
-WIDE_ROWS = 100
 MIN_ENTROPY = 3.5
 #: Of tokens that words could spell: without digits, or of digits and one case with separators.
 WORDY_ENTROPY = 4.0
@@ -79,7 +79,8 @@ _SCANNED = "doc_id long, row string, owner string, repo string, spans array<stru
 
 def row_key(doc_id: Column, text: Column) -> Column:
     """Names a row by its id and text; repeated rows share the key and their spans."""
-    return F.md5(F.concat_ws(":", doc_id.cast("string"), text.cast("string")).cast("binary"))
+    marked = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in (doc_id, text)]
+    return F.md5(F.concat(marked[0], F.lit(":"), marked[1]).cast("binary"))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
@@ -108,12 +109,12 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 repo_col: str = "lang", wide: int = WIDE, wide_repos: int = WIDE_REPOS, wide_rows: int = WIDE_ROWS) -> DataFrame:
+                 repo_col: str = "lang", wide: int = WIDE, wide_repos: int = WIDE_REPOS) -> DataFrame:
     """doc_id, row, spans (start, kind, end, hash, n_owners, n_repos, n_rows, copied), one row per document row."""
     scanned = scratch.table(candidates(docs, id_col, text_col, owner_col, repo_col), "secret-spans")
     flat = scanned.select("doc_id", "row", F.explode("spans").alias("s")).select("doc_id", "row", "s.*")
     known = flat.join(ownership(scanned), "hash")
-    copied = (F.col("n_owners") >= wide) | (F.col("n_repos") >= wide_repos) | (F.col("n_rows") >= wide_rows)
+    copied = (F.col("n_owners") >= wide) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= wide_repos))
     span = F.struct("start", "kind", "end", "hash", "n_owners", "n_repos", "n_rows", copied.alias("copied"))
     per = known.groupBy("row").agg(F.sort_array(F.collect_set(span)).alias("spans"))
     none = F.array().cast(per.schema["spans"].dataType)
@@ -121,17 +122,16 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts, the hash of the base spans, the spans of base kinds and of one owner as text, and every span with its counts and verdict."""
+    """Counts, the hash of the base spans, all spans as text, and every span with its counts and verdict."""
     name = F.array(*[F.lit(k) for k in KINDS])
     said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["end"])), ",")
     count = lambda test: F.size(F.filter("spans", test)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    sole = F.filter("spans", lambda s: (s["kind"] < 3) | (s["n_owners"] == 1))
     verdicts = F.array_join(F.transform("spans", lambda s: F.concat_ws(
         ":", F.element_at(name, s["kind"] + 1), s["start"], s["end"], s["n_owners"], s["n_repos"], s["n_rows"],
         F.when(s["copied"], "copied").otherwise("live"))), ",")
     return found.select("doc_id", *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{n}") for k, n in enumerate(KINDS[:3])],
-                        F.sha2(said(base), 256).alias("base_sha256"), said(sole).alias("spans"),
+                        F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"),
                         count(lambda s: s["copied"]).alias("n_copied"), count(lambda s: ~s["copied"]).alias("n_live"), verdicts.alias("verdicts"))
 
 

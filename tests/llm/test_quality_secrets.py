@@ -103,7 +103,7 @@ def test_spans_and_ownership(spark):
     owned = {r.doc_id: r.spans for r in got}
     assert owned[11] == owned[100] == "owned:4:28"  # all of one owner
     spread = spark.createDataFrame([(1, SECRETS[-1], "en", "a"), (2, SECRETS[-1], "en", "b")], docs.schema)
-    assert {r.spans for r in secret_scan.digest(secret_scan.find_secrets(spread)).collect()} == {""}
+    assert {r.spans for r in secret_scan.digest(secret_scan.find_secrets(spread)).collect()} == {"owned:4:28"}
 
 
 def test_redaction(spark):
@@ -115,14 +115,23 @@ def test_redaction(spark):
     assert out[2].text is None and out[3].text == "clean" and out[10].text == rows[3][1]
 
 
+def test_rows_with_and_without_an_id_keep_their_own_spans(spark):
+    docs = spark.createDataFrame([(None, "7:token=abcdef", "en", "s", "x"), (7, "token=abcdef", "en", "s", "x"), (7, "token=abcdef", "en", "s", "x"), (None, None, None, None, "x")],
+                                 "doc_id long, text string, lang string, source string, hash string")
+    got = sorted((r.doc_id or 0, r.spans) for r in secret_scan.digest(secret_scan.find_secrets(docs)).collect())
+    assert got == [(0, ""), (0, "assign:2:14"), (7, "assign:0:12"), (7, "assign:0:12")]
+    assert sorted(str(r.text) for r in secret_scan.redact(docs).collect()) == ["7:[secret]", "None", "[secret]", "[secret]"]
+    assert secret_scan.redact(docs.limit(0)).columns == docs.columns
+
+
 def test_shared_tokens_stay_spans_with_a_verdict(spark):
     value = SECRETS[-1]
     rows = lambda n, owners, repos: [(i, f"{value} {i}", f"l{i % repos}", f"s{i % owners}", len(f"{value} {i}")) for i in range(n)]
     form = "doc_id long, text string, lang string, source string, n_chars long"
-    for n, owners, repos, verdict in ((2, 2, 1, "live"), (3, 3, 1, "copied"), (9, 1, 9, "live"), (10, 1, 10, "copied"), (99, 1, 1, "live"), (100, 1, 1, "copied")):
+    for n, owners, repos, verdict in ((2, 2, 1, "live"), (3, 3, 1, "copied"), (9, 1, 9, "live"), (30, 1, 30, "live"), (16, 2, 8, "live"), (20, 2, 10, "copied"), (300, 1, 1, "live")):
         docs = spark.createDataFrame(rows(n, owners, repos), form)
         got = secret_scan.digest(secret_scan.find_secrets(docs)).collect()
-        assert {r.verdicts for r in got} == {f"owned:4:28:{owners}:{max(owners, repos)}:{n}:{verdict}"}
+        assert {r.verdicts for r in got} == {f"owned:4:28:{owners}:{len({(i % owners, i % repos) for i in range(n)})}:{n}:{verdict}"}
         assert {(r.n_live, r.n_copied) for r in got} == {(1, 0) if verdict == "live" else (0, 1)}
     docs = spark.createDataFrame(rows(2, 2, 1), form)
     assert {r.text for r in secret_scan.redact(docs).collect()} == {"key [secret] end 0", "key [secret] end 1"}
