@@ -173,6 +173,7 @@ def _compared(coded: DataFrame, queries: DataFrame, centre: np.ndarray, turn: np
                 least = max(known[j], np.partition(lower, -k)[-k] if len(lower) > k else -np.inf)
                 pick = np.flatnonzero((near[:, j] + bound[:, j] >= least) & (ids != qid))
                 score = (x[pick] * query).sum(axis=1)
+                pick, score = pick[score >= floor[lo + j]], score[score >= floor[lo + j]]
                 best = np.lexsort((ids[pick], -score))[:k]
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[pick][best], "score": score[best]}))
         return pd.concat(out).astype({"query_id": "int64", "vec_id": "int64"})
