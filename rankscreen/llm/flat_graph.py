@@ -48,7 +48,7 @@ NEAR, FAR, DEGREE, ALPHA = 48, 16, 20, 1.44
 #: Width of the greedy search.
 BEAM = 16
 PROBES = 4
-VISITORS = 8192
+VISITORS = 32_768
 AUDIT = 256
 TARGET = 0.98
 _VISIT = "cell int, block int, turn int, node long, u binary, copies long, near array<int>, member boolean, nbrs array<long>"
