@@ -22,20 +22,27 @@ from . import ranks
 from .metrics import Metric, Standing, default_metrics
 
 _COLUMNS = ("truth", "a", "b")
-_DRAWS_PER_TASK = 1_000_000
+_DRAWS_PER_TASK = 250_000
 
 
 def resample_weights(spark, n_items: int, n_resamples: int, seed: int, by_replicate: bool = True) -> DataFrame:
     """(rep, row_idx, w): how often each replicate of ``n_items`` draws with replacement took each item.
 
-    Each draw is a hash of (seed, replicate, slot). Replicates that fit a task are placed whole before counting, so that
-    counting and the windows that follow share one shuffle; larger ones are counted per (replicate, item).
+    Each draw is a hash of (seed, replicate, slot), so it can be made anywhere. Replicates that fit a task are placed
+    first, as one row each, and drawn where they stand: no draw is ever shuffled, and counting and the windows that follow
+    find their rows in place. Larger ones are drawn all over and counted per (replicate, item).
     """
+    if by_replicate:
+        tasks = max(1, min(n_resamples, -(-n_items * n_resamples // _DRAWS_PER_TASK)))
+        placed = spark.range(n_resamples).select(F.col("id").alias("rep")).repartition(tasks, "rep")
+        slots = placed.select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_items - 1).cast("long"))).alias("slot"))
+        draws = slots.select("rep", rng.random_below(n_items, F.lit(seed), F.col("rep"), F.col("slot")).alias("row_idx"))
+        return draws.groupBy("rep", "row_idx").agg(F.count(F.lit(1)).alias("w"))
     ids = spark.range(n_items * n_resamples)
     rep = F.expr(f"id div {n_items}L")
     slot = F.col("id") % F.lit(n_items)
     draws = ids.select(rep.alias("rep"), rng.random_below(n_items, F.lit(seed), rep, slot).alias("row_idx"))
-    return (draws.repartition("rep") if by_replicate else draws).groupBy("rep", "row_idx").agg(F.count(F.lit(1)).alias("w"))
+    return draws.groupBy("rep", "row_idx").agg(F.count(F.lit(1)).alias("w"))
 
 
 def _window_standings(weighted: DataFrame) -> DataFrame:
