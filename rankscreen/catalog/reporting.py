@@ -476,3 +476,67 @@ def streaming_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     stream.snapshots(stopped, people, path, done).awaitTermination()
     taken = spark.read.parquet(f"{path}/snapshots")
     return taken.filter(F.col("batch_id") == taken.agg(F.max("batch_id").alias("b")).select("b").scalar()).select("state", "n")
+
+
+@query("streaming_snapshot_series", "R6 A5", f"""WITH {_BATCHES},
+t AS (SELECT item, sum(batch_shots) AS s, sum(batch_failures) AS f FROM batches GROUP BY 1),
+st AS (SELECT CASE WHEN f >= {_SHOT_MIN} OR s >= {_SHOT_CAP} THEN 'done' ELSE 'partial' END AS state, item % 3 AS part FROM t)
+SELECT b.b AS batch_id, x.s AS state, (SELECT count(*) FROM st WHERE (part <= b.b AND state = x.s) OR (part > b.b AND x.s = 'not_started')) AS n
+FROM (SELECT unnest(CAST([0, 1, 2] AS BIGINT[])) AS b) b, (SELECT unnest(['done', 'partial', 'not_started', 'failed', 'row_error']) AS s) x""")
+def streaming_snapshot_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Thirds of the items arrive one after the other; the counts after each of the three triggers."""
+    source = scratch.table(_string_batches(spark, sf), "stream-batches")
+    folder = scratch.new_path(spark, "stream-source")
+    part = F.pmod(F.col("item").cast("long"), F.lit(3))
+    for i in range(3):
+        source.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+    rows = stream.read_stream(spark, folder, source.schema, max_files=1)
+    path, done = scratch.new_path(spark, "snapshots"), scratch.new_path(spark, "snapshot-checkpoint")
+    people = source.select(F.col("item").alias("code_id")).distinct()
+    stopped = stream.stop_items(rows, batch_size=views.VIEW_BATCH, max_shots=_SHOT_CAP, min_failures=_SHOT_MIN)
+    stream.snapshots(stopped, people, path, done, members_only=True).awaitTermination()
+    return spark.read.parquet(f"{path}/snapshots").select(F.col("batch_id").cast("long").alias("batch_id"), "state", "n")
+
+
+@query("streaming_unique_batches", "R1 R4", f"""WITH {_BATCHES}
+SELECT CAST(item AS VARCHAR) AS item, CAST(batch_index AS BIGINT) AS batch_index, CAST(batch_shots AS BIGINT) AS batch_shots FROM batches""")
+def streaming_unique_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every shard arrives again in a later trigger, whatever its time; the state holds runs of indices, no watermark."""
+    source = scratch.table(_string_batches(spark, sf), "stream-batches")
+    folder = scratch.new_path(spark, "stream-source")
+    for _ in range(2):
+        source.coalesce(1).write.mode("append").parquet(folder)
+    path, done = scratch.new_path(spark, "unique"), scratch.new_path(spark, "unique-checkpoint")
+    once = stream.each_batch_once(stream.read_stream(spark, folder, source.schema, max_files=1))
+    stream.ingest(once, path, done).awaitTermination()
+    return spark.read.schema(source.schema).parquet(path).select(
+        "item", F.col("batch_index").cast("long").alias("batch_index"), F.col("batch_shots").cast("long").alias("batch_shots"))
+
+
+@query("streaming_gaps", "R2 R3", f"""WITH {_BATCHES},
+run AS (SELECT *, sum(batch_shots) OVER w AS shots, sum(batch_failures) OVER w AS failures FROM batches WINDOW w AS (PARTITION BY item ORDER BY batch_index)),
+ends AS (SELECT item, max(batch_index) AS last, max(CASE WHEN failures - batch_failures < {_SHOT_MIN} AND shots - batch_shots < {_SHOT_CAP} THEN batch_index END) AS stop
+         FROM run GROUP BY 1)
+SELECT CAST(item AS VARCHAR) AS item, CAST(2 AS BIGINT) AS batch_index, 'gap' AS status FROM ends WHERE item % 5 = 0 AND last > 2 AND stop >= 2""")
+def streaming_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The third batch of every fifth item is lost: an item that still waits for it reports the missing index."""
+    source = scratch.table(_string_batches(spark, sf), "stream-batches")
+    lost = (F.pmod(F.col("item").cast("long"), F.lit(5)) == 0) & (F.col("batch_index") == 2)
+    folder = scratch.new_path(spark, "stream-source")
+    source.filter(~lost).coalesce(1).write.parquet(folder)
+    # A later shard of no item of the table: its trigger comes after the patience is over.
+    source.limit(1).withColumn("item", F.lit("later")).coalesce(1).write.mode("append").parquet(folder)
+    path, done = scratch.new_path(spark, "gaps"), scratch.new_path(spark, "gap-checkpoint")
+    rows = stream.read_stream(spark, folder, source.schema, max_files=1)
+    waiting = stream.stop_items(rows, batch_size=views.VIEW_BATCH, max_shots=_SHOT_CAP, min_failures=_SHOT_MIN, gap_minutes=0.0001)
+    # A stream with processing-time timeouts never runs out of triggers without data; this one ends after those with data.
+    option = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(option, "true")
+    spark.conf.set(option, "false")
+    try:
+        running = stream.to_table(waiting, path, done)
+    finally:
+        spark.conf.set(option, before)
+    running.awaitTermination()
+    gaps = spark.read.parquet(f"{path}/refused").filter("status = 'gap' and item != 'later'")
+    return gaps.select("item", "batch_index", "status").distinct()

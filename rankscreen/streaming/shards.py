@@ -37,6 +37,42 @@ def without_repeats(stream: DataFrame, event_time: str, delay: str = "1 hour") -
     return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["item", "batch_index"])
 
 
+def _runs_joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Half-open runs of indices, touching ones made one; the runs given do not overlap."""
+    order = np.argsort(starts)
+    starts, ends = starts[order], ends[order]
+    opens = np.r_[True, starts[1:] != ends[:-1]] if len(starts) else np.zeros(0, bool)
+    return starts[opens], ends[np.r_[opens[1:], True]] if len(ends) else ends
+
+
+def each_batch_once(stream: DataFrame) -> DataFrame:
+    """Each (item, batch_index) once, however late a repeat comes: the first row that arrived, with all its columns.
+
+    An item's state is the runs of indices it has seen: one run up to its high-water mark, and one more per gap, so
+    it does not grow with the batches of an item that arrive in full. Of equal indices in one micro-batch any one stays.
+    Rows without an item or index are left out. Without a watermark nothing expires and no late row is lost.
+    """
+    schema = stream.schema
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        starts, ends = (np.asarray(x, np.int64) for x in (state.get if state.exists else ([], [])))
+        for frame in frames:
+            came = frame["batch_index"].to_numpy(np.int64)
+            at = np.searchsorted(starts, came, "right") - 1
+            seen = (at >= 0) & (came < ends[at]) if len(ends) else np.zeros(len(came), bool)
+            first = np.zeros(len(came), bool)
+            first[np.unique(came, return_index=True)[1]] = True
+            fresh = came[first & ~seen]
+            if len(fresh):
+                yield frame[first & ~seen]
+                starts, ends = _runs_joined(np.r_[starts, fresh], np.r_[ends, fresh + 1])
+        state.update((starts.tolist(), ends.tolist()))
+
+    rows = stream.filter("item is not null and batch_index is not null").select(*schema.names)
+    return rows.groupBy("item").applyInPandasWithState(
+        step, schema, "starts array<bigint>, ends array<bigint>", "append", GroupStateTimeout.NoTimeout)
+
+
 def _stopper(batch_size: int, max_shots: int, min_failures: int, gap_ms: int | None):
     last_index = -(-max_shots // batch_size) - 1
 
@@ -138,17 +174,43 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None =
             .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
 
 
-def snapshots(stream: DataFrame, population: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
-    """A state count of the whole population after every trigger, from the stopped rows seen so far."""
+def transitions(rows: DataFrame) -> DataFrame:
+    """Signed changes of item states, from rows of ``stop_items``: (item, state, change).
+
+    An item's first kept batch takes it from not_started to partial and its stopping one from partial to done; each of
+    them is emitted once in the item's life, so what was seen before need not be read.
+    """
+    kept = F.col("status") == "kept"
+    move = lambda old, new: F.array(F.struct(F.lit(old).alias("state"), F.lit(-1).alias("change")),
+                                    F.struct(F.lit(new).alias("state"), F.lit(1).alias("change")))
+    none = F.array().cast("array<struct<state:string,change:int>>")
+    first = F.when(kept & (F.col("batch_index") == 0), move("not_started", "partial")).otherwise(none)
+    last = F.when(kept & F.col("stopped_by").isin("min_failures", "max_shots"), move("partial", "done")).otherwise(none)
+    return rows.select("item", F.explode(F.concat(first, last)).alias("m")).select("item", "m.state", "m.change")
+
+
+def snapshots(stream: DataFrame, population: DataFrame, path: str, checkpoint: str, *, members_only: bool = False,
+              trigger: dict | None = None) -> StreamingQuery:
+    """A state count of the whole population after every trigger: the count before it plus the batch's transitions.
+
+    A trigger reads its own rows and the five rows of the snapshot before, never the history; a batch that is run again
+    replaces its own snapshot. Items outside the population are left out, which scans the population's ids at each
+    trigger; ``members_only`` promises that there are none and saves that scan.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.select("item", "stopped_by", "status").write.mode("overwrite").parquet(f"{path}/seen/batch_id={batch_id}")
-        seen = spark.read.parquet(f"{path}/seen").filter("status = 'kept'").withColumnRenamed("item", "code_id")
-        done = seen.filter(F.col("stopped_by").isin("min_failures", "max_shots")).select("code_id", F.lit(True).alias("row_ok"))
-        none = population.select("code_id").limit(0)
-        states = trials.classify(population.select("code_id"), done, seen.select("code_id"), none)
-        counts = trials.zero_filled_counts(states, "state", trials.STATES)
-        counts.write.mode("overwrite").parquet(f"{path}/snapshots/batch_id={batch_id}")
+        moves = transitions(batch)
+        if not members_only:
+            moves = moves.join(population.select(F.col("code_id").alias("item")).distinct(), "item", "left_semi")
+        if batch_id == 0:
+            before = population.agg(F.count(F.lit(1)).alias("n")).select(F.lit("not_started").alias("state"), "n")
+        else:
+            before = spark.read.parquet(f"{path}/snapshots/batch_id={batch_id - 1}")
+        rows = before.unionByName(moves.groupBy("state").agg(F.sum("change").alias("n")))
+        cells = [F.struct(F.lit(s).alias("state"), F.coalesce(F.sum(F.when(F.col("state") == s, F.col("n"))), F.lit(0)).cast("long").alias("n"))
+                 for s in trials.STATES]
+        counts = rows.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.state", "c.n")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/snapshots/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
