@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 RARE = 1000
 PRIOR = 20.0
 CAP = 4.0
@@ -156,7 +158,7 @@ def learn(pages: DataFrame, html_col: str = "html", rare: int = RARE) -> dict[st
             seen["\0pages"] = labelled
             yield pd.DataFrame([(f, n, inside[f], outside[f]) for f, n in seen.items()], columns=["feature", "pages", "inside", "outside"])
     each = pages.select(F.col(html_col).cast("string").alias("html")).mapInPandas(count, "feature string, pages long, inside long, outside long")
-    sums = each.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("pages", "inside", "outside")])
+    sums = scratch.table(each.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("pages", "inside", "outside")]), "page-features")
     total = sums.filter(F.col("feature") == "\0pages").agg(F.max("pages")).first()[0] or 0
     rows = sums.filter((F.col("pages") * rare >= total) & (F.col("feature") != "\0pages")).collect()
     return weights({r.feature: (r.inside, r.outside) for r in rows})

@@ -6,8 +6,11 @@ statistics are integers (1/4096), their sums are decimals: estimates do not depe
 Minimum covariance determinant: for each (language, source) two deterministic starts (medians with inner-quartile and with
 outer-decile scales) are refined by concentration steps: distances from the present estimate, the three quarters of the
 rows that lie nearest (by a histogram of log distance, which needs no sort), mean and covariance of those. The start
-with the smaller determinant stays; distances are scaled so that their median is that of a chi-square. A document is
-rejected when its squared Mahalanobis distance passes CUT.
+with the smaller determinant stays; distances are scaled, up or down, so that their median is that of a chi-square. A document
+is rejected when its squared Mahalanobis distance passes its group's cut: the upper fence of the log distances (third
+quartile plus FENCE times the quartiles' difference), and no less than the 0.999 quantile of the chi-square. Lengths and
+repeats have longer tails than a normal, and the fence follows the tail that the group itself shows. FLOORS are the least
+deviations that count: most texts repeat no line, and one line more than none is no outlier.
 
 Groups with fewer than MIN_ROWS usable documents are pooled per language, languages with too few are pooled once more;
 if even that pool is too small its documents have no verdict of the method and are kept unless the base rules fail.
@@ -29,8 +32,10 @@ BINS_PER_OCTAVE = 32
 COVERAGE = 0.75
 STEPS = 3
 MIN_ROWS = 50
-#: Squared distance of rejection. Lengths and repeats have longer tails than a normal, so it lies well beyond the chi-square quantiles.
-CUT = 60.0
+#: Quartile differences beyond the third quartile of the log distances.
+FENCE = 1.0
+#: 0.999 quantile of a chi-square with five degrees of freedom, the least cut.
+LEAST_CUT = 20.515
 #: Median of a chi-square with five degrees of freedom.
 MEDIAN_CHI2 = 4.351
 #: Least standard deviation of each transformed statistic.
@@ -130,16 +135,16 @@ def _starts(rows: DataFrame) -> DataFrame:
                    (2 * F.sum(F.log(F.col("e.s")))).alias("logdet"))
 
 
-def _nearest(placed: DataFrame, share: float) -> DataFrame:
-    """The first bin by which ``share`` of each (grp, start) is reached."""
-    hist = placed.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("c"))
-    one = Window.partitionBy("grp", "start")
+def _bins_at(placed: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """The first bins by which each share of each grp is reached, a column per share."""
+    hist = placed.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"))
+    one = Window.partitionBy("grp")
     hist = hist.withColumn("upto", F.sum("c").over(one.orderBy("bin"))).withColumn("all", F.sum("c").over(one))
-    return hist.filter(F.col("upto") >= share * F.col("all")).groupBy("grp", "start").agg(F.min("bin").alias("last"))
+    return hist.groupBy("grp").agg(*[F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))).alias(name) for name, q in shares.items()])
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """The estimate of each group of ``rows`` (grp, x*): centre, inverse factor and the factor of the distances."""
+def estimates(rows: DataFrame, fence: float = FENCE) -> DataFrame:
+    """The estimate of each group of ``rows`` (grp, x*): centre, inverse factor, the factor of the distances and their cut."""
     model = scratch.table(_starts(rows), "mcd-start")
     for step in range(STEPS):
         # Sums per bin in one pass over the rows; where the nearest rows end is read from the bins, a bounded table.
@@ -156,14 +161,16 @@ def estimates(rows: DataFrame) -> DataFrame:
         model = scratch.table(_from_moments(moments), f"mcd-step{step}")
     best = model.groupBy("grp").agg(F.min_by(F.struct("start", *_MODEL), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
     placed = rows.join(best, "grp").withColumn("bin", _bin(_distance()))
-    middle = F.pow(F.lit(2.0), (F.col("last") + 1) / BINS_PER_OCTAVE)
-    factor = F.least(F.lit(1.0), MEDIAN_CHI2 / F.greatest(middle, F.lit(1e-3)))
-    return best.join(_nearest(placed, 0.5).select("grp", factor.alias("factor")), "grp")
+    quartiles = _bins_at(placed, {"low": 0.25, "middle": 0.5, "high": 0.75})
+    of_bin = lambda b: F.pow(F.lit(2.0), (b + 1) / BINS_PER_OCTAVE)
+    factor = MEDIAN_CHI2 / of_bin(F.col("middle"))
+    last = of_bin(F.col("high") + fence * (F.col("high") - F.col("low")))
+    return best.join(quartiles.select("grp", factor.alias("factor"), F.greatest(F.lit(LEAST_CUT), factor * last).alias("cut")), "grp")
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                     source_col: str = "source", min_rows: int = MIN_ROWS, cut: float = CUT) -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance``."""
+                     source_col: str = "source", min_rows: int = MIN_ROWS, fence: float = FENCE) -> DataFrame:
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, cut``."""
     stats = scratch.table(statistics(docs, id_col, text_col, lang_col, source_col).select("*", *transformed()), "quality-stats")
     usable = stats.filter(~F.col("base_failed"))
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?"))
@@ -175,9 +182,9 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = usable.select("*", fine.alias("fine")).join(groups, "fine")
     enough = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_rows)
     rows = scratch.table(rows.join(enough.select("grp"), "grp", "left_semi").select("grp", *[f"x{i}" for i in range(P)]), "quality-rows")
-    model = scratch.table(estimates(rows), "quality-model")
+    model = scratch.table(estimates(rows, fence), "quality-model")
     judged = (stats.withColumn("fine", fine).join(groups, "fine", "left").join(model, "grp", "left")
               .withColumn("distance", _distance() * F.col("factor")))
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cut))
+    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= F.col("cut")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                         kept.alias("kept"), F.when(~F.col("base_failed"), F.col("distance")).alias("distance"))
+                         kept.alias("kept"), *[F.when(~F.col("base_failed"), F.col(c)).alias(c) for c in ("distance", "cut")])

@@ -50,6 +50,24 @@ def test_estimate_resists_planted_outliers(spark):
     assert sum(rows[i].kept for i, _ in good) >= 297
 
 
+def test_distances_have_the_chi_square_median_and_the_cut_is_a_fence(spark):
+    """A tight group with few and a wide group with many far texts: both medians are scaled, each group has its own fence."""
+    import numpy as np
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, rng.integers(3, 9)))
+    docs = [(i, " ".join(word() for _ in range(rng.integers(60, 70) if i % 2 else int(np.exp(rng.uniform(4.2, 7))))), f"s{i % 2}") for i in range(400)]
+    rows = quality_rules.quality_verdicts(spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "'en' lang")).collect()
+    for part in (0, 1):
+        d = np.array(sorted(r.distance for r in rows if r.doc_id % 2 == part))
+        assert len({r.cut for r in rows if r.doc_id % 2 == part}) == 1
+        cut = next(r.cut for r in rows if r.doc_id % 2 == part)
+        low, middle, high = d[49], d[99], d[149]
+        assert abs(np.log2(middle / quality_rules.MEDIAN_CHI2)) <= 1 / quality_rules.BINS_PER_OCTAVE
+        want = max(quality_rules.LEAST_CUT, high * (high / low) ** quality_rules.FENCE)
+        assert abs(np.log2(cut / want)) <= 4 / quality_rules.BINS_PER_OCTAVE
+        assert [r.kept for r in rows if r.doc_id % 2 == part] == [r.distance <= cut for r in rows if r.doc_id % 2 == part]
+
+
 def test_mcd_matches_numpy(spark):
     """The concentration steps again in numpy on the same integers, with the same histogram rule for the nearest rows."""
     import numpy as np
