@@ -74,7 +74,8 @@ def scan(text: str) -> list[tuple[int, int, int, int, int]]:
     return sorted(found)
 
 
-_SCANNED = "doc_id long, row string, owner string, repo string, spans array<struct<start:int,kind:int,end:int,hash:string>>"
+#: The id passes Python as text: a batch with a null id would hold the others as doubles, exact to 2^53 only.
+_SCANNED = "doc_id string, row string, owner string, repo string, spans array<struct<start:int,kind:int,end:int,hash:string>>"
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -93,9 +94,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
                 spans.append([{"start": s, "kind": k, "end": e, "hash": hashlib.sha256(text[a:b].encode()).hexdigest()[:32]}
                               for s, k, e, a, b in scan(text)])
             yield batch.drop(columns="text").assign(spans=spans)[["doc_id", "row", "owner", "repo", "spans"]]
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(owner_col).cast("string").alias("owner"),
+    named = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(owner_col).cast("string").alias("owner"),
                         F.col(repo_col).cast("string").alias("repo"), F.col(text_col).cast("string").alias("text"))
-    return named.mapInPandas(run, _SCANNED)
+    return named.mapInPandas(run, _SCANNED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -126,11 +127,13 @@ def digest(found: DataFrame) -> DataFrame:
     name = F.array(*[F.lit(k) for k in KINDS])
     said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["end"])), ",")
     count = lambda test: F.size(F.filter("spans", test)).cast("long")
+    # A second parameter of a filter's function is the index, so the kind is bound by a function of its own.
+    of_kind = lambda k: lambda s: s["kind"] == k
     base = F.filter("spans", lambda s: s["kind"] < 3)
     verdicts = F.array_join(F.transform("spans", lambda s: F.concat_ws(
         ":", F.element_at(name, s["kind"] + 1), s["start"], s["end"], s["n_owners"], s["n_repos"], s["n_rows"],
         F.when(s["copied"], "copied").otherwise("live"))), ",")
-    return found.select("doc_id", *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{n}") for k, n in enumerate(KINDS[:3])],
+    return found.select("doc_id", *[count(of_kind(k)).alias(f"n_{n}") for k, n in enumerate(KINDS[:3])],
                         F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"),
                         count(lambda s: s["copied"]).alias("n_copied"), count(lambda s: ~s["copied"]).alias("n_live"), verdicts.alias("verdicts"))
 
