@@ -84,7 +84,10 @@ def _templates(spark, sf):
 
 
 def _candidates(spark, sf):
-    grid = sampling.candidate_grid(_templates(spark, sf), _BUDGET)
+    return _judged(sampling.candidate_grid(_templates(spark, sf), _BUDGET))
+
+
+def _judged(grid):
     at = [F.col("template"), F.col("l"), F.col("m")]
     grid = grid.withColumns({"k": rng.random_below(7, F.lit("k"), *at).cast("int"),
                              "d_upper": (F.lit(1) + rng.random_below(9, F.lit("d"), *at)).cast("int")})
@@ -182,6 +185,5 @@ c AS (SELECT attempt, cand.template, b.l, b.m, row_number() OVER (ORDER BY attem
       JOIN cand ON cand.template = t.template AND cand.l = b.l AND cand.m = b.m AND cause IS NULL)
 SELECT attempt, draw, template, CAST(l AS INTEGER) AS l, CAST(m AS INTEGER) AS m FROM c WHERE draw < (SELECT count(*) FROM part)""")
 def uniform_draws(spark: SparkSession, sf: str) -> DataFrame:
-    ok = _candidates(spark, sf).filter("cause is null").select("template", "l", "m")
     count = views.read(spark, sf, "part").count()
-    return sampling.uniform_draws(_templates(spark, sf), ok, "template", count, _BUDGET, 11)
+    return sampling.uniform_draws(_templates(spark, sf), lambda drawn: _judged(drawn).filter("cause is null"), "template", count, _BUDGET, 11)

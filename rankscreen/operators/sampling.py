@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,6 +13,8 @@ from ..errors import Refused
 from ..functions import rng
 from . import ranks
 
+_TEMPLATES_PER_TASK = 10_000
+
 
 def longest_first(df: DataFrame, cost: str = "n_d_upper", key: str = "code_id", out: str = "position") -> DataFrame:
     """Position of every item when the costliest run first."""
@@ -94,7 +96,10 @@ def candidate_grid(templates: DataFrame, budget: int) -> DataFrame:
     max_l = budget // (2 * MIN_DIM)
     if max_l < MIN_DIM:
         raise Refused(f"budget {budget} is too small for the smallest candidate")
-    rows = templates.withColumn("l", F.explode(F.sequence(F.lit(MIN_DIM), F.lit(max_l))))
+    # A small file is one task however many candidates its templates have, so templates are spread by their number.
+    tasks = max(1, -(-templates.count() // _TEMPLATES_PER_TASK))
+    rows = templates.repartition(tasks, *templates.columns) if tasks > 1 else templates
+    rows = rows.withColumn("l", F.explode(F.sequence(F.lit(MIN_DIM), F.lit(max_l))))
     max_m = F.floor(F.lit(budget) / (2 * F.col("l"))).cast("int")
     rows = rows.withColumn("m", F.explode(F.sequence(F.lit(MIN_DIM), max_m)))
     n_l, n_m = max_l - MIN_DIM + 1, max_m - (MIN_DIM - 1)
@@ -184,16 +189,18 @@ def balanced_sample(candidates: DataFrame, strata: DataFrame, stratum: str, key:
     return picks, report
 
 
-def uniform_draws(templates: DataFrame, admissible: DataFrame, template: str, count: int, budget: int,
-                  seed: int) -> DataFrame:
+def uniform_draws(templates: DataFrame, admissible: DataFrame | Callable[[DataFrame], DataFrame], template: str, count: int,
+                  budget: int, seed: int) -> DataFrame:
     """``count`` draws with replacement: template, then l, then m uniform; what is not admissible is drawn again.
 
+    ``admissible`` is a table of (template, l, m), or a function that keeps the admissible of any rows with these columns:
+    then only what is drawn is judged, and no grid is built.
     Attempt numbers index the draws, so the first ``count`` accepted attempts are the sample however the range is cut.
     """
     spark = templates.sparkSession
     named = scratch.table(ranks.row_index(templates.select(template).distinct(), [F.col(template).asc()], out="__t"), "templates")
     n_t = named.count()
-    grid = scratch.table(admissible.join(named, template).drop(template), "admissible")
+    grid = None if callable(admissible) else scratch.table(admissible.join(named, template).drop(template), "admissible")
     max_l = budget // (2 * MIN_DIM)
     limit = max(10_000, count * 200)
 
@@ -205,7 +212,10 @@ def uniform_draws(templates: DataFrame, admissible: DataFrame, template: str, co
         rows = a.select("attempt", t.alias("__t"), l.alias("l"))
         max_m = F.floor(F.lit(budget) / (2 * F.col("l"))).cast("long")
         m = (rng.random_below(max_m - (MIN_DIM - 1), F.lit(seed), F.lit("m"), at) + MIN_DIM).cast("int")
-        return rows.filter(max_m >= MIN_DIM).withColumn("m", m).join(grid, ["__t", "l", "m"])
+        rows = rows.filter(max_m >= MIN_DIM).withColumn("m", m)
+        if grid is not None:
+            return rows.join(grid, ["__t", "l", "m"])
+        return admissible(rows.join(named, "__t")).select("__t", "l", "m", "attempt")
 
     upto = min(limit, count * 4 + 1000)
     while True:

@@ -86,3 +86,12 @@ def test_cost_report_ratios(spark):
     assert (r["ratio_min"], r["ratio_max"], r["ratio_median"]) == (2.0, 3.0, 2.5)
     assert r["reprojected_at_median"] == pytest.approx((1000 + 3 * 1000 + 2.5 * 1000) / 3600)
     assert r["all_unknown"] == 1 and r["all_censored"] == 2
+
+
+def test_uniform_draws_judge_only_what_is_drawn_and_the_grid_is_spread(spark):
+    t = spark.createDataFrame([(i, "p") for i in range(9)], "template long, construction_program_id string")
+    keep = lambda rows: rows.filter("(template + l * m) % 3 != 0")
+    run = lambda ok: sorted(map(tuple, sampling.uniform_draws(t, ok, "template", 50, 40, 5).select("attempt", "draw", "template", "l", "m").collect()))
+    assert run(keep) == run(keep(sampling.candidate_grid(t, 40)).select("template", "l", "m"))
+    many = spark.range(25_000).coalesce(1).select(F.col("id").alias("template"))
+    assert sampling.candidate_grid(many, 12).rdd.getNumPartitions() == 3
