@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import scratch
 from ..constants import (
-    BOOTSTRAP_RESAMPLES, BOOTSTRAP_SEED, BROADCAST_ROWS, LABEL_NOISE_DRAWS, LABEL_NOISE_SEED, RECALL_K, RECALL_TOP_N,
+    BOOTSTRAP_RESAMPLES, BOOTSTRAP_SEED, LABEL_NOISE_DRAWS, LABEL_NOISE_SEED, RECALL_K, RECALL_TOP_N,
 )
 from ..errors import Refused
 from ..functions import rates, rng
@@ -23,6 +23,9 @@ from .metrics import Metric, Standing, default_metrics
 
 _COLUMNS = ("truth", "a", "b")
 _DRAWS_PER_TASK = 250_000
+#: Items of one replicate in a task: its windows sort (and spill) that many rows, and the items are broadcast at 24 bytes each.
+_REPLICATE_ROWS = 8_000_000
+_PACK = 1 << 16
 
 
 def resample_weights(spark, n_items: int, n_resamples: int, seed: int, by_replicate: bool = True) -> DataFrame:
@@ -70,9 +73,18 @@ def _ranged_standings(weighted: DataFrame, items: DataFrame) -> DataFrame:
     return weighted
 
 
+def _looked_up(weights: DataFrame, items: DataFrame) -> DataFrame:
+    """The weights with their items' values, read from broadcast arrays of ``_PACK`` items each, so that no draw is shuffled."""
+    x = F.sort_array(F.collect_list(F.struct("row_idx", *_COLUMNS)))
+    packed = items.groupBy(F.expr(f"row_idx div {_PACK}L").alias("pack")).agg(x.alias("x")).select("pack", *[F.col(f"x.{c}").alias(f"__{c}") for c in _COLUMNS])
+    at = (F.col("row_idx") % F.lit(_PACK)).cast("int")
+    return (weights.withColumn("pack", F.expr(f"row_idx div {_PACK}L")).join(F.broadcast(scratch.table(packed, "resample-packs")), "pack")
+            .select("rep", "row_idx", "w", *[F.get(F.col(f"__{c}"), at).alias(c) for c in _COLUMNS]))
+
+
 def bootstrap_replicates(df: DataFrame, score_a: str, score_b: str, key: str = "code_id", truth: str = "rank_value", *,
                          n_resamples: int = BOOTSTRAP_RESAMPLES, seed: int = BOOTSTRAP_SEED,
-                         metrics: Sequence[Metric] | None = None, task_rows: int = BROADCAST_ROWS) -> DataFrame:
+                         metrics: Sequence[Metric] | None = None, task_rows: int = _REPLICATE_ROWS) -> DataFrame:
     """(rep, metric, a, b, difference): both scores of every replicate, measured on the same draw."""
     if n_resamples < 1:
         raise Refused(f"n_resamples must be >= 1; got {n_resamples}")
@@ -83,8 +95,10 @@ def bootstrap_replicates(df: DataFrame, score_a: str, score_b: str, key: str = "
     items = scratch.table(items, "resample-items")
     n = items.count()
     weights = resample_weights(df.sparkSession, n, n_resamples, seed, n <= task_rows)
-    weighted = weights.join(ranks.bounded_broadcast(items, n), "row_idx")
-    placed = _window_standings(weighted) if n <= task_rows else _ranged_standings(weighted, items)
+    if n <= task_rows:
+        placed = _window_standings(_looked_up(weights, items))
+    else:
+        placed = _ranged_standings(weights.join(ranks.bounded_broadcast(items, n), "row_idx"), items)
 
     def standing(side: str) -> Standing:
         return Standing(F.col("truth_below"), F.col("truth_tie"), F.col(f"{side}_below"), F.col(f"{side}_tie"), F.col("w"))

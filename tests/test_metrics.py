@@ -108,3 +108,14 @@ def test_label_noise_ceiling(spark):
     assert clear["mean"] == 1.0 and clear["p05"] == 1.0
     same = resample.label_noise_draws(df, n_draws=20).orderBy("draw").collect()
     assert same == resample.label_noise_draws(df.repartition(5), n_draws=20).orderBy("draw").collect()
+
+
+def test_replicates_of_many_items_write_no_draws(spark):
+    """Items beyond what the planner broadcasts: packs of items are looked up in place, and only items reach the disk."""
+    import inspect
+    assert inspect.signature(resample.bootstrap_replicates).parameters["task_rows"].default > 1_200_000
+    items = spark.range(70_000).select(F.col("id").alias("row_idx"), (F.col("id") % 7).cast("double").alias("truth"),
+                                       F.when(F.col("id") % 5 > 0, F.col("id") * 2.0).alias("a"), F.col("id").cast("double").alias("b"))
+    weights = spark.createDataFrame([(0, i, 1) for i in (0, 65_535, 65_536, 69_999)], "rep long, row_idx long, w long")
+    got = sorted(tuple(r) for r in resample._looked_up(weights, items).collect())
+    assert got == [(0, i, 1, float(i % 7), i * 2.0 if i % 5 else None, float(i)) for i in (0, 65_535, 65_536, 69_999)]
