@@ -83,8 +83,8 @@ def _stopper(batch_size: int, max_shots: int, min_failures: int, gap_ms: int | N
         def emit(index, status, shots=shots, failures=failures, stopped_by=None):
             index = np.atleast_1d(index)
             if len(index):
-                out.append(pd.DataFrame({"item": key[0], "batch_index": index, "status": status, "shots": shots, "failures": failures,
-                                         "stopped_by": stopped or "running" if stopped_by is None else stopped_by}))
+                values = status, shots, failures, stopped or "running" if stopped_by is None else stopped_by
+                out.append((index, *(np.broadcast_to(np.asarray(v, object if isinstance(v, str) else None), index.shape) for v in values)))
 
         if state.hasTimedOut and len(waiting[0]):
             emit(nxt, "gap")
@@ -130,8 +130,10 @@ def _stopper(batch_size: int, max_shots: int, min_failures: int, gap_ms: int | N
         state.update((nxt, shots, failures, stopped, provenance, index.tolist(), n.tolist(), fails.tolist(), source.tolist()))
         if len(index) and gap_ms is not None:
             state.setTimeoutDuration(gap_ms)
-        columns = ["item", "batch_index", "status", "shots", "failures", "stopped_by"]
-        yield pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+        # One frame a call: a frame costs far more than the few rows of an item. Without rows none is made.
+        if out:
+            columns = [np.concatenate(c) for c in zip(*out)]
+            yield pd.DataFrame(dict(zip(("item", "batch_index", "status", "shots", "failures", "stopped_by"), ([key[0]] * len(columns[0]), *columns))))
 
     return step
 

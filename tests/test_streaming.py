@@ -94,3 +94,23 @@ def test_runs_join_where_they_touch():
     starts, ends = stream._runs_joined(np.array([0, 7, 3, 4]), np.array([3, 9, 4, 5]))
     assert starts.tolist() == [0, 7] and ends.tolist() == [5, 9]
     assert [x.tolist() for x in stream._runs_joined(np.zeros(0, int), np.zeros(0, int))] == [[], []]
+
+
+def test_a_step_makes_one_frame_or_none(monkeypatch):
+    """Accepted, late and repeated batches of an item leave in one frame, built once; a call without rows makes none."""
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    made, real = [], stream.pd.DataFrame
+    monkeypatch.setattr(stream.pd, "concat", lambda *a, **k: made.append("concat"))
+    step, state = stream._stopper(10, 60, 9, None), State()
+    batch = lambda indices: real({"batch_index": indices, "batch_shots": 10, "batch_failures": 0, "__provenance": ""})
+    assert list(step(("i",), iter([batch([2, 3])]), state)) == []
+    out = list(step(("i",), iter([batch([0, 1, 1, 9, 2])]), state))
+    assert len(out) == 1 and not made
+    assert out[0].sort_values(["status", "batch_index"])[["batch_index", "status"]].values.tolist() == [
+        [1, "duplicate"], [2, "duplicate"], [0, "kept"], [1, "kept"], [2, "kept"], [3, "kept"], [9, "past_stop"]]
+    assert out[0].loc[out[0].status == "kept", "shots"].tolist() == [10, 20, 30, 40] and set(out[0]["stopped_by"]) == {"running"}
