@@ -1,8 +1,8 @@
 """Gradient-boosted regression trees for all folds at once.
 
 Every fold is a model of its own, trained on the rows of the other folds, but all of them grow together: one pass over
-the data serves a tree level of every fold. A row keeps one prediction per fold, so rows are packed into blocks of
-binned features and predictions. A pass sends each task's sums of residuals per (fold, node, feature, bin), already
+the data serves a tree level of every fold. Rows of equal bins have equal predictions, so they are one cell: its training rows and
+their sum of targets by fold, and one prediction per fold. Cells, at most one a row and often far fewer, are packed into blocks. A pass sends each task's sums of residuals per (fold, node, feature, bin), already
 added up inside the task, to one group per fold, which picks the best split of each node; the driver sees the splits
 only, at most ``folds * 2**depth`` rows. The number of passes is ``trees * depth``, whatever the number of folds.
 
@@ -21,11 +21,11 @@ from pyspark.sql import types as T
 
 from .. import scratch
 
-#: Predictions in one block, and trees between two written states.
+#: Predictions (cells times folds) in one block, and trees between two written states.
 BLOCK_CELLS = 4_000_000
 CUT = 10
 # As types, not text: a pass is short enough for the parsing of a schema to show.
-_BLOCK = T.StructType([T.StructField("keys", T.ArrayType(T.StringType())), *[T.StructField(c, T.BinaryType()) for c in ("bins", "fold", "train", "y", "pred")]])
+_BLOCK = T.StructType([T.StructField(c, T.BinaryType()) for c in ("bins", "n", "s", "pred")])
 _SUMS = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("s", T.BinaryType()), T.StructField("n", T.BinaryType())])
 _SPLIT = T.StructType([T.StructField(c, t()) for c, t in (
     ("fold", T.IntegerType), ("node", T.IntegerType), ("feature", T.IntegerType), ("cut", T.IntegerType), ("n_left", T.LongType),
@@ -39,29 +39,48 @@ def bin_cuts(df: DataFrame, features: Sequence[str], max_bins: int) -> list[list
     return [sorted(set(row[f"q{i}"] or [])) for i in range(len(features))]
 
 
-def _blocks(df: DataFrame, features: Sequence[str], cuts: list[list[float]], key: str, rows: int, total: int) -> DataFrame:
+def _bins(columns: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.where(np.isnan(v), 0, 1 + np.searchsorted(c, v)) for v, c in zip(columns, cuts)], axis=1).astype(np.uint16)
+
+
+def _binned(df: DataFrame, features: Sequence[str], cuts: list[list[float]], key: str) -> DataFrame:
+    """(key, fold, train, y, bins): ``bins`` holds two bytes a feature."""
     cut_arrays = [np.array(c) for c in cuts]
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key")
-        columns = [group[f"f{i}"].to_numpy(dtype=np.float64, na_value=np.nan) for i in range(len(features))]
-        bins = np.stack([np.where(np.isnan(v), 0, 1 + np.searchsorted(c, v)) for v, c in zip(columns, cut_arrays)], axis=1).astype(np.uint16)
-        parts = (bins, group["fold"].to_numpy(np.int32), group["train"].to_numpy(bool), np.where(group["train"], group["y"].fillna(0.0), 0.0).astype(np.float64))
-        return pd.DataFrame({"keys": [group["key"].tolist()], **{n: [p.tobytes()] for n, p in zip(("bins", "fold", "train", "y"), parts)}, "pred": [b""]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            columns = [batch[f"f{i}"].to_numpy(dtype=np.float64, na_value=np.nan) for i in range(len(features))]
+            bins = _bins(columns, cut_arrays)
+            yield batch[["key", "fold", "train", "y"]].assign(bins=[b.tobytes() for b in bins])
     named = df.select(F.col(key).cast("string").alias("key"), "fold", "train", "y", *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
-    block = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // rows))))
-    return scratch.table(named.groupBy(block.alias("block")).applyInPandas(pack, _BLOCK), "boost-blocks")
+    return named.mapInPandas(run, "key string, fold int, train boolean, y double, bins binary")
+
+
+def _blocks(binned: DataFrame, n_folds: int, rows: int) -> DataFrame:
+    """Blocks of some ``rows`` cells: a cell's training rows and sums by fold, in the order of its bins."""
+    y = F.when(F.col("train"), F.coalesce("y", F.lit(0.0))).otherwise(0.0)
+    cells = scratch.table(binned.groupBy("bins", "fold").agg(F.count_if("train").alias("n"), F.sum(y).alias("s")), "boost-cells")
+    total = cells.select("bins").distinct().count()
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        where, bins = pd.factorize(group["bins"], sort=True)
+        n, s = np.zeros((len(bins), n_folds), np.int64), np.zeros((len(bins), n_folds))
+        n[where, group["fold"]], s[where, group["fold"]] = group["n"], group["s"]
+        return pd.DataFrame({"bins": [b"".join(bins)], "n": [n.tobytes()], "s": [s.tobytes()], "pred": [b""]})
+    block = F.pmod(F.xxhash64("bins"), F.lit(max(1, -(-total // rows))))
+    return scratch.table(cells.groupBy(block.alias("block")).applyInPandas(pack, _BLOCK), "boost-blocks")
 
 
 class _Block:
     """One row of the packed table as arrays."""
 
     def __init__(self, row, n_features: int, base: np.ndarray):
-        self.keys = row.keys
         self.bins = np.frombuffer(row.bins, np.uint16).reshape(-1, n_features)
-        self.fold, self.train, self.y = np.frombuffer(row.fold, np.int32), np.frombuffer(row.train, bool), np.frombuffer(row.y)
-        n = len(self.fold)
-        self.pred = np.frombuffer(row.pred).reshape(n, len(base)) if row.pred else np.broadcast_to(base, (n, len(base)))
+        shape = len(self.bins), len(base)
+        # A fold's model is trained on the rows of the other folds.
+        n, s = np.frombuffer(row.n, np.int64).reshape(shape), np.frombuffer(row.s).reshape(shape)
+        self.n, self.s = n.sum(axis=1, keepdims=True) - n, s.sum(axis=1, keepdims=True) - s
+        self.pred = np.frombuffer(row.pred).reshape(shape) if row.pred else np.broadcast_to(base, shape)
 
     def nodes(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Where each row stands in each fold's tree after some levels; a node that is not split keeps its rows on the left."""
@@ -94,15 +113,16 @@ def best_splits(s: np.ndarray, n: np.ndarray, min_rows: int) -> list[tuple]:
 def out_of_fold(df: DataFrame, features: Sequence[str], *, key: str, trees: int, depth: int, rate: float, min_rows: int, max_bins: int = 64) -> DataFrame:
     """(key, fold, pred): each row predicted by the model of its own fold. ``df``: key, fold, train, y and the features."""
     df = scratch.table(df, "boost-input")
-    stats = df.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.count_if("train").alias("n"), F.sum(F.when(F.col("train"), F.col("y"))).alias("s")).collect()
+    stats = df.groupBy("fold").agg(F.count_if("train").alias("n"), F.sum(F.when(F.col("train"), F.col("y"))).alias("s")).collect()
     n_folds = 1 + max(r.fold for r in stats)
-    n, s, total = np.zeros(n_folds), np.zeros(n_folds), sum(r.rows for r in stats)
+    n, s = np.zeros(n_folds), np.zeros(n_folds)
     for r in stats:
         n[r.fold], s[r.fold] = r.n, r.s or 0.0
     base = (s.sum() - s) / (n.sum() - n)
     cuts = bin_cuts(df.filter("train"), features, max_bins)
     n_bins, n_features = 2 + max(map(len, cuts)), len(features)
-    state = _blocks(df, features, cuts, key, max(64, min(4096, BLOCK_CELLS // n_folds)), total)
+    binned = scratch.table(_binned(df, features, cuts, key), "boost-binned")
+    state = _blocks(binned, n_folds, max(64, min(4096, BLOCK_CELLS // n_folds)))
 
     def histogram(levels: list) -> object:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,13 +132,14 @@ def out_of_fold(df: DataFrame, features: Sequence[str], *, key: str, trees: int,
             for batch in batches:
                 for row in batch.itertuples():
                     block = _Block(row, n_features, base)
-                    item, fold = np.nonzero(block.train[:, None] & (block.fold[:, None] != np.arange(n_folds)))
-                    place = (fold * nodes + block.nodes(levels)[item, fold]) * n_bins
-                    rest = block.y[item] - block.pred[item, fold]
+                    cell, fold = np.nonzero(block.n)
+                    place = (fold * nodes + block.nodes(levels)[cell, fold]) * n_bins
+                    n = block.n[cell, fold]
+                    rest = block.s[cell, fold] - n * block.pred[cell, fold]
                     for j in range(n_features):
-                        at = place + block.bins[item, j]
+                        at = place + block.bins[cell, j]
                         sums[j] += np.bincount(at, rest, size)
-                        counts[j] += np.bincount(at, minlength=size)
+                        counts[j] += np.bincount(at, n, size).astype(np.int64)
             shape = (n_features, n_folds, nodes, n_bins)
             sums, counts = (np.ascontiguousarray(a.reshape(shape).transpose(1, 2, 0, 3)) for a in (sums, counts))
             some = np.flatnonzero(counts.any(axis=(1, 2, 3)))
@@ -178,8 +199,10 @@ def out_of_fold(df: DataFrame, features: Sequence[str], *, key: str, trees: int,
         for batch in batches:
             for row in batch.itertuples():
                 block = _Block(row, n_features, base)
-                yield pd.DataFrame({key: block.keys, "fold": block.fold, "pred": block.pred[np.arange(len(block.fold)), block.fold]})
-    out = scratch.table(state.mapInPandas(unpack, f"{key} string, fold int, pred double"), "boost-predictions")
+                yield pd.DataFrame({"bins": [b.tobytes() for b in block.bins], "preds": list(block.pred)})
+    preds = scratch.table(state.mapInPandas(unpack, "bins binary, preds array<double>"), "boost-predictions")
+    own = F.get("preds", F.col("fold"))
+    out = scratch.table(binned.join(preds, "bins").select(F.col("key").alias(key), "fold", own.alias("pred")), "boost-out")
     for kept in held:
         kept.unpersist()
     return out

@@ -66,3 +66,15 @@ def test_nothing_to_split(spark):
     assert {(r.construction_program_id, r.pred_log10_ler) for r in out.join(df, "code_id").collect()} == {("p0", -2.0), ("p1", -1.0)}
     with pytest.raises(Refused, match="d is null"):
         model.out_of_fold_predictions(df.withColumn("d", df.d.cast("int") * None), ["d"])
+
+
+def test_rows_of_equal_bins_are_one_cell(spark):
+    """The work of a pass follows the distinct bins, not the rows: 6,000 rows of twelve cells and three folds."""
+    rows = [(f"c{i}", i % 3, i % 7 > 0, float(i % 5), float(i % 12)) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "id string, fold int, train boolean, y double, a double")
+    cuts = boosting.bin_cuts(df.filter("train"), ["a"], 64)
+    blocks = boosting._blocks(boosting._binned(df, ["a"], cuts, "id"), 3, 64).collect()
+    assert sum(len(b.bins) // 2 for b in blocks) == 12
+    own = sum(np.frombuffer(b.n, np.int64).reshape(-1, 3).sum(axis=0) for b in blocks)
+    assert own.tolist() == [sum(r[2] for r in rows if r[1] == f) for f in range(3)]
+    assert boosting.out_of_fold(df, ["a"], key="id", trees=2, depth=2, rate=0.3, min_rows=10).count() == 6_000
