@@ -203,8 +203,8 @@ def reconciled_join(spark: SparkSession, sf: str) -> DataFrame:
     """Guards on: keys unique and equal on both sides, shared columns in agreement."""
     m = scratch.table(views.measurements(spark, sf), "measurements")
     # The feature view disagrees on d_upper for some items, as its own query shows; the agreeing columns stand in here.
-    own = _features(spark, sf).select("code_id", "weight_mean").join(m.select("code_id"), "code_id", "left_semi")
-    f = scratch.table(own.join(m.select("code_id", "n", "k", "d_upper", "phi_from_d_upper"), "code_id"), "features")
+    own = _features(spark, sf).select("code_id", "weight_mean").join(scratch.shuffled(m.select("code_id")), "code_id", "left_semi")
+    f = scratch.table(own.join(scratch.shuffled(m.select("code_id", "n", "k", "d_upper", "phi_from_d_upper")), "code_id"), "features")
     joined = reconcile.join_one_to_one(m, f, "code_id", ("n", "k", "d_upper"), names=("measurements", "features"))
     predictions = f.select("code_id", F.ln(F.col("weight_mean") + 1).alias("pred_log10_ler"))
     scored = reconcile.join_one_to_one(joined, predictions, "code_id", (), ())

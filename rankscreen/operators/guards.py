@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from .. import scratch
 from ..constants import PHI_SCORE, SHARED_COLUMNS
 from ..errors import Refused
 
@@ -136,7 +137,7 @@ def shared_columns(left: DataFrame, right: DataFrame, key: str, equal: Sequence[
         a, b = F.col(f"__l_{c}"), F.col(f"__r_{c}")
         near = F.abs(a - b) <= F.lit(rtol) * F.abs(b)
         checks[f"{c} differs"] = F.count_if(~F.coalesce(near, a.isNull() & b.isNull()))
-    return counts(l.join(r, key), checks)
+    return counts(l.join(scratch.shuffled(r), key), checks)
 
 
 def declared_values(stored: DataFrame, derived: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import scratch
 from ..constants import PHI_SCORE, SHARED_COLUMNS
 from . import guards
 
@@ -26,7 +27,7 @@ def join_one_to_one(left: DataFrame, right: DataFrame, key: str = "code_id",
         guards.require_equal_keys(left, right, key, names)
         if shared or close:
             guards.enforce(guards.shared_columns(left, right, key, shared, close))
-    return left.drop(*shared, *close).join(right, key)
+    return left.drop(*shared, *close).join(scratch.shuffled(right), key)
 
 
 def remaining(plan: DataFrame, *done: DataFrame, on: str | Sequence[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import scratch
 from ..functions import identity, rates
 from ..operators import ranks
 
@@ -74,7 +75,7 @@ def measurements(spark: SparkSession, sf_dir: str, min_failures: int = VIEW_MIN_
     size, key = F.col("p_size"), F.col("p_partkey")
     # A part that failed every trial has no rate and is no measurement.
     per_part = counts(spark, sf_dir).filter(F.col("failures") < F.col("shots"))
-    joined = items.join(per_part, F.col("l_partkey") == key).select(
+    joined = items.join(scratch.shuffled(per_part), F.col("l_partkey") == key).select(
         key.cast("string").alias("code_id"), F.col("p_brand").alias("construction_program_id"),
         F.col("p_type").alias("family"), "p_size", "p_retailprice",
         (F.lit(12) + F.lit(2) * F.pmod(key, F.lit(31))).cast("int").alias("n"),

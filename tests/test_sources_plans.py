@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankscreen import schemas
+from rankscreen import schemas, scratch
 from rankscreen.errors import Refused
 from rankscreen.functions import identity
 from rankscreen.operators import guards, model, reconcile, splits
@@ -183,3 +183,11 @@ def test_out_of_fold_covers_every_row(spark):
     only = df.withColumn("censored", F.col("construction_program_id") != "p0").withColumn("true_ler", F.when(~F.col("censored"), 0.1))
     with pytest.raises(Refused, match="no uncensored training row"):
         model.out_of_fold_predictions(only, ["d"], nullable=[])
+
+
+def test_a_one_to_one_join_of_written_tables_is_not_broadcast(spark):
+    """Their size on disk is far below that of their rows; a broadcast would pass one of them through the driver."""
+    rows = spark.range(50).select(F.col("id").cast("string").alias("code_id"), F.col("id").alias("n"))
+    a, b = scratch.table(rows, "a"), scratch.table(rows.withColumn("x", F.col("n") + 1), "b")
+    plan = reconcile.join_one_to_one(a, b, "code_id", ("n",), ())._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
