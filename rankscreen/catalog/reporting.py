@@ -236,6 +236,7 @@ def _cell_pairs(spark, sf):
                                order, ["l_tax", "l_suppkey", "l_linestatus"], "trial")
     long = numbered.select(F.col("l_tax").alias("p"), F.col("l_suppkey").cast("string").alias("code_id"), "trial",
                            F.col("l_linestatus").alias("treatment"), (F.col("l_returnflag") == "R").alias("failed"))
+    long = long.repartition(ranks.tasks_for(li.count()), "p", "code_id", "trial")
     table = trials.contingency(trials.pair_treatments(long, ["F", "O"], ["p", "code_id", "trial"]), ["p", "code_id"], "F", "O")
     return table.select("p", "code_id", F.lit("F|O").alias("pairing"), "both_fail", "only_a", "only_b",
                         F.col("neither_fails").alias("neither"), F.col("mcnemar_exact_p").alias("p_value"))

@@ -127,7 +127,12 @@ def with_top_probability(df: DataFrame, by: Sequence[str], value: str, m: int, o
             .withColumn(out, top_share(m, F.col("below"), F.col("tie"))).drop("below", "tie"))
 
 
-def row_index(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "row_idx") -> DataFrame:
+def tasks_for(rows: int, task_rows: int = ROWS_PER_BUCKET) -> int:
+    """Tasks for that many rows. A count of its own keeps a shuffle's tasks at that size; the planner's target is in compressed bytes."""
+    return max(1, -(-rows // task_rows))
+
+
+def row_index(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "row_idx", task_rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """Zero-based position of every row in its group under a total order.
 
     Rows are range-partitioned on (group, order), so a hot group spans many tasks, and numbered inside each partition.
@@ -147,9 +152,13 @@ def row_index(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), ou
     placed = numbered.join(F.broadcast(offsets), "__part").withColumn("__global", F.col("__before") + F.col("__local"))
     if by:
         # A group's start is looked up per (partition, group), so a hot group's rows stay spread over its partitions.
-        first = placed.groupBy("__part", *by).agg(F.min("__global").alias("__first"))
-        starts = first.select("__part", *by, F.min("__first").over(Window.partitionBy(*by)).alias("__start"))
-        placed = placed.join(starts, ["__part", *by]).withColumn(out, F.col("__global") - F.col("__start"))
+        # Joins normalize floating keys and so shuffle again; as text they stay where they were placed.
+        tasks, kinds = tasks_for(numbered.count(), task_rows), dict(df.dtypes)
+        keys = {f"__by{i}": (F.col(c) + F.lit(0.0)).cast("string") if kinds[c] in ("float", "double") else F.col(c) for i, c in enumerate(by)}
+        placed = placed.withColumns(keys).repartition(tasks, "__part", *keys)
+        first = placed.groupBy("__part", *keys).agg(F.min("__global").alias("__first"))
+        starts = first.select("__part", *keys, F.min("__first").over(Window.partitionBy(*keys)).alias("__start"))
+        placed = placed.join(scratch.shuffled(starts.repartition(tasks, "__part", *keys)), ["__part", *keys]).withColumn(out, F.col("__global") - F.col("__start"))
     else:
         placed = placed.withColumn(out, F.col("__global"))
     return placed.select(*df.columns, out)

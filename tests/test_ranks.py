@@ -74,3 +74,12 @@ def test_table_digest_ignores_order_and_sees_changes(spark):
     assert digest(df) == digest(df.orderBy(F.rand(1)).repartition(5))
     assert digest(df) != digest(df.withColumn("v", F.when(F.col("id") == 5, -1.0).otherwise(F.col("v"))))
     assert digest(df) != digest(df.unionByName(df.limit(1)))
+
+
+def test_row_index_joins_in_tasks_of_bounded_rows(spark):
+    """Groups are numbered in as many tasks as the rows need, whatever their size on disk; 0.0 and -0.0 are one group."""
+    df = spark.range(4000).selectExpr("if(id % 2 = 0, 0.0D, -0.0D) * (id % 3 - 1) as g", "id")
+    out = ranks.row_index(df, [F.col("id").asc()], ["g"], task_rows=100)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.rdd.getNumPartitions() >= 40
+    assert sorted(r.row_idx for r in out.collect()) == list(range(4000))
