@@ -64,6 +64,26 @@ def test_inventory(spark, tmp_path):
         inventory.require_intact(got, inventory.inventory(spark, str(tmp_path)))
 
 
+def test_inventory_of_files_larger_than_a_block(spark, tmp_path):
+    """A digest goes from task to task; 2 GB and more, which the reader of whole files refuses, included."""
+    import hashlib
+    for size in (999, 1000, 1001, 2000, 5003):
+        (tmp_path / f"f {size}").write_bytes(bytes(i * 7 % 251 for i in range(size)))
+    got = inventory.inventory(spark, str(tmp_path), block=1000).collect()
+    assert {(r["path"], r["n_bytes"], r["sha256"]) for r in got} == {
+        (f.name, f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in tmp_path.iterdir()}
+    position, state, digest = inventory._advance(str(tmp_path / "f 5003"), 5003, 1000, None, 1000)
+    assert position == 2000 and len(state) == 256 and digest is None   # no more than its block
+    (tmp_path / "large").mkdir()
+    with open(tmp_path / "large" / "f", "wb") as file:
+        file.truncate((1 << 31) + 5)
+    whole = hashlib.sha256()
+    for _ in range(1 << 7):
+        whole.update(bytes(1 << 24))
+    whole.update(bytes(5))
+    assert [tuple(r) for r in inventory.inventory(spark, str(tmp_path / "large")).collect()] == [("f", (1 << 31) + 5, whole.hexdigest())]
+
+
 def test_cells_multi_line(spark, tmp_path):
     entry = {"failures": 3, "censored": True, "ler": None, "ler_ci_low": 0.1, "ler_ci_high": 0.2, "decode_seconds": 1.5, "ms_per_shot": 2.0}
     doc = {"calibration": True, "status": "completed", "p": 0.1, "code": {"code_id": "c", "name": "c", "n": 4, "k": 1, "d_upper": 2},
