@@ -56,6 +56,20 @@ def with_units(rows: DataFrame, counter: str, uses: dict[str, Column]) -> DataFr
     return rows.drop("__low", "__high", *[f"__{k}{u}" for k in "abcd" for u in inner])
 
 
+def units(counter, uses: list[int]) -> list:
+    """The same numbers inside a task: an array of uniforms for each use, from an array of counters."""
+    (m1, a1), (m2, a2) = _STEPS
+    fold = lambda x: x ^ (x >> 15)
+    low, high, out = counter % _PRIME, (counter >> 31) % _PRIME, []
+    for use in uses:
+        x = ((low + use * 40_503_161) % _PRIME * m1 + a1) % _PRIME
+        x = (fold(x) * m2 + a2) % _PRIME
+        x = ((fold(x) + high) % _PRIME * m1 + a1) % _PRIME
+        x = (fold(x) * m2 + a2) % _PRIME
+        out.append((fold(x) + 0.5) / float(1 << 31))
+    return out
+
+
 def units_sql(source: str, name: str, counter: str, uses: dict[str, str]) -> str:
     """The same numbers as SQL: table expressions, the last of them ``name``, that add them to ``source``."""
     (m1, a1), (m2, a2) = _STEPS

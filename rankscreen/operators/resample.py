@@ -26,6 +26,8 @@ _DRAWS_PER_TASK = 250_000
 #: Items of one replicate in a task: its windows sort (and spill) that many rows, and the items are broadcast at 24 bytes each.
 _REPLICATE_ROWS = 8_000_000
 _PACK = 1 << 16
+#: Items of the label-noise ceiling that are drawn to bound the others, at most.
+_FEW = 5_000
 
 
 def resample_weights(spark, n_items: int, n_resamples: int, seed: int, by_replicate: bool = True) -> DataFrame:
@@ -174,30 +176,99 @@ def beta_draws(rows: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda
             return reduce(DataFrame.unionByName, done)
 
 
+#: A uniform of ``rng.with_units`` is at least 2^-32, so its logarithm at least ``-_LOG`` and no normal beyond ``_FAR``.
+_LOG = 32 * math.log(2.0)
+_FAR = math.sqrt(2 * _LOG)
+_SLACK = 1e-9
+
+
+def gamma_range(rows: DataFrame, shape: str, least: str, most: str) -> DataFrame:
+    """Bounds of every draw ``_gamma_attempt`` can accept for ``shape``, in whichever try.
+
+    A draw is d w^3. w is at least 1 - _FAR / sqrt(9 d); and acceptance asks d g(w) > log(u) >= -_LOG of a growing function
+    g(w) = 9/2 (1 - w)^2 + 1 - w^3 + 3 ln w, which solved for its logarithm gives a bound that each step tightens.
+    """
+    kept, d, one = rows.columns, F.col("__d"), F.lit(1.0)
+    rows = rng.bind(rows, __d=F.when(F.col(shape) < 1, F.col(shape) + one).otherwise(F.col(shape)) - F.lit(1.0 / 3.0), __w0=F.lit(0.0))
+    for i in range(3):
+        w = F.col(f"__w{i}")
+        rows = rng.bind(rows, **{f"__w{i + 1}": F.exp((F.lit(-_LOG) / d - F.lit(4.5) * (one - w) * (one - w) - one + w * w * w) / F.lit(3.0))})
+    low = F.col("__w3")
+    far = F.lit(_FAR) / F.sqrt(F.lit(9.0) * d)
+    back = F.when(F.col(shape) < 1, F.pow(F.lit(2.0 ** -32), one / F.col(shape))).otherwise(one)
+    return rows.select(*kept, (d * F.pow(F.greatest(low, one - far), F.lit(3.0)) * back * F.lit(1 - _SLACK)).alias(least),
+                       (d * F.pow(one + far, F.lit(3.0)) * F.lit(1 + _SLACK)).alias(most))
+
+
+def _beyond(least_x: Column, most_y: Column, bound: Column) -> Column:
+    """Is the rate of x / (x + y) beyond ``bound`` for every x from ``least_x`` up and y up to ``most_y``, rounding allowed for?"""
+    p = least_x / (least_x + most_y) * F.lit(1 - _SLACK)
+    return rates.rate_unchecked(p, "rounds", "k") > bound * F.lit(1 + _SLACK) + F.lit(1e-14)
+
+
+def near_draws(items: DataFrame, bounds: list[float]) -> DataFrame:
+    """(draw, bound, score_p, rounds, k, a, b, counter): every draw of ``items`` but those beyond the bound of their draw.
+
+    The first try for the first Gamma draw, where it is accepted, decides nearly all draws. It is tried here on arrays with a
+    margin for their rounding; a draw it leaves open is made by ``beta_draws`` like any other.
+    """
+    import numpy as np
+    names = ["draw", "bound", "score_p", "rounds", "k", "a", "b", "counter"]
+    types = {f.name: f.dataType.simpleString() for f in items.schema.fields} | {"draw": "int", "bound": "double"}
+
+    def run(batches):
+        bound, draw = np.array(bounds), np.arange(len(bounds))
+        limit = bound * (1 + _SLACK) + 1e-13
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.iloc[at:at + 64]
+                column = lambda c, kind=np.float64: part[c].to_numpy(kind)[:, None]
+                counter = column("counter", np.int64) + draw * rng.STRIDE
+                u1, u2, u3 = rng.units(counter, [4096 + i for i in (1, 2, 3)])   # the first of ``_gamma_attempt``
+                a, folds = column("a"), column("rounds") * column("k")
+                d = a - 1 / 3
+                z = np.sqrt(-2 * np.log(u1)) * np.cos(2 * math.pi * u2)
+                v = (1 + z / np.sqrt(9 * d)) ** 3
+                ok = (v > 0) & (a >= 1) & (folds >= 1)
+                v = np.where(ok, v, 1.0)
+                ok &= np.log(u3) < 0.5 * z * z + d - d * v + d * np.log(v) - _SLACK
+                # 1 - (1 - p)^(1 / folds) > limit wherever p > folds * limit.
+                ok &= d * v / (d * v + column("most_y")) * (1 - _SLACK) > folds * limit
+                item, which = np.nonzero(~ok)
+                yield part.iloc[item].assign(draw=which.astype(np.int32), bound=bound[which], counter=counter[item, which])[names]
+    return items.mapInPandas(run, ", ".join(f"{n} {types[n]}" for n in names))
+
+
 def label_noise_draws(df: DataFrame, key: str = "code_id", *, n_draws: int = LABEL_NOISE_DRAWS,
                       seed: int = LABEL_NOISE_SEED, k: int = RECALL_K, top_n: int = RECALL_TOP_N) -> DataFrame:
     """(draw, recall): the observed order scored against labels redrawn from their own noise.
 
     Each draw needs only its ``top_n`` best rates and their ties. The ``top_n``-th best of any few items bounds that of
-    all from above, so the items with the best observed rates are drawn first, and what lies beyond their bound never
-    leaves the task that drew it.
+    all from above, so the items with the best observed rates are drawn first. An item none of whose draws can come
+    within its bound, in whatever try, is not drawn; of the others, most leave after the first try of their first Gamma draw.
     """
     base = df.select(key, "failures", "shots", "rounds", "k", F.col("rank_value").cast("double").alias("rank_value"))
     base = ranks.with_top_probability(base, [], "rank_value", k, "score_p")
-    base = scratch.table(base.withColumn("counter", rng.random_int(F.lit(seed), F.col(key))), "noise-items")
-
-    def draws(items: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda drawn: drawn) -> DataFrame:
-        rows = items.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-        rows = rows.select("draw", "score_p", "rounds", "k", (F.col("counter") + F.col("draw").cast("long") * F.lit(rng.STRIDE)).alias("counter"),
-                           (F.col("failures") + F.lit(0.5)).alias("a"), (F.col("shots") - F.col("failures") + F.lit(0.5)).alias("b"))
-        return beta_draws(rows, lambda drawn: keep(drawn.select("draw", "score_p", rates.rate_unchecked("p", "rounds", "k").alias("rate"))))
-    few = draws(base.orderBy("rank_value", key).limit(4 * top_n))
-    bounds = few.groupBy("draw").agg(F.coalesce(F.get(F.sort_array(F.collect_list("rate")), F.lit(top_n - 1)), F.lit(float("inf"))).alias("bound"))
-    bounds = scratch.table(bounds, "noise-bounds")
-    tasks = max(1, -(-base.count() * n_draws // _DRAWS_PER_TASK))
-    # One bound per draw, whatever the number of items.
-    rows = draws(base.repartition(tasks, key), lambda drawn: drawn.join(F.broadcast(bounds), "draw").filter("rate <= bound"))
-    best = rows.withColumn("r", F.rank().over(Window.partitionBy("draw").orderBy("rate"))).filter(F.col("r") <= top_n)
+    base = base.withColumns({"counter": rng.random_int(F.lit(seed), F.col(key)), "a": F.col("failures") + F.lit(0.5),
+                             "b": F.col("shots") - F.col("failures") + F.lit(0.5)})
+    base = gamma_range(gamma_range(base, "a", "least_x", "most_x"), "b", "least_y", "most_y").drop("most_x", "least_y")
+    base = scratch.table(base, "noise-items")
+
+    def within(items: DataFrame, bounds: list[float]) -> DataFrame:
+        """The draws of ``items`` at most as large as the bound of their draw; one bound per draw, whatever the number of items."""
+        least = _beyond(F.col("least_x"), F.col("most_y"), F.lit(max(bounds)))
+        items = scratch.table(items.filter(~F.coalesce(least, F.lit(False))), "noise-reaching")
+        tasks = max(1, -(-items.count() * n_draws // (8 * _DRAWS_PER_TASK)))
+        near = scratch.table(near_draws(items.repartition(tasks, key), bounds), "noise-near")
+        return beta_draws(near, lambda drawn: drawn.select("draw", "bound", "score_p", rates.rate_unchecked("p", "rounds", "k").alias("rate")).filter("rate <= bound"))
+
+    bounds = [math.inf] * n_draws
+    # The more items, the more of the best are drawn first; no more than a task sorts with ease.
+    few = within(base.orderBy("rank_value", key).limit(max(4 * top_n, min(base.count() >> 8, _FEW))), bounds)
+    best = F.coalesce(F.get(F.sort_array(F.collect_list("rate")), F.lit(top_n - 1)), F.lit(math.inf))
+    for draw, bound in few.groupBy("draw").agg(best).collect():   # one row per draw
+        bounds[draw] = bound
+    best = within(base, bounds).withColumn("r", F.rank().over(Window.partitionBy("draw").orderBy("rate"))).filter(F.col("r") <= top_n)
     ties = best.groupBy("draw", "rate", "r").agg(F.count(F.lit(1)).alias("tie"), F.sum("score_p").alias("p"))
     hit = F.col("p") * ranks.top_share(top_n, F.col("r") - 1, F.col("tie"))
     return ties.groupBy("draw").agg((F.sum(hit) / top_n).alias("recall"))

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankscreen.errors import Refused
-from rankscreen.operators import guards, metrics, resample
-from rankscreen.functions import rates
+from rankscreen.operators import guards, metrics, ranks, resample
+from rankscreen.functions import rates, rng
 
 
 def frame(spark, truth, score, censored=None):
@@ -110,6 +110,45 @@ def test_label_noise_ceiling(spark):
     assert same == resample.label_noise_draws(df.repartition(5), n_draws=20).orderBy("draw").collect()
 
 
+def test_hopeless_items_are_not_drawn(spark, monkeypatch):
+    """The ceiling equals one that makes every draw in full, of which it makes less than an eighth itself."""
+    rows = [(f"c{i:04d}", 30 + i % 7, 1 + i * i % 23 if i % 40 else i % 3, 1 + i % 8, 1 + i % 6) for i in range(1200)]
+    df = spark.createDataFrame(rows, "code_id string, shots long, failures long, rounds int, k int").withColumns(rates.label_columns())
+    df = df.withColumn("rank_value", rates.ranking_value())
+    made, whole = [], resample.beta_draws
+
+    def counted(drawn, *keep):
+        made.append(drawn.count())
+        return whole(drawn, *keep)
+    monkeypatch.setattr(resample, "beta_draws", counted)
+    got = {r["draw"]: r["recall"] for r in resample.label_noise_draws(df, n_draws=30, seed=5).collect()}
+    assert sum(made) < 30 * 1200 // 8
+    base = ranks.with_top_probability(df, [], "rank_value", 30, "score_p").crossJoin(spark.range(30).withColumnRenamed("id", "draw"))
+    base = base.withColumns({"counter": rng.random_int(F.lit(5), F.col("code_id")) + F.col("draw") * F.lit(rng.STRIDE),
+                             "a": F.col("failures") + 0.5, "b": F.col("shots") - F.col("failures") + 0.5})
+    drawn = [r for r in whole(base.select("draw", "score_p", "rounds", "k", "counter", "a", "b")).withColumn("rate", rates.rate_unchecked("p", "rounds", "k")).collect()]
+    for draw in range(30):
+        each = sorted((r["rate"], r["score_p"]) for r in drawn if r["draw"] == draw)
+        assert len(each) == 1200 and each[9][0] < each[10][0]
+        assert got[draw] == pytest.approx(sum(p for _, p in each[:10]) / 10)
+
+
+def test_gamma_range_holds_for_every_try(spark):
+    """No accepted point of a fine grid over normals and uniforms, their extremes included, lies outside the bounds."""
+    shapes = [0.5, 0.9, 1.0, 1.5, 4.5, 7.5, 30.5, 400.5]
+    got = resample.gamma_range(spark.createDataFrame([(a,) for a in shapes], "a double"), "a", "least", "most").collect()
+    z, u = np.linspace(-resample._FAR, resample._FAR, 200_001), 2.0 ** -32
+    for r in got:
+        d = (r["a"] + 1 if r["a"] < 1 else r["a"]) - 1 / 3
+        v = (1 + z / np.sqrt(9 * d)) ** 3
+        v, near = v[v > 0], z[v > 0]
+        v = v[np.log(u) < 0.5 * near * near + d - d * v + d * np.log(v)]
+        back = u ** (1 / r["a"]) if r["a"] < 1 else 1.0
+        assert 0 < r["least"] <= d * v.min() * back and r["most"] >= d * v.max()
+    units = rng.with_units(spark.range(200).withColumn("n", F.col("id") * 678_152_731_007 + 5), "n", {"u": F.lit(4097).cast("long")}).collect()
+    assert [r["u"] for r in units] == rng.units(np.array([r["n"] for r in units]), [4097])[0].tolist()
+
+
 def test_replicates_of_many_items_write_no_draws(spark):
     """Items beyond what the planner broadcasts: packs of items are looked up in place, and only items reach the disk."""
     import inspect
