@@ -4,7 +4,8 @@ Every fold is a model of its own, trained on the rows of the other folds, but al
 the data serves a tree level of every fold. Rows of equal bins have equal predictions, so they are one cell: its training rows and
 their sum of targets by fold, and one prediction per fold. Cells, at most one a row and often far fewer, are packed into blocks. A pass sends each task's sums of residuals per (fold, node, feature, bin), already
 added up inside the task, to one group per fold, which picks the best split of each node; the driver sees the splits
-only, at most ``folds * 2**depth`` rows. The number of passes is ``trees * depth``, whatever the number of folds.
+only, at most ``folds * 2**depth`` rows. The number of passes is ``trees * depth``, whatever the number of folds. Up to ``FEW_CELLS``
+predictions the blocks are broadcast instead, and each task grows the trees of its fold over all cells without a pass.
 
 Nulls have a bin below all others. Splits need ``min_rows`` training rows on both sides; equal gains go to the earlier
 feature and the smaller cut. Predictions are cached between passes and written out every ``CUT`` trees.
@@ -24,6 +25,8 @@ from .. import scratch
 #: Predictions (cells times folds) in one block, and trees between two written states.
 BLOCK_CELLS = 4_000_000
 CUT = 10
+#: Predictions up to which the blocks, 16 bytes each, are broadcast to a task for each fold.
+FEW_CELLS = 4_000_000
 # As types, not text: a pass is short enough for the parsing of a schema to show.
 _BLOCK = T.StructType([T.StructField(c, T.BinaryType()) for c in ("bins", "n", "s", "pred")])
 _SUMS = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("s", T.BinaryType()), T.StructField("n", T.BinaryType())])
@@ -110,6 +113,48 @@ def best_splits(s: np.ndarray, n: np.ndarray, min_rows: int) -> list[tuple]:
     return out
 
 
+def _fold_predictions(bins: np.ndarray, n: np.ndarray, s: np.ndarray, base: float, n_bins: int, trees: int, depth: int, rate: float, min_rows: int) -> np.ndarray:
+    """One prediction per cell by the model of one fold, from the training rows of each cell and their sum of targets."""
+    pred = np.full(len(bins), base)
+    columns = [np.ascontiguousarray(bins[:, j], np.int64) for j in range(bins.shape[1])]
+    for _ in range(trees):
+        rest, at, value = s - n * pred, np.zeros(len(bins), np.int64), np.zeros(1)
+        for level in range(depth):
+            place, shape = at * n_bins, (2**level, n_bins)
+            sums, counts = (np.stack([np.bincount(place + c, w, 2**level * n_bins).reshape(shape) for c in columns], axis=1) for w in (rest, n))
+            found = best_splits(sums, counts, min_rows)
+            if not found:
+                break
+            feature, cut, value = np.full(2**level, -1), np.zeros(2**level, np.int64), np.repeat(value, 2)
+            for node, j, c, n_left, s_left, n_right, s_right in found:
+                feature[node], cut[node] = j, c
+                value[2 * node:2 * node + 2] = s_left / n_left, s_right / n_right
+            f = feature[at]
+            at = 2 * at + ((f >= 0) & (bins[np.arange(len(bins)), f] > cut[at]))
+        if len(value) == 1:
+            break                               # nor would it be split after this tree
+        pred += rate * value[at]
+    return pred
+
+
+def _grown_in_tasks(blocks: DataFrame, n_features: int, base: np.ndarray, **options) -> DataFrame:
+    """(bins, fold, pred) of every cell and fold: a fold a task, which reads the broadcast blocks."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: dict[int, list] = {}
+        for batch in batches:
+            for row in batch.itertuples():
+                block = _Block(row, n_features, base)
+                parts.setdefault(row.own, []).append((block.bins, block.n[:, row.own], block.s[:, row.own]))
+        for fold, part in parts.items():
+            bins, n, s = (np.concatenate(x) for x in zip(*part))
+            order = np.lexsort(bins.T)          # blocks come in any order; sums are added in one
+            bins = bins[order]
+            pred = _fold_predictions(bins, n[order].astype(np.float64), s[order], base[fold], **options)
+            yield pd.DataFrame({"bins": [b.tobytes() for b in bins], "fold": np.int32(fold), "pred": pred})
+    folds = blocks.sparkSession.range(0, len(base), 1, len(base)).withColumnRenamed("id", "own")
+    return folds.crossJoin(F.broadcast(blocks)).mapInPandas(run, "bins binary, fold int, pred double")
+
+
 def out_of_fold(df: DataFrame, features: Sequence[str], *, key: str, trees: int, depth: int, rate: float, min_rows: int, max_bins: int = 64) -> DataFrame:
     """(key, fold, pred): each row predicted by the model of its own fold. ``df``: key, fold, train, y and the features."""
     df = scratch.table(df, "boost-input")
@@ -123,6 +168,10 @@ def out_of_fold(df: DataFrame, features: Sequence[str], *, key: str, trees: int,
     n_bins, n_features = 2 + max(map(len, cuts)), len(features)
     binned = scratch.table(_binned(df, features, cuts, key), "boost-binned")
     state = _blocks(binned, n_folds, max(64, min(4096, BLOCK_CELLS // n_folds)))
+    cells = state.agg(F.sum(F.octet_length("bins")) / (2 * n_features)).head()[0]
+    if cells * n_folds <= FEW_CELLS:
+        preds = scratch.table(_grown_in_tasks(state, n_features, base, n_bins=n_bins, trees=trees, depth=depth, rate=rate, min_rows=min_rows), "boost-predictions")
+        return scratch.table(binned.join(scratch.shuffled(preds), ["bins", "fold"]).select(F.col("key").alias(key), "fold", "pred"), "boost-out")
 
     def histogram(levels: list) -> object:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

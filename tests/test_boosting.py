@@ -78,3 +78,19 @@ def test_rows_of_equal_bins_are_one_cell(spark):
     own = sum(np.frombuffer(b.n, np.int64).reshape(-1, 3).sum(axis=0) for b in blocks)
     assert own.tolist() == [sum(r[2] for r in rows if r[1] == f) for f in range(3)]
     assert boosting.out_of_fold(df, ["a"], key="id", trees=2, depth=2, rate=0.3, min_rows=10).count() == 6_000
+
+
+def test_few_cells_are_grown_without_a_pass(spark, monkeypatch):
+    """A fold a task over broadcast blocks: the predictions of the passes, though no pass can be made."""
+    rng = np.random.default_rng(9)
+    rows = [(f"c{i}", int(rng.integers(0, 4)), bool(i % 9), float(a * (b > 2) + 0.1 * rng.normal()), float(a), float(b) if i % 11 else None)
+            for i, (a, b) in enumerate(rng.integers(0, 7, (900, 2)))]
+    df = spark.createDataFrame(rows, "id string, fold int, train boolean, y double, a double, b double")
+    run = lambda: {r.id: (r.fold, pytest.approx(r.pred, abs=1e-9)) for r in boosting.out_of_fold(
+        df, ["a", "b"], key="id", trees=4, depth=3, rate=0.3, min_rows=10).collect()}
+    few = boosting.FEW_CELLS
+    monkeypatch.setattr(boosting, "FEW_CELLS", 0)
+    passes = run()
+    monkeypatch.setattr(boosting, "FEW_CELLS", few)
+    monkeypatch.setattr(boosting, "CUT", 0)     # a tree of the passes would divide by it
+    assert run() == passes and len(passes) == 900
