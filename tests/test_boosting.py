@@ -94,3 +94,11 @@ def test_few_cells_are_grown_without_a_pass(spark, monkeypatch):
     monkeypatch.setattr(boosting, "FEW_CELLS", few)
     monkeypatch.setattr(boosting, "CUT", 0)     # a tree of the passes would divide by it
     assert run() == passes and len(passes) == 900
+
+
+def test_the_query_grows_all_trees(spark, monkeypatch):
+    from rankscreen.catalog import ENTRIES
+    seen = []
+    monkeypatch.setattr(boosting, "out_of_fold", lambda df, features, key, **options: seen.append(options["trees"]) or df.selectExpr(key, "0.0 AS pred", "fold"))
+    ENTRIES["out_of_fold_predictions"].run(spark, "/root/testdata/sf0.001")
+    assert seen == [model.BOOST_PARAMS["maxIter"]]
