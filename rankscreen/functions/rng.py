@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 _BITS = 60
@@ -19,6 +22,70 @@ def random_below(bound, *parts) -> Column:
     return F.coalesce(drawn, F.lit(0).cast("long"))
 
 
+# The same integers inside a task, for counters that follow each other: md5 on arrays of four-byte words, one message block each.
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = [turns[i % 4] for turns in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for i in range(16)]
+_WORD_AT = [(mul * i + add) % 16 for mul, add in ((1, 0), (5, 1), (3, 5), (7, 0)) for i in range(16)]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+#: Digits that are written as arrays, the others being the same for a whole array, and numbers in an array: what a core's cache holds.
+_DIGITS, _STEP = 5, 25_000
+
+
+def _digest_heads(prefix: bytes, last: np.ndarray, digits: int) -> np.ndarray:
+    """The first 60 bits of the md5 of ``prefix`` and each number of ``last``, written with ``digits`` digits."""
+    size = len(prefix) + digits
+    if size > 55:
+        raise ValueError(f"a message of {size} bytes does not fit one block")
+    block = prefix + b"0" * digits + b"\x80" + bytes(55 - size) + (8 * size).to_bytes(8, "little")
+    words: list = [int.from_bytes(block[i:i + 4], "little") for i in range(0, 64, 4)]
+    for at in range(digits):
+        w, shift = divmod(len(prefix) + at, 4)
+        words[w] = words[w] + (last // 10 ** (digits - 1 - at) % 10 << 8 * shift)
+    words = [w.astype(np.uint32) if isinstance(w, np.ndarray) else w for w in words]
+    a, b, c, d = (np.full(len(last), x, np.uint32) for x in _START)
+    f, t = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f); f &= b; f ^= d  # noqa: E702
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f); f &= d; f ^= c  # noqa: E702
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f); f ^= d  # noqa: E702
+        else:
+            np.invert(d, out=f); f |= b; f ^= c  # noqa: E702
+        word = words[_WORD_AT[i]]
+        if isinstance(word, np.ndarray):
+            f += word
+            word = 0
+        a += np.uint32((_SINES[i] + word) % 2**32)
+        a += f
+        np.left_shift(a, _TURNS[i], out=t)
+        a >>= np.uint32(32 - _TURNS[i])
+        a |= t
+        a += b
+        a, b, c, d = d, a, b, c
+    a += np.uint32(_START[0])
+    b += np.uint32(_START[1])
+    head = a.byteswap().astype(np.uint64) << np.uint64(32) | b.byteswap()
+    return (head >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
+def ints_below(bound: int, n: int, *parts) -> np.ndarray:
+    """``random_below(bound, *parts, slot)`` of the slots 0 to ``n`` - 1."""
+    out = np.empty(n, np.int64)
+    prefix = "".join(f"{p}|" for p in parts)
+    for digits in range(1, _DIGITS + 1):
+        first, last = 10 ** (digits - 1) if digits > 1 else 0, min(10 ** digits, n)
+        if first < last:
+            out[first:last] = _digest_heads(prefix.encode(), np.arange(first, last), digits)
+    for first in range(10 ** _DIGITS, n, _STEP):
+        head, rest = divmod(first, 10 ** _DIGITS)
+        run = np.arange(rest, rest + min(_STEP, n - first))
+        out[first:first + len(run)] = _digest_heads(f"{prefix}{head}".encode(), run, _DIGITS)
+    out -= out // bound * bound
+    return out
+
+
 def random_unit(*parts) -> Column:
     """A uniform double strictly inside (0, 1)."""
     return (random_int(*parts).cast("double") + F.lit(0.5)) / F.lit(float(1 << _BITS))

@@ -7,9 +7,11 @@ ranks handle exactly. Both scores are read on the same weights, so their differe
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import scratch
@@ -23,26 +25,21 @@ from .metrics import Metric, Standing, default_metrics
 
 _COLUMNS = ("truth", "a", "b")
 _DRAWS_PER_TASK = 250_000
-#: Items of one replicate in a task: its windows sort (and spill) that many rows, and the items are broadcast at 24 bytes each.
+#: Replicates that share a task's reading and coding of the items, at most, and rows that leave it at once.
+_REPLICATES_PER_TASK = 16
+_ROWS_PER_BATCH = 250_000
+#: Items of one replicate in a task: some 80 bytes each there, and 24 in the broadcast.
 _REPLICATE_ROWS = 8_000_000
 _PACK = 1 << 16
 #: Items of the label-noise ceiling that are drawn to bound the others, at most.
 _FEW = 5_000
 
 
-def resample_weights(spark, n_items: int, n_resamples: int, seed: int, by_replicate: bool = True) -> DataFrame:
+def resample_weights(spark, n_items: int, n_resamples: int, seed: int) -> DataFrame:
     """(rep, row_idx, w): how often each replicate of ``n_items`` draws with replacement took each item.
 
-    Each draw is a hash of (seed, replicate, slot), so it can be made anywhere. Replicates that fit a task are placed
-    first, as one row each, and drawn where they stand: no draw is ever shuffled, and counting and the windows that follow
-    find their rows in place. Larger ones are drawn all over and counted per (replicate, item).
+    Each draw is a hash of (seed, replicate, slot), so it can be made anywhere. Draws are made all over and counted per (replicate, item).
     """
-    if by_replicate:
-        tasks = max(1, min(n_resamples, -(-n_items * n_resamples // _DRAWS_PER_TASK)))
-        placed = spark.range(n_resamples).select(F.col("id").alias("rep")).repartition(tasks, "rep")
-        slots = placed.select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_items - 1).cast("long"))).alias("slot"))
-        draws = slots.select("rep", rng.random_below(n_items, F.lit(seed), F.col("rep"), F.col("slot")).alias("row_idx"))
-        return draws.groupBy("rep", "row_idx").agg(F.count(F.lit(1)).alias("w"))
     ids = spark.range(n_items * n_resamples)
     rep = F.expr(f"id div {n_items}L")
     slot = F.col("id") % F.lit(n_items)
@@ -50,18 +47,60 @@ def resample_weights(spark, n_items: int, n_resamples: int, seed: int, by_replic
     return draws.groupBy("rep", "row_idx").agg(F.count(F.lit(1)).alias("w"))
 
 
-def _window_standings(weighted: DataFrame) -> DataFrame:
-    """Standings inside one replicate per task: three sorts over rows already placed by replicate.
+def _packed(items: DataFrame) -> DataFrame:
+    """The items' values as rows of ``_PACK`` items each, in the order of ``row_idx``."""
+    x = F.sort_array(F.collect_list(F.struct("row_idx", *_COLUMNS)))
+    return items.groupBy(F.expr(f"row_idx div {_PACK}L").alias("pack")).agg(x.alias("x")).select("pack", *[F.col(f"x.{c}").alias(f"__{c}") for c in _COLUMNS])
+
+
+def _order_codes(packs: list, n: int) -> np.ndarray:
+    """The position of each item's value among the distinct ones: nulls first, NaN last."""
+    value, null = np.empty(n), np.zeros(n, bool)
+    for pack, column in packs:
+        at = slice(pack * _PACK, pack * _PACK + len(column))
+        null[at] = column.is_null().to_numpy(zero_copy_only=False)
+        value[at] = column.fill_null(-math.inf).to_numpy(zero_copy_only=False)
+    codes = np.unique(value, return_inverse=True)[1].astype(np.int32)
+    if null.any():
+        codes += 1
+        codes[null] = 0
+    return codes
+
+
+def _task_standings(items: DataFrame, n: int, n_resamples: int, seed: int) -> DataFrame:
+    """(rep, w and the standings of ``_COLUMNS``) of each item a replicate drew, made on arrays of the items.
 
-    A row's ties are its peers in the range frame, so both sums of a column share one sort.
+    A task reads the broadcast packs once, codes each column by its order, and then draws and counts one replicate after
+    the other: a column's counts by code, added up, are what is below. Nothing is sorted per replicate, nor shuffled.
     """
-    for c in _COLUMNS:
-        order = Window.partitionBy("rep").orderBy(c)
-        upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        same = order.rangeBetween(Window.currentRow, Window.currentRow)
-        weighted = weighted.withColumns({f"{c}_tie": F.sum("w").over(same),
-                                         f"{c}_below": F.sum("w").over(upto) - F.sum("w").over(same)})
-    return weighted
+    names = [f"{c}_{k}" for c in _COLUMNS for k in ("below", "tie")]
+    tasks = max(1, min(-(-n_resamples // _REPLICATES_PER_TASK), -(-n * n_resamples // _DRAWS_PER_TASK)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, packs = set(), [[] for _ in _COLUMNS]
+        for batch in batches:
+            for i, (task, pack) in enumerate(zip(batch.column("task").to_pylist(), batch.column("pack").to_pylist())):
+                own.add(task)
+                for c, column in zip(_COLUMNS, packs):
+                    column.append((pack, batch.column(f"__{c}")[i].values))
+        codes = [_order_codes(packs.pop(0), n) for _ in _COLUMNS]
+        distinct = [int(c.max()) + 1 for c in codes]
+        for rep in (r for task in sorted(own) for r in range(task, n_resamples, tasks)):
+            drawn = np.bincount(rng.ints_below(n, n, seed, rep), minlength=n).astype(np.int32)
+            took = np.flatnonzero(drawn)
+            w, made = drawn[took], []
+            for code, size in zip(codes, distinct):
+                tie = np.bincount(code[took], w, size).astype(np.int32)     # exact: whole numbers far below 2^53
+                below = np.cumsum(tie, dtype=np.int32) - tie
+                made += [below[code[took]], tie[code[took]]]
+            for at in range(0, len(took), _ROWS_PER_BATCH):
+                cut = slice(at, at + _ROWS_PER_BATCH)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(w[cut]), rep), w[cut], *[m[cut] for m in made])], ["rep", "w", *names])
+
+    placed = items.sparkSession.range(0, tasks, 1, tasks).withColumnRenamed("id", "task")
+    placed = placed.crossJoin(F.broadcast(scratch.table(_packed(items), "resample-packs")))
+    drawn = placed.mapInArrow(run, ", ".join(["rep long", *[f"{c} int" for c in ("w", *names)]]))
+    return drawn.select("rep", *[F.col(c).cast("long").alias(c) for c in ("w", *names)])
 
 
 def _ranged_standings(weighted: DataFrame, items: DataFrame) -> DataFrame:
@@ -77,10 +116,8 @@ def _ranged_standings(weighted: DataFrame, items: DataFrame) -> DataFrame:
 
 def _looked_up(weights: DataFrame, items: DataFrame) -> DataFrame:
     """The weights with their items' values, read from broadcast arrays of ``_PACK`` items each, so that no draw is shuffled."""
-    x = F.sort_array(F.collect_list(F.struct("row_idx", *_COLUMNS)))
-    packed = items.groupBy(F.expr(f"row_idx div {_PACK}L").alias("pack")).agg(x.alias("x")).select("pack", *[F.col(f"x.{c}").alias(f"__{c}") for c in _COLUMNS])
     at = (F.col("row_idx") % F.lit(_PACK)).cast("int")
-    return (weights.withColumn("pack", F.expr(f"row_idx div {_PACK}L")).join(F.broadcast(scratch.table(packed, "resample-packs")), "pack")
+    return (weights.withColumn("pack", F.expr(f"row_idx div {_PACK}L")).join(F.broadcast(scratch.table(_packed(items), "resample-packs")), "pack")
             .select("rep", "row_idx", "w", *[F.get(F.col(f"__{c}"), at).alias(c) for c in _COLUMNS]))
 
 
@@ -96,11 +133,11 @@ def bootstrap_replicates(df: DataFrame, score_a: str, score_b: str, key: str = "
     items = ranks.row_index(narrow, [F.col(key).asc()]).drop(key)
     items = scratch.table(items, "resample-items")
     n = items.count()
-    weights = resample_weights(df.sparkSession, n, n_resamples, seed, n <= task_rows)
-    if n <= task_rows:
-        placed = _window_standings(_looked_up(weights, items))
+    if 0 < n <= task_rows:
+        placed = _task_standings(items, n, n_resamples, seed)
     else:
-        placed = _ranged_standings(weights.join(ranks.bounded_broadcast(items, n), "row_idx"), items)
+        weights = resample_weights(df.sparkSession, n, n_resamples, seed)
+        placed = _ranged_standings(_looked_up(weights, items) if n <= 2 * _REPLICATE_ROWS else weights.join(items, "row_idx"), items)
 
     def standing(side: str) -> Standing:
         return Standing(F.col("truth_below"), F.col("truth_tie"), F.col(f"{side}_below"), F.col(f"{side}_tie"), F.col("w"))
@@ -212,7 +249,6 @@ def near_draws(items: DataFrame, bounds: list[float]) -> DataFrame:
     The first try for the first Gamma draw, where it is accepted, decides nearly all draws. It is tried here on arrays with a
     margin for their rounding; a draw it leaves open is made by ``beta_draws`` like any other.
     """
-    import numpy as np
     names = ["draw", "bound", "score_p", "rounds", "k", "a", "b", "counter"]
     types = {f.name: f.dataType.simpleString() for f in items.schema.fields} | {"draw": "int", "bound": "double"}
 

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from rankscreen.errors import Refused
 from rankscreen.operators import guards, metrics, ranks, resample
@@ -158,3 +158,26 @@ def test_replicates_of_many_items_write_no_draws(spark):
     weights = spark.createDataFrame([(0, i, 1) for i in (0, 65_535, 65_536, 69_999)], "rep long, row_idx long, w long")
     got = sorted(tuple(r) for r in resample._looked_up(weights, items).collect())
     assert got == [(0, i, 1, float(i % 7), i * 2.0 if i % 5 else None, float(i)) for i in (0, 65_535, 65_536, 69_999)]
+
+
+def test_draws_on_arrays_are_those_of_the_columns(spark):
+    for n, bound in ((7, 5), (1_234, 1_000), (130_003, 99_991)):
+        want = spark.range(n).select("id", rng.random_below(bound, F.lit(20261001), F.lit(37), F.col("id")).alias("x")).orderBy("id").collect()
+        assert rng.ints_below(bound, n, 20261001, 37).tolist() == [r["x"] for r in want]
+    with pytest.raises(ValueError):
+        rng.ints_below(5, 10, "x" * 60)
+
+
+def test_replicates_are_ranked_without_sorts(spark):
+    """Standings of each replicate as windows give them, nulls first and NaN last, from a plan that has no window."""
+    rows = [(i, float(i % 5), None if i % 4 == 0 else float(i % 7 - 3), float("nan") if i % 6 == 0 else -float(i % 3)) for i in range(90)]
+    items = spark.createDataFrame(rows, "row_idx long, truth double, a double, b double")
+    got = resample._task_standings(items, 90, 5, 11)
+    want = resample.resample_weights(spark, 90, 5, 11).join(items, "row_idx")
+    for c in ("truth", "a", "b"):
+        upto, same = (Window.partitionBy("rep").orderBy(c).rangeBetween(x, Window.currentRow) for x in (Window.unboundedPreceding, Window.currentRow))
+        want = want.withColumns({f"{c}_tie": F.sum("w").over(same), f"{c}_below": F.sum("w").over(upto) - F.sum("w").over(same)})
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    scored = items.withColumn("code_id", F.col("row_idx").cast("string"))
+    plan = resample.bootstrap_replicates(scored, "a", "b", truth="truth", n_resamples=5)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
