@@ -78,3 +78,31 @@ def test_seating_has_the_distribution_of_the_restaurant():
             s += 1
         slow.append(t)
     assert got.mean() == pytest.approx(np.mean(slow), rel=0.03) and got.std() == pytest.approx(np.std(slow), rel=0.08)
+
+
+def test_contexts_are_whole_words(spark):
+    """Words that differ only before their last two bytes are different contexts, and what follows each is learnt apart."""
+    words, ctx = py.tokens("xaone yaone xaone")
+    assert len(set(ctx.tolist())) == 3 and ctx[1] == ctx[3] != ctx[2] and ctx[0] == 0 and len(words) == 4
+    follow = {f"{a}{b}one": f"{b}{a}" for a in "abcdefgh" for b in "stuvwxyz"}
+    rnd = random.Random(8)
+    rows = [(i, " ".join(x for w in rnd.choices(list(follow), k=40) for x in (w, follow[w]))) for i in range(300)]
+    got = [r for r in py.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    # A word costs log10(64) by chance and its follower next to nothing.
+    assert sum(r.score for r in got) > 0.6 * sum(r.base_score for r in got)
+
+
+def test_totals_of_contexts_are_those_of_all_buckets(spark):
+    rng = np.random.default_rng(6)
+    contexts = np.sort(rng.integers(0, 2**63, 40).astype(np.uint64) << np.uint64(1))
+    rows, want = [], np.zeros(40, np.int64)
+    for number in range(3):
+        mine = np.sort(rng.choice(40, 25, replace=False))
+        b = py.Bucket(number, np.arange(4, dtype=np.uint64), np.sort((np.arange(4)[:, None] << 32 | np.arange(25)).reshape(-1)), rng.poisson(2, 100), contexts=contexts[mine])
+        want[mine] += np.bincount(b.ctx2, b.n, 25).astype(np.int64)
+        rows.append((mine, b.row()))
+    state = spark.createDataFrame([tuple(r[i] for i in (0, 12, 13, 14)) for _, r in rows], "bucket int, ctxs binary, own_c binary, own_t binary")
+    got = py._context_totals(state, 3).collect()
+    for number, (mine, _) in enumerate(rows):
+        c = np.concatenate([py.unsqueeze(r["c"], "<i8") for r in sorted(got, key=lambda r: r["shard"]) if r["bucket"] == number])
+        assert c.tolist() == want[mine].tolist()
